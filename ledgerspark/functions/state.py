@@ -1,28 +1,33 @@
 """Cutting lineage through the folder the cluster shares."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def use_checkpoint_dir(spark: SparkSession) -> None:
-    """Make sure ``DataFrame.checkpoint`` has a folder every executor can reach.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, which every executor can reach.
 
-    The session's ``spark.checkpoint.dir`` decides. Only a local session without one
-    gets a temporary folder; on a cluster the setting has to be there.
+    Only a local session without that setting gets a temporary folder; on a cluster the
+    setting has to be there.
     """
-    context = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(configured)
-    elif context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="run-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+    folder = tempfile.mkdtemp(prefix="run-")
+    spark.sparkContext.setCheckpointDir(folder)
+    return folder
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to reliable storage and go on from there."""
-    use_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` to the shared folder and go on from the stored rows.
+
+    Unlike a checkpoint the rows are computed only once and later steps read just the
+    columns they use. A lost executor costs no recomputation of what came before.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,49 +5,41 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.functions.cleaning import (effective_amount, ratio, round_price, signed_quantity,
-                                            unit_amount)
-from ledgerspark.schemas import BUY, MONEY, OPEN, SELL
+from ledgerspark.functions.cleaning import (cents_as_double, effective_cents, from_cents, ratio, round_price,
+                                            signed_quantity, unit_cents)
+from ledgerspark.schemas import BUY, OPEN, SELL
 
 
-def _of(kind: str, value):
-    return F.when(F.col("transaction_type") == kind, value)
+MEASURES = ("bought", "sold", "opened", "buy_amount", "sell_amount", "buy_cost")
 
 
-def _sum_quantity(kind: str):
-    return F.coalesce(F.sum(_of(kind, F.col("quantity"))), F.lit(0).cast("bigint"))
+def _measured_rows(ledger: DataFrame, *others: str) -> DataFrame:
+    """Ledger rows with one bigint column per measure; money in cents, 0 where a row does
+    not count. A missing amount counts as 0."""
+    kind = F.col("kind")
+    rows = ledger.select("product_id", "transaction_date", *others, F.col("transaction_type").alias("kind"), "quantity",
+                         effective_cents().alias("amount"), unit_cents().alias("unit"))
 
+    def of(wanted: str, column: str):
+        return F.when((kind == wanted) & F.col(column).isNotNull(), F.col(column)).otherwise(F.lit(0).cast("bigint"))
+    return rows.select("product_id", "transaction_date", *others,
+                       of(BUY, "quantity").alias("bought"), of(SELL, "quantity").alias("sold"),
+                       of(OPEN, "quantity").alias("opened"), of(BUY, "amount").alias("buy_amount"),
+                       of(SELL, "amount").alias("sell_amount"), of(BUY, "unit").alias("buy_cost"))
 
-def _sum_money(kind: str, value):
-    total = F.sum(_of(kind, value))
-    return F.coalesce(total, F.lit(0).cast(MONEY))
 
-
-def ledger_measures() -> dict:
-    """The sums every report is made of, usable under any grouping.
-
-    All of them are plain sums, so Spark combines them on the map side and a
-    product that owns a third of the ledger still shuffles as a few rows.
-    """
-    return {
-        "bought": _sum_quantity(BUY),
-        "sold": _sum_quantity(SELL),
-        "opened": _sum_quantity(OPEN),
-        "buy_amount": _sum_money(BUY, effective_amount()),
-        "sell_amount": _sum_money(SELL, effective_amount()),
-        "buy_cost": _sum_money(BUY, unit_amount()),
-    }
-
-
-def _measured(*names: str) -> list:
-    measures = ledger_measures()
-    return [measures[name].alias(name) for name in (names or measures)]
+def _sums() -> list:
+    return [F.sum(name).alias(name) for name in MEASURES]
 
 
 def daily_ledger(ledger: DataFrame) -> DataFrame:
-    """One row per product and transaction date: at most one row per product and day,
-    which bounds every per-product window built on top of it."""
-    return ledger.groupBy("product_id", "transaction_date").agg(*_measured())
+    """One row per product and transaction date with the measures summed, money in cents.
+
+    Plain sums combine on the map side, so a product that owns a third of the ledger still
+    shuffles as a few rows per task and day. The result has at most one row per product
+    and day, which bounds every per-product window built on top of it.
+    """
+    return _measured_rows(ledger).groupBy("product_id", "transaction_date").agg(*_sums())
 
 
 def on_hand(ledger: DataFrame, exclude_id: int | None = None) -> DataFrame:
@@ -65,9 +57,9 @@ def holdings_at(ledger: DataFrame, as_of: date) -> DataFrame:
     paid minus what was received; OPEN lowers the stock but not the cost.
     """
     order = F.struct("transaction_date", "created_at", "transaction_id")
-    totals = (ledger.filter(F.col("transaction_date") <= F.lit(as_of))
-              .groupBy("product_id")
-              .agg(F.min_by("product_name", order).alias("product_name"), *_measured()))
+    rows = _measured_rows(ledger.filter(F.col("transaction_date") <= F.lit(as_of)),
+                          "product_name", "created_at", "transaction_id")
+    totals = rows.groupBy("product_id").agg(F.min_by("product_name", order).alias("product_name"), *_sums())
     return totals.select(
         "product_id", "product_name",
         F.col("bought").alias("total_bought"),
@@ -75,8 +67,8 @@ def holdings_at(ledger: DataFrame, as_of: date) -> DataFrame:
         F.col("opened").alias("total_opened"),
         (F.col("bought") - F.col("sold") - F.col("opened")).alias("sealed_quantity"),
         (F.col("bought") - F.col("sold")).alias("cost_basis_quantity"),
-        round_price(F.col("buy_amount") - F.col("sell_amount")).alias("total_cost_basis"),
-        round_price(ratio(F.col("buy_cost"), F.col("bought"))).alias("average_cost_per_unit"),
+        from_cents(F.col("buy_amount") - F.col("sell_amount")).alias("total_cost_basis"),
+        round_price(ratio(cents_as_double(F.col("buy_cost")), F.col("bought"))).alias("average_cost_per_unit"),
     )
 
 

@@ -8,16 +8,14 @@ one price row), however many raw rows a product has.
 """
 
 from datetime import date
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerspark.functions.cleaning import ratio, round_price
-from ledgerspark.operators.holdings import daily_ledger
-from ledgerspark.schemas import BUY, MONEY, OPEN, PRICE, PROFIT, QUANTITY, SELL
-
-_MEASURES = ("bought", "sold", "opened", "buy_amount", "sell_amount", "buy_cost")
-
+from ledgerspark.functions.cleaning import cents_as_double, from_cents, ratio, round_price, signed_quantity
+from ledgerspark.operators.holdings import MEASURES, daily_ledger
+from ledgerspark.schemas import PRICE, PROFIT
 
 def _through_today(*keys: str, order: str):
     """Everything up to and including the current date, all rows of that date included."""
@@ -49,22 +47,27 @@ def valuation_calendar(snapshots: DataFrame, ledger: DataFrame, as_of: date) ->
     return days.filter(F.col("date") >= _first_date(ledger)).distinct()
 
 
+def _average_cost(buy_cost: Column, bought: Column) -> Column:
+    return ratio(cents_as_double(buy_cost), bought)
+
+
 def _cumulative(daily: DataFrame) -> DataFrame:
     window = _through_today("product_id", order="transaction_date")
     return daily.select("product_id", "transaction_date",
-                        *[F.sum(name).over(window).alias(name) for name in _MEASURES])
+                        *[F.sum(name).over(window).alias(name) for name in MEASURES])
 
 
 def _cost_columns() -> list[Column]:
     """The cost-history columns out of running totals."""
     return [
-        F.col("buy_amount").alias("cumulative_buy_amt"),
-        F.col("sell_amount").alias("cumulative_sell_amt"),
-        (F.col("buy_amount") - F.col("sell_amount")).alias("cumulative_cost_basis"),
+        from_cents(F.col("buy_amount")).alias("cumulative_buy_amt"),
+        from_cents(F.col("sell_amount")).alias("cumulative_sell_amt"),
+        from_cents(F.col("buy_amount") - F.col("sell_amount")).alias("cumulative_cost_basis"),
         (F.col("bought") - F.col("sold") - F.col("opened")).alias("sealed_quantity"),
         (F.col("bought") - F.col("sold")).alias("cost_basis_quantity"),
-        round_price(ratio(F.col("buy_cost"), F.col("bought"))).alias("average_cost_per_unit"),
-        round_price(F.col("buy_amount") - F.col("sell_amount")).alias("total_cost_basis"),
+        round_price(_average_cost(F.col("buy_cost"), F.col("bought"))).alias("average_cost_per_unit"),
+        # Amounts are whole cents, so the rounded cost is the cost itself.
+        from_cents(F.col("buy_amount") - F.col("sell_amount")).alias("total_cost_basis"),
     ]
 
 
@@ -112,13 +115,13 @@ def running_avg_cost(ledger: DataFrame) -> DataFrame:
     return _cumulative(daily_ledger(ledger)).select(
         "product_id", F.col("transaction_date").alias("date"),
         F.col("bought").alias("quantity_bought"),
-        ratio(F.col("buy_cost"), F.col("bought")).alias("average_cost"))
+        _average_cost(F.col("buy_cost"), F.col("bought")).alias("average_cost"))
 
 
 def _profit(sell_amount: Column, sold: Column, average_cost: Column) -> Column:
     """Profit of one product's sales on one day, fixed to six places before it is summed
     so that the total does not depend on task order."""
-    return (sell_amount.cast("double") - sold.cast("double") * average_cost).cast(PROFIT)
+    return (cents_as_double(sell_amount) - sold.cast("double") * average_cost).cast(PROFIT)
 
 
 def realized_pnl(ledger: DataFrame) -> DataFrame:
@@ -128,7 +131,7 @@ def realized_pnl(ledger: DataFrame) -> DataFrame:
     the product-day totals and nothing is joined back to the single sales.
     """
     window = _through_today("product_id", order="transaction_date")
-    average = ratio(F.sum("buy_cost").over(window), F.sum("bought").over(window))
+    average = _average_cost(F.sum("buy_cost").over(window), F.sum("bought").over(window))
     by_product = (daily_ledger(ledger)
                   .withColumn("average_cost", average)
                   .filter(F.col("sold") != 0)
@@ -175,45 +178,46 @@ def exact_price(requests: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def _change_points(ledger: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """Ledger days and price days of every product, one shape, ready for one window."""
+    """Ledger days and price days of every product, one shape, ready for one window. Ledger
+    money is in cents, prices are in millionths."""
     daily = daily_ledger(ledger).select(
         "product_id", F.col("transaction_date").alias("date"), "bought", "sold", "buy_cost", "sell_amount",
         (F.col("bought") - F.col("sold") - F.col("opened")).alias("d_quantity"),
-        round_price(F.col("buy_amount") - F.col("sell_amount")).alias("d_basis"),
-        F.lit(None).cast(PRICE).alias("price"))
+        (F.col("buy_amount") - F.col("sell_amount")).alias("d_basis"),
+        F.lit(None).cast("bigint").alias("price"))
+    none = [F.lit(0).cast("bigint").alias(c) for c in
+            ("bought", "sold", "buy_cost", "sell_amount", "d_quantity", "d_basis")]
     # Days whose prices are all missing still belong to the calendar, so nulls stay in.
     quotes = (snapshots.filter(F.col("snapshot_date") >= _first_date(ledger))
-              .select("product_id", F.col("snapshot_date").alias("date"),
-                      F.col("market_price").cast(PRICE).alias("price")))
-    return daily.unionByName(quotes, allowMissingColumns=True)
+              .select("product_id", F.col("snapshot_date").alias("date"), *none,
+                      (F.col("market_price").cast(PRICE) * 1_000_000).cast("bigint").alias("price")))
+    return daily.unionByName(quotes)
 
 
 def daily_changes(ledger: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """Per day: how much cost, market value and realized profit changed.
+    """Per day: how much cost (cents), market value (millionths) and realized profit changed.
 
     One shuffle by product for the window, one small shuffle by day for the sums.
     """
     window = _through_today("product_id", order="date")
     previous = Window.partitionBy("product_id").orderBy("date")
-    stock = F.sum("d_quantity").over(window)
-    price = F.last("price", ignorenulls=True).over(window)
-    average = ratio(F.coalesce(F.sum("buy_cost").over(window), F.lit(0)),
-                    F.coalesce(F.sum("bought").over(window), F.lit(0)))
+    price = F.coalesce(F.last("price", ignorenulls=True).over(window), F.lit(0))
     states = _change_points(ledger, snapshots).select(
         "product_id", "date", "d_basis", "sold", "sell_amount",
-        stock.alias("stock"), price.alias("price"), average.alias("average_cost"))
-    value = F.when((F.col("stock") > 0) & F.col("price").isNotNull(),
-                   F.col("stock").cast(QUANTITY) * F.col("price")).otherwise(F.lit(0))
-    # Rows of one day carry the same value, so their order does not change a day's sum.
-    moves = (states.withColumn("value", value)
-             .withColumn("d_value", F.col("value") - F.lag("value", 1).over(previous))
-             .withColumn("d_value", F.coalesce("d_value", "value"))
-             .withColumn("profit", F.when(F.col("sold") != 0,
-                                          _profit(F.col("sell_amount"), F.col("sold"), F.col("average_cost")))))
+        F.sum("d_quantity").over(window).alias("stock"), price.alias("price"),
+        F.sum("buy_cost").over(window).alias("buy_cost"), F.sum("bought").over(window).alias("bought"))
+    # Oversold products are worth nothing. Rows of one day carry the same value, so their
+    # order does not change the day's sum.
+    profit = _profit(F.col("sell_amount"), F.col("sold"), _average_cost(F.col("buy_cost"), F.col("bought")))
+    moves = (states.withColumn("value", F.greatest("stock", F.lit(0)) * F.col("price"))
+             .select("date", "d_basis",
+                     (F.col("value") - F.lag("value", 1, 0).over(previous)).alias("d_value"),
+                     F.when(F.col("sold") != 0, profit).alias("profit")))
+    # The value of all products together may outgrow a bigint of millionths.
     return moves.groupBy("date").agg(
-        F.coalesce(F.sum("d_basis"), F.lit(0)).alias("d_basis"),
-        F.coalesce(F.sum("d_value"), F.lit(0)).alias("d_value"),
-        F.coalesce(F.sum("profit"), F.lit(0)).alias("profit"))
+        F.sum("d_basis").alias("d_basis"),
+        F.sum(F.col("d_value").cast("decimal(20,0)")).alias("d_value"),
+        F.coalesce(F.sum("profit"), F.lit(0).cast(PROFIT)).alias("profit"))
 
 
 def daily_portfolio_value(ledger: DataFrame, snapshots: DataFrame, as_of: date) -> DataFrame:
@@ -224,18 +228,18 @@ def daily_portfolio_value(ledger: DataFrame, snapshots: DataFrame, as_of: date)
     cost, so unrealized and realized profit overlap and must not be added up.
     ``snapshots`` holds one row per product and snapshot date.
     """
-    today = (ledger.sparkSession.range(1)
-             .select(F.lit(as_of).alias("date"), F.lit(0).alias("d_basis"),
-                     F.lit(0).alias("d_value"), F.lit(0).alias("profit"))
+    changes = daily_changes(ledger, snapshots)
+    nothing = [F.lit(0).cast(f.dataType).alias(f.name) for f in changes.schema if f.name != "date"]
+    today = (ledger.sparkSession.range(1).select(F.lit(as_of).alias("date"), *nothing)
              .filter(F.col("date") >= _first_date(ledger)))
-    days = (daily_changes(ledger, snapshots).unionByName(today)
-            .groupBy("date").agg(F.sum("d_basis").alias("d_basis"), F.sum("d_value").alias("d_value"),
-                                 F.sum("profit").alias("profit")))
+    days = changes.unionByName(today).groupBy("date").agg(*[
+        F.sum(c).alias(c) for c in ("d_basis", "d_value", "profit")])
     # One row per calendar day: the only window without a key, and it stays small.
     window = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cost, market, profit = (F.sum(c).over(window) for c in ("d_basis", "d_value", "profit"))
-    return days.select("date", cost.alias("cost"), market.alias("market"), profit.alias("profit")).select(
-        "date", round_price(F.col("cost")).alias("total_cost_basis"),
+    cost, value, profit = (F.sum(c).over(window) for c in ("d_basis", "d_value", "profit"))
+    market = (value * F.lit(Decimal("0.000001"))).cast("decimal(32,6)")
+    return days.select("date", from_cents(cost).alias("cost"), market.alias("market"), profit.alias("profit")).select(
+        "date", F.col("cost").alias("total_cost_basis"),
         round_price(F.col("market")).alias("total_market_value"),
         unrealized_pnl(F.col("market"), F.col("cost")).alias("unrealized_pnl"),
         round_price(F.col("profit")).alias("cumulative_realized_pnl"))
@@ -269,8 +273,7 @@ def price_staleness(ledger: DataFrame, snapshots: DataFrame, as_of: date) -> Dat
     first = _first_date(ledger)
     moved = ledger.select(
         "product_id", F.col("transaction_date").alias("date"), F.lit(None).cast("date").alias("priced_on"),
-        F.when(F.col("transaction_type") == BUY, F.col("quantity"))
-        .when(F.col("transaction_type").isin(SELL, OPEN), -F.col("quantity")).alias("d_quantity"))
+        signed_quantity().alias("d_quantity"))
     quoted = (snapshots.filter(F.col("snapshot_date") >= first)
               .select("product_id", F.col("snapshot_date").alias("date"),
                       F.when(F.col("market_price").isNotNull(), F.col("snapshot_date")).alias("priced_on"),

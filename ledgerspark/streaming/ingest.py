@@ -31,9 +31,9 @@ def ingest_snapshots_stream(spark: SparkSession, folder: str, table: str, checkp
                             max_files: int = 1000) -> StreamingQuery:
     """Move new ``market_prices_<date>.parquet`` files (text ids) into the snapshot table.
 
-    Every file is taken once and holds a whole day. A day that is sent again needs a file
-    in another folder below ``folder`` or with another modification path, and replaces
-    the stored day. The query ends when nothing new is left.
+    Every file is taken once and holds a whole day. A day that is sent again has to come
+    under a new path, such as another folder below ``folder``, and replaces the stored day.
+    The query ends when nothing new is left.
     """
     raw = (spark.readStream.schema("productId string, marketPrice double")
            .option("pathGlobFilter", FILES).option("recursiveFileLookup", "true")
@@ -43,7 +43,7 @@ def ingest_snapshots_stream(spark: SparkSession, folder: str, table: str, checkp
                        finite_price(F.col("marketPrice")).alias("market_price"),
                        F.col("_metadata.file_path").alias("file_path"),
                        F.col("_metadata.file_modification_time").alias("modified"),
-                       F.monotonically_increasing_id().alias("position"))
+                       F.col("_metadata.row_index").alias("position"))
             .filter(F.col("snapshot_date").isNotNull()))
     return (rows.writeStream.foreachBatch(_store(table)).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

@@ -12,7 +12,8 @@ left. A product with very many contested entries takes several rounds, never a b
 task.
 """
 
-import numpy as np
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,32 +21,42 @@ from pyspark.sql import functions as F
 from ledgerspark.functions.cleaning import is_stock_out
 from ledgerspark.functions.state import cut_lineage
 from ledgerspark.operators.holdings import on_hand
-from ledgerspark.operators.running import WIDTH, running_totals
+from ledgerspark.operators.running import BITS, running_totals
 from ledgerspark.schemas import BUY
 
 BLOCK = 200_000
 
 
-def _walk(block: pd.DataFrame) -> pd.DataFrame:
-    """Grant what fits, in order of ``seq``; ``free`` is the stock before any contested grant."""
-    block = block.sort_values("seq")
-    granted, taken = np.zeros(len(block), dtype=bool), int(block["taken"].iloc[0])
-    for i, (free, wanted, takes) in enumerate(zip(block["free"], block["quantity"], block["takes"])):
-        granted[i] = free - taken >= wanted
-        if granted[i] and takes:
-            taken += wanted
-    return pd.DataFrame({"product_id": block["product_id"], "seq": block["seq"], "granted": granted,
-                         "taken": np.where(granted & block["takes"], block["quantity"], 0)})
+def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Grant what fits. Rows arrive sorted by product and seq; ``free`` is the stock before
+    any contested grant and ``taken`` what earlier blocks took from it."""
+    current, used = None, 0
+    for batch in batches:
+        granted, took = [], []
+        for product, free, wanted, takes, taken in zip(*(batch[c].tolist() for c in (
+                "product_id", "free", "quantity", "takes", "taken"))):
+            if product != current:
+                current, used = product, taken
+            fits = free - used >= wanted
+            used += wanted if fits and takes else 0
+            granted.append(fits)
+            took.append(wanted if fits and takes else 0)
+        yield pd.DataFrame({"product_id": batch["product_id"], "seq": batch["seq"], "granted": granted, "took": took})
+
 
+def _settle_contested(contested: DataFrame, block: int, bits: int) -> DataFrame:
+    """(seq, granted) for the entries the bounds could not decide.
 
-def _settle_contested(contested: DataFrame, block: int) -> DataFrame:
-    """(product_id, seq, granted) for the entries the bounds could not decide."""
+    Block n of every product is walked in round n. One product contributes at most
+    ``block`` rows to a round, so no task depends on how often a product is asked for.
+    """
     numbered = cut_lineage(
-        running_totals(contested.withColumn("one", F.lit(1).cast("bigint")), ["product_id"], "seq", {"one": "rank"})
+        running_totals(contested.withColumn("one", F.lit(1).cast("bigint")), ["product_id"], "seq", {"one": "rank"}, bits)
         .withColumn("block", F.floor(F.col("rank") / block))
         .select("product_id", "seq", "quantity", "takes", "free", "block"))
     last = numbered.agg(F.max("block")).first()[0]
-    taken, settled = None, None
+    settled = numbered.select("seq", F.lit(None).cast("boolean").alias("granted")).limit(0)
+    taken = None
     for number in range(0 if last is None else last + 1):
         rows = numbered.filter(F.col("block") == number).drop("block")
         if taken is None:
@@ -53,47 +64,46 @@ def _settle_contested(contested: DataFrame, block: int) -> DataFrame:
         else:
             rows = (rows.join(taken, "product_id", "left")
                     .withColumn("taken", F.coalesce("taken", F.lit(0).cast("bigint"))))
-        done = cut_lineage(rows.groupBy("product_id").applyInPandas(
-            _walk, "product_id string, seq bigint, granted boolean, taken bigint"))
-        used = done.select("product_id", "taken")
-        used = used if taken is None else used.union(taken)
-        taken = used.groupBy("product_id").agg(F.sum("taken").alias("taken"))
+        done = cut_lineage(rows.repartition("product_id").sortWithinPartitions("product_id", "seq").mapInPandas(
+            _walk, "product_id string, seq bigint, granted boolean, took bigint"))
+        settled = settled.union(done.select("seq", "granted"))
+        used = done.select("product_id", F.col("took").alias("taken"))
+        taken = (used if taken is None else used.union(taken)).groupBy("product_id").agg(F.sum("taken").alias("taken"))
         if number % 10 == 9:
             taken = cut_lineage(taken)
-        done = done.select("product_id", "seq", "granted")
-        settled = done if settled is None else settled.union(done)
-    return numbered.select("product_id", "seq", F.lit(None).cast("boolean").alias("granted")) \
-        if settled is None else settled
+    return settled
 
 
-def admit_sequential(entries: DataFrame, ledger: DataFrame, block: int = BLOCK, width: int = WIDTH) -> DataFrame:
+def admit_sequential(entries: DataFrame, ledger: DataFrame, block: int = BLOCK, bits: int = BITS) -> DataFrame:
     """Add ``has_stock``: would this entry pass if the batch were entered in ``seq`` order?
 
     ``entries`` needs seq (unique), product_id, transaction_type and quantity. Where it
     has a boolean ``valid``, rows without it are checked but change no stock. Stock left
-    over in ``ledger`` is what the batch starts from; purchases always pass.
+    over in ``ledger`` is what the batch starts from; purchases always pass, stock-outs
+    without a product or a quantity never do.
     """
     takes = F.col("valid") if "valid" in entries.columns else F.lit(True)
-    slim = (entries.select("seq", "product_id", "transaction_type", "quantity", takes.alias("takes"))
-            .join(on_hand(ledger), "product_id", "left")
-            .withColumn("base", F.coalesce("current_quantity", F.lit(0)))
-            .withColumn("came", F.when(F.col("takes") & (F.col("transaction_type") == BUY), F.col("quantity"))
-                        .otherwise(F.lit(0).cast("bigint")))
-            .withColumn("asked", F.when(F.col("takes") & is_stock_out(), F.col("quantity"))
-                        .otherwise(F.lit(0).cast("bigint"))))
-    bounded = (running_totals(slim, ["product_id"], "seq", {"came": "came_before", "asked": "asked_before"}, width)
-               .withColumn("most", F.col("base") + F.col("came_before"))
-               .withColumn("least", F.col("most") - F.col("asked_before"))
-               .withColumn("granted", F.when(~is_stock_out() | (F.col("least") >= F.col("quantity")), F.lit(True))
-                           .when(F.col("most") < F.col("quantity"), F.lit(False))))
-    bounded = cut_lineage(bounded.select("seq", "product_id", "transaction_type", "quantity", "takes", "most",
-                                         "granted"))
-    sure = F.when(F.col("granted") & F.col("takes") & is_stock_out(), F.col("quantity"))
-    placed = running_totals(bounded.withColumn("sure", F.coalesce(sure, F.lit(0).cast("bigint"))),
-                            ["product_id"], "seq", {"sure": "sure_before"}, width)
+    none = F.lit(0).cast("bigint")
+    slim = cut_lineage(
+        entries.select("seq", "product_id", "transaction_type", "quantity", takes.alias("takes"))
+        .filter(F.col("product_id").isNotNull() & F.col("quantity").isNotNull())
+        .join(on_hand(ledger), "product_id", "left")
+        .select("seq", "product_id", "quantity", "takes", is_stock_out().alias("goes"),
+                F.coalesce("current_quantity", none).alias("base"),
+                F.when(F.col("takes") & (F.col("transaction_type") == BUY), F.col("quantity")).otherwise(none)
+                .alias("came"),
+                F.when(F.col("takes") & is_stock_out(), F.col("quantity")).otherwise(none).alias("asked")))
+    most = F.col("base") + F.col("came_before")
+    granted = (F.when(~F.col("goes") | (most - F.col("asked_before") >= F.col("quantity")), F.lit(True))
+               .when(most < F.col("quantity"), F.lit(False)))
+    bounded = cut_lineage(
+        running_totals(slim, ["product_id"], "seq", {"came": "came_before", "asked": "asked_before"}, bits)
+        .select("seq", "product_id", "quantity", "takes", most.alias("most"), granted.alias("granted"),
+                F.when(granted, F.col("asked")).otherwise(none).alias("sure")))
+    placed = running_totals(bounded, ["product_id"], "seq", {"sure": "sure_before"}, bits)
     contested = (placed.filter(F.col("granted").isNull())
                  .withColumn("free", F.col("most") - F.col("sure_before")))
-    settled = _settle_contested(contested, block)
-    decided = (bounded.filter(F.col("granted").isNotNull()).select("seq", "granted")
-               .unionByName(settled.select("seq", "granted")))
-    return entries.join(decided.withColumnRenamed("granted", "has_stock"), "seq")
+    settled = _settle_contested(contested, block, bits)
+    decided = bounded.filter(F.col("granted").isNotNull()).select("seq", "granted").unionByName(settled)
+    return (entries.join(decided, "seq", "left")
+            .withColumn("has_stock", F.coalesce("granted", ~is_stock_out(), F.lit(False))).drop("granted"))

@@ -132,15 +132,19 @@ def similarity_scores(queries: DataFrame, texts: DataFrame, limit: int) -> DataF
         "query_id", comparable(F.col("query")).alias("plain"), ascii_tokens(F.col("query")).alias("words"),
         F.floor(F.col("rank") / SLICE).alias("slice")))
     last = numbered.agg(F.max("slice")).first()[0]
-    shaped = texts.select("id_length", "product_id", comparable(F.col("text")).alias("plain"),
-                          ascii_tokens(F.col("text")).alias("words"))
+    # Comparing is heavy for the few bytes a text has, so the tasks are not sized by bytes.
+    spark = queries.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    shaped = (texts.repartition(tasks, "text")
+              .select("id_length", "product_id", comparable(F.col("text")).alias("plain"),
+                      ascii_tokens(F.col("text")).alias("words")))
     scored = None
     for number in range(0 if last is None else last + 1):
         asked = numbered.filter(F.col("slice") == number).collect()
         part = shaped.mapInPandas(_similarities(asked, keep), _SCORES)
         scored = part if scored is None else scored.union(part)
     if scored is None:
-        return queries.sparkSession.createDataFrame([], _SCORES)
+        return spark.createDataFrame([], _SCORES)
     order = Window.partitionBy("query_id", "scorer").orderBy(F.col("score").desc(), "id_length", "product_id")
     return (scored.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= keep)
             .select("query_id", "scorer", "id_length", "product_id", F.bround("score").alias("score")))

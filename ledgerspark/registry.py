@@ -21,6 +21,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 TODAY = date.fromisoformat(AS_OF)
 ENTERED_AT = datetime(2002, 1, 1, 12, 0, 0)
 QUERIES: dict[str, Query] = {}
+# Name -> the views a query reads and the function that builds it from them.
+BUILDERS: dict[str, tuple[tuple[str, ...], Callable[..., DataFrame]]] = {}
 ORACLES: dict[str, str] = {}
 
 
@@ -41,6 +43,7 @@ def present(df: DataFrame) -> DataFrame:
 def query(name: str, *views: str, sql: str | None = None):
     """Register ``build(views...)`` under ``name``; ``sql`` may use the same views."""
     def register(build):
+        BUILDERS[name] = (views, build)
         QUERIES[name] = lambda spark, sf_dir: present(build(*[view(spark, sf_dir, v) for v in views]))
         if sql is not None:
             names = [v for v in views] + [v for v in _extra_views(sql) if v not in views]

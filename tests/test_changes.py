@@ -101,13 +101,13 @@ def test_newest_change_wins_and_deletes(spark, products, ledger):
     assert kept.count() == 3 and [r[0] for r in unknown.collect()] == [8]
 
 
-@pytest.mark.parametrize("width,levels", [(4, 0), (4, 1), (4, 2), (16, 3)])
-def test_running_totals(spark, width, levels):
-    rng = random.Random(width + levels)
+@pytest.mark.parametrize("bits,levels", [(2, 0), (2, 1), (2, 2), (4, 3)])
+def test_running_totals(spark, bits, levels):
+    rng = random.Random(bits + levels)
     data = [("hot" if rng.random() < 0.6 else f"k{rng.randint(1, 3)}", s, rng.randint(-5, 9))
             for s in rng.sample(range(-500, 500), 150)]
     df = spark.createDataFrame(data, "k string, seq bigint, v bigint")
-    got = {(r.k, r.seq): r.t for r in running_totals(df, ["k"], "seq", {"v": "t"}, width, levels).collect()}
+    got = {(r.k, r.seq): r.t for r in running_totals(df, ["k"], "seq", {"v": "t"}, bits, levels).collect()}
     assert got == {(k, s): sum(v for k2, s2, v in data if k2 == k and s2 < s) for k, s, _ in data}
 
 
@@ -115,20 +115,21 @@ def test_running_totals(spark, width, levels):
 def test_sequential_admission_matches_a_loop(spark, seed, block):
     rng = random.Random(seed)
     base = [(i, rng.choice("abc"), "BUY", rng.randint(1, 20), 1, None, "2024-01-01") for i in range(6)]
-    entries = [(s, "a" if rng.random() < 0.6 else rng.choice("abcd"), rng.choice(["BUY", "SELL", "SELL", "OPEN"]),
+    entries = [(2000, None, "SELL", 1, False), (2001, "a", "OPEN", None, False), (2002, None, "BUY", 1, False)]
+    entries += [(s, "a" if rng.random() < 0.6 else rng.choice("abcd"), rng.choice(["BUY", "SELL", "SELL", "OPEN"]),
                 rng.randint(1, 12), rng.random() < 0.8) for s in rng.sample(range(1000), 60)]
     stock = {}
     for row in base:
         stock[row[1]] = stock.get(row[1], 0) + row[3]
     expected = {}
-    for s, product, kind, quantity, valid in sorted(entries):
-        fits = kind == "BUY" or stock.get(product, 0) >= quantity
+    for s, product, kind, quantity, valid in sorted(entries, key=lambda e: e[0]):
+        fits = kind == "BUY" or (None not in (product, quantity) and stock.get(product, 0) >= quantity)
         expected[s] = fits
         if fits and valid:
             stock[product] = stock.get(product, 0) + (quantity if kind == "BUY" else -quantity)
     df = spark.createDataFrame(entries, "seq bigint, product_id string, transaction_type string, quantity bigint, "
                                         "valid boolean")
-    got = {r.seq: r.has_stock for r in admit_sequential(df, tx(spark, base), block=block, width=8).collect()}
+    got = {r.seq: r.has_stock for r in admit_sequential(df, tx(spark, base), block=block, bits=3).collect()}
     assert got == expected
     assert False in expected.values() and True in expected.values()
 

@@ -5,7 +5,7 @@ from decimal import Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerspark.schemas import BUY, MONEY, OPEN, PROFIT, SELL
+from ledgerspark.schemas import BUY, MONEY, OPEN, PRICE, PROFIT, SELL
 
 # What counts as a number in a text price; the JVM parser alone would also take "1.5d".
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
@@ -65,6 +65,13 @@ def to_cents(money: Column) -> Column:
             .otherwise((money * 100).cast("bigint")))
 
 
+def to_millionths(price: Column) -> Column:
+    """A price in millionths as a bigint, by way of doubles as long as they are exact."""
+    value = price.cast("double")
+    return (F.when(F.abs(value) < 1e9, F.rint(value * 1_000_000).cast("bigint"))
+            .otherwise((price.cast(PRICE) * 1_000_000).cast("bigint")))
+
+
 def unit_cents() -> Column:
     """quantity x unit price in cents."""
     return F.col("quantity") * to_cents(F.col("price_per_unit"))

@@ -215,7 +215,8 @@ def change_outcomes(ledger: DataFrame, changes: DataFrame, products: DataFrame,
 
 def apply_changes(ledger: DataFrame, changes: DataFrame, products: DataFrame, entered_at: datetime,
                   sequential: bool = False, legacy_total: bool = False) -> DataFrame:
-    """The ledger after the whole batch."""
+    """The ledger after the whole batch. ``sequential`` concerns the inserts; edits are always
+    checked against the stored stock."""
     inserts, edits = _split(changes)
     checked = _validated(inserts, products, ledger, sequential)
     rows = _new_rows(checked.filter(F.col("reason").isNull()), ledger, entered_at)

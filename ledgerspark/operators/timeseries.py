@@ -13,7 +13,8 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerspark.functions.cleaning import cents_as_double, from_cents, ratio, round_price, signed_quantity
+from ledgerspark.functions.cleaning import (cents_as_double, from_cents, ratio, round_price, signed_quantity,
+                                            to_millionths)
 from ledgerspark.operators.holdings import MEASURES, daily_ledger
 from ledgerspark.schemas import PRICE, PROFIT
 
@@ -190,7 +191,7 @@ def _change_points(ledger: DataFrame, snapshots: DataFrame) -> DataFrame:
     # Days whose prices are all missing still belong to the calendar, so nulls stay in.
     quotes = (snapshots.filter(F.col("snapshot_date") >= _first_date(ledger))
               .select("product_id", F.col("snapshot_date").alias("date"), *none,
-                      (F.col("market_price").cast(PRICE) * 1_000_000).cast("bigint").alias("price")))
+                      to_millionths(F.col("market_price")).alias("price")))
     return daily.unionByName(quotes)
 
 

@@ -449,10 +449,9 @@ SELECT product_id, {_day('snapshot_date')} AS snapshot_date,
  CAST(list_extract(list(market_price ORDER BY order_key, line_number, supp_key, ext_price), 1) AS DOUBLE) AS market_price
 FROM raw_prices WHERE product_id IN (SELECT product_id FROM ids) GROUP BY product_id, raw_prices.snapshot_date""")
 def _(raw, ids):
-    """The archive documents are built from the raw prices and read back as JSON."""
+    """Every raw price becomes a JSON document of the archive's form and is read back."""
     item = F.struct(F.col("product_id").alias("productId"), F.col("market_price").alias("marketPrice"), *_ARCHIVE_ORDER)
-    documents = (raw.groupBy("snapshot_date", "set_code")
-                 .agg(F.to_json(F.struct(F.collect_list(item).alias("results"))).alias("document")))
+    documents = raw.select("snapshot_date", F.to_json(F.struct(F.array(item).alias("results"))).alias("document"))
     keys = "order_key: bigint, line_number: int, supp_key: bigint, ext_price: double"
     parsed = F.from_json("document", f"results array<struct<productId: string, marketPrice: string, {keys}>>")
     rows = (documents.select("snapshot_date", F.explode(parsed["results"]).alias("row"))

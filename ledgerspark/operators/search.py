@@ -7,6 +7,7 @@ travels to them, and every task keeps only its best rows per query.
 """
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -88,6 +89,8 @@ def _blocks(lengths: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def _best(rows: pd.DataFrame, keep: int) -> pd.DataFrame:
+    if len(rows) <= keep:
+        return rows
     return rows.sort_values(["score", "id_length", "product_id"], ascending=[False, True, True]).head(keep)
 
 
@@ -114,12 +117,27 @@ def _similarities(asked: list, keep: int):
                             rows = part.iloc[good][["id_length", "product_id"]].assign(score=scores[good])
                             key = (query.query_id, scorer)
                             best[key] = _best(pd.concat([best[key], rows]) if key in best else rows, keep)
-        for (query_id, scorer), rows in best.items():
-            yield rows.assign(query_id=query_id, scorer=scorer)[
+        if best:
+            yield pd.concat([rows.assign(query_id=query_id, scorer=scorer) for (query_id, scorer), rows in best.items()])[
                 ["query_id", "scorer", "id_length", "product_id", "score"]]
     return run
 
 
+def _slices(queries: DataFrame) -> Iterator[list]:
+    """The prepared queries in lists of at most ``SLICE`` rows."""
+    prepared = prepare_queries(queries).select(
+        "query_id", comparable(F.col("query")).alias("plain"), ascii_tokens(F.col("query")).alias("words"))
+    head = prepared.limit(SLICE + 1).collect()
+    if len(head) <= SLICE:
+        yield head
+        return
+    numbered = cut_lineage(
+        running_totals(prepared.withColumn("one", F.lit(1).cast("bigint")), [], "query_id", {"one": "rank"})
+        .select("query_id", "plain", "words", F.floor(F.col("rank") / SLICE).alias("slice")))
+    for number in range(numbered.agg(F.max("slice")).first()[0] + 1):
+        yield numbered.filter(F.col("slice") == number).collect()
+
+
 def similarity_scores(queries: DataFrame, texts: DataFrame, limit: int) -> DataFrame:
     """Partial, token-sort and token-set scores: per query and scorer the best 3 x limit texts.
 
@@ -127,24 +145,14 @@ def similarity_scores(queries: DataFrame, texts: DataFrame, limit: int) -> DataF
     each of them another pass over the texts.
     """
     keep = POOL * limit
-    prepared = prepare_queries(queries).withColumn("one", F.lit(1).cast("bigint"))
-    numbered = cut_lineage(running_totals(prepared, [], "query_id", {"one": "rank"}).select(
-        "query_id", comparable(F.col("query")).alias("plain"), ascii_tokens(F.col("query")).alias("words"),
-        F.floor(F.col("rank") / SLICE).alias("slice")))
-    last = numbered.agg(F.max("slice")).first()[0]
     # Comparing is heavy for the few bytes a text has, so the tasks are not sized by bytes.
     spark = queries.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     shaped = (texts.repartition(tasks, "text")
               .select("id_length", "product_id", comparable(F.col("text")).alias("plain"),
                       ascii_tokens(F.col("text")).alias("words")))
-    scored = None
-    for number in range(0 if last is None else last + 1):
-        asked = numbered.filter(F.col("slice") == number).collect()
-        part = shaped.mapInPandas(_similarities(asked, keep), _SCORES)
-        scored = part if scored is None else scored.union(part)
-    if scored is None:
-        return spark.createDataFrame([], _SCORES)
+    scored = reduce(DataFrame.union, [shaped.mapInPandas(_similarities(asked, keep), _SCORES)
+                                      for asked in _slices(queries)])
     order = Window.partitionBy("query_id", "scorer").orderBy(F.col("score").desc(), "id_length", "product_id")
     return (scored.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= keep)
             .select("query_id", "scorer", "id_length", "product_id", F.bround("score").alias("score")))

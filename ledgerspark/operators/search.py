@@ -146,9 +146,10 @@ def similarity_scores(queries: DataFrame, texts: DataFrame, limit: int) -> DataF
     """
     keep = POOL * limit
     # Comparing is heavy for the few bytes a text has, so the tasks are not sized by bytes.
+    # Repartitioning by text again would be dropped as redundant and then coalesced.
     spark = queries.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    shaped = (texts.repartition(tasks, "text")
+    shaped = (texts.repartition(tasks)
               .select("id_length", "product_id", comparable(F.col("text")).alias("plain"),
                       ascii_tokens(F.col("text")).alias("words")))
     scored = reduce(DataFrame.union, [shaped.mapInPandas(_similarities(asked, keep), _SCORES)

@@ -1,5 +1,9 @@
 """Helpers shared by the text operators: stored tables, prefix sums, connected components."""
 
+import sys
+import types
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +13,14 @@ from ledgerspark.functions.state import cut_lineage as stored
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def per_worker(key: str, make: Callable):
+    """What ``make`` returns, kept by the Python worker that runs a task for its later tasks."""
+    kept = sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def count_words(text):
     """Number of words of a text column; null counts as 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -1,19 +1,20 @@
 """Language identification by piece unigrams summed over all segmentations."""
 
+import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from math import log
 
 import numpy as np
 import pandas as pd
-import regex
 import sentencepiece
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import stored
+from ledgerspark.llm.common import per_worker, stored
 
-LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+LETTERS = re.compile(r"[^\W\d_]+")
 FLOOR = 1e-9  # probability of a character that is no piece
 SMALL = 1e-250
 STEP = 96  # characters of a longer word that are scored as one
@@ -28,23 +29,26 @@ def pieces(path: str) -> frozenset[str]:
 
 def words(text: str) -> list[str]:
     """Lower-case words of letters, each with the mark of its start."""
-    found = ["▁" + w for w in LETTERS.findall(text.lower())]
-    return [p for w in found for p in ([w] if len(w) <= STEP else [w[i:i + STEP] for i in range(0, len(w), STEP)])]
+    found = LETTERS.findall(text.lower())
+    if found and len(max(found, key=len)) >= STEP:
+        found = [w[i:i + STEP] for w in found for i in range(0, len(w), STEP)]
+    return ["▁" + w for w in found]
 
 
 class Model:
     """Piece probabilities per language and the forward sum over all segmentations of a word.
 
-    ``room`` distinct words are remembered, then all are forgotten.
+    A bounded number of distinct words is remembered, then all are forgotten.
     """
 
-    def __init__(self, langs: list[str], table: dict[str, list[float]], longest: int, room: int = 300_000):
+    def __init__(self, langs: list[str], table: dict[str, list[float]], longest: int):
+        self.key = uuid.uuid4().hex
         self.langs, self.table, self.longest = langs, table, longest
         self.rows = {p: n for n, p in enumerate(table, 1)}
         self.probs = np.array([[0.0] * max(1, len(langs)), *table.values()])
         self.ids: dict[str, int] = {}
         self.scores = np.empty((1024, len(langs)))
-        self.room = room
+        self.room = 6_000_000 // max(4, len(langs))
 
     def forward(self, word: str, k: int) -> list[float]:
         """Total probability of all segmentations of each prefix of a word in language ``k``."""
@@ -197,10 +201,11 @@ def identify(docs: DataFrame, path: str, sample: int = 300) -> DataFrame:
     langs = model.langs
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = per_worker(model.key, lambda: model)
         for batch in batches:
             names, scores = [], []
             texts = batch.pop("_text")
-            for logs in model.texts(list(texts)) if langs else [None] * len(texts):
+            for logs in known.texts(list(texts)) if langs else [None] * len(texts):
                 if logs is None:
                     names.append("und")
                     scores.append(0.0)

@@ -1,8 +1,6 @@
 """Exact token counts at every prefix of a text, for byte-level BPE vocabularies."""
 
 import json
-import sys
-import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +9,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerspark.llm.common import per_worker
+
 # The splitting pattern of byte-level BPE, cut so that each unit splits alike whatever stands
 # around it: white space before a word goes with the word.
 UNIT = regex.compile(r" ?\p{L}++|(?:\s*[^\S ])?'(?:s|t|re|ve|m|ll|d)|\s*(?:\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+)|\s+")
@@ -200,12 +200,6 @@ def _printable() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(rest)}
 
 
-def _shared_counter(path: str) -> PrefixCounter:
-    """The counter of this Python worker: its later tasks go on with the words it knows."""
-    kept = sys.modules.setdefault("_prefix_counters", types.ModuleType("_prefix_counters")).__dict__
-    return kept.get(path) or kept.setdefault(path, PrefixCounter(path))
-
-
 def token_prefixes(docs: DataFrame, path: str) -> DataFrame:
     """Per document ``doc_id``, ``n_bytes``, ``n_tokens`` and ``steps``, its table of prefix counts.
 
@@ -215,7 +209,7 @@ def token_prefixes(docs: DataFrame, path: str) -> DataFrame:
     long as the text, so memory per task is that of one Arrow batch of texts.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counter = _shared_counter(path)
+        counter = per_worker(path, lambda: PrefixCounter(path))
         for batch in batches:
             steps = [counter.steps(t) for t in batch.pop("_text")]
             batch["steps"] = steps

@@ -6,6 +6,7 @@ from collections import Counter
 from collections.abc import Iterator
 from math import log
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import sentencepiece
@@ -44,8 +45,9 @@ class Model:
     def __init__(self, langs: list[str], table: dict[str, list[float]], longest: int):
         self.key = uuid.uuid4().hex
         self.langs, self.table, self.longest = langs, table, longest
-        self.rows = {p: n for n, p in enumerate(table, 1)}
-        self.probs = np.array([[0.0] * max(1, len(langs)), *table.values()])
+        self.probs = np.array([*table.values()])
+        self.lengths = np.array([len(p) for p in table], np.int64)
+        self.pieces = None  # automaton over all pieces, built where it is used
         self.ids: dict[str, int] = {}
         self.scores = np.empty((1024, len(langs)))
         self.room = 6_000_000 // max(4, len(langs))
@@ -64,58 +66,71 @@ class Model:
         return alpha
 
     def learn(self, found: set[str]) -> None:
-        """Add log probabilities of new words in every language, words of one length at once."""
-        new = [w for w in found if w not in self.ids]
-        by_length: dict[int, list[str]] = {}
-        for w in new:
-            by_length.setdefault(len(w), []).append(w)
-        for size, every in by_length.items():
-            for i in range(0, len(every), 4096):
-                self._learn(size, every[i:i + 4096])
-
-    def _learn(self, size: int, group: list[str]) -> None:
-        get, langs = self.rows.get, len(self.langs)
-        alpha = np.zeros((len(group), size + 1, langs))
-        alpha[:, 0] = 1.0
-        scale = np.zeros((len(group), langs))
-        for end in range(1, size + 1):
-            total = alpha[:, end - 1] * FLOOR
-            for start in range(max(0, end - self.longest), end):
-                at = [get(w[start:end], 0) for w in group]
-                if any(at):
-                    total += alpha[:, start] * self.probs[at]
-            alpha[:, end] = total
+        """Add log probabilities of new words in every language, words of like length together."""
+        new = sorted(found, key=len)
+        for i in range(0, len(new), 4096):
+            self._learn(new[i:i + 4096])
+
+    def _learn(self, group: list[str]) -> None:
+        if self.pieces is None:
+            self.pieces = ahocorasick.Automaton()
+            for n, p in enumerate(self.table):
+                self.pieces.add_word(p, n)
+            self.pieces.make_automaton()
+        # All pieces in all words: where they end, in which word, which they are.
+        sizes = np.array([len(w) for w in group])
+        starts = np.cumsum(sizes + 1) - sizes - 1
+        ends, ids = np.array([*self.pieces.iter(" ".join(group))], np.int64).reshape(-1, 2).T
+        word = np.searchsorted(starts, ends, "right") - 1
+        place, length = ends - starts[word] + 1, self.lengths[ids]
+        order = np.lexsort((length, place))
+        word, place, length, ids = word[order], place[order], length[order], ids[order]
+        cuts = np.flatnonzero(np.diff(place * (self.longest + 1) + length, prepend=-1, append=-1))
+        alpha = np.zeros((int(sizes.max()) + 1, len(group), len(self.langs)))
+        alpha[0] = 1.0
+        scale = np.zeros(alpha.shape[1:])
+        logs = np.zeros(alpha.shape[1:])
+        k = 0
+        for end in range(1, len(alpha)):
+            total = alpha[end - 1] * FLOOR
+            while k + 1 < len(cuts) and place[cuts[k]] == end:
+                some = slice(cuts[k], cuts[k + 1])
+                # A word has one piece at most of this length that ends here.
+                total[word[some]] += alpha[end - length[cuts[k]], word[some]] * self.probs[ids[some]]
+                k += 1
+            alpha[end] = total
             if (low := total < SMALL).any():
                 # Long words: the sums still needed are lifted together.
-                alpha[:, :max(0, end + 1 - self.longest)] = 0.0
-                alpha *= np.where(low, 1 / SMALL, 1.0)[:, None]
+                alpha[:max(0, end + 1 - self.longest)] = 0.0
+                alpha *= np.where(low, 1 / SMALL, 1.0)
                 scale += np.where(low, log(SMALL), 0.0)
+            done = sizes == end
+            logs[done] = np.log(alpha[end, done]) + scale[done]
         first = len(self.ids)
         self.ids.update((w, first + n) for n, w in enumerate(group))
         while len(self.scores) < len(self.ids):
             self.scores = np.concatenate([self.scores, np.empty_like(self.scores)])
-        self.scores[first:first + len(group)] = np.log(alpha[:, size]) + scale
+        self.scores[first:first + len(group)] = logs
 
     def texts(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Log probability of whole texts in each language; None without a letter."""
-        if len(self.ids) > self.room:
-            self.ids.clear()
         out: list[np.ndarray | None] = []
+        group: list[list[str]] = []
+        size = 0
         for text in texts:
-            found = words(text) if text else []
-            if not found:
-                out.append(None)
-                continue
-            total = np.zeros(len(self.langs))
-            for i in range(0, len(found), 100_000):
-                part = found[i:i + 100_000]
-                at = [*map(self.ids.get, part)]
-                if None in at:
-                    self.learn(set(part))
-                    at = [self.ids[w] for w in part]
-                total += self.scores[at].sum(0)
-            out.append(total)
-        return out
+            group.append(words(text) if text else [])
+            size += len(group[-1])
+            if size > 200_000:
+                out += self._score(group)
+                group, size = [], 0
+        return out + self._score(group)
+
+    def _score(self, group: list[list[str]]) -> list[np.ndarray | None]:
+        if len(self.ids) > self.room:
+            self.ids.clear()
+        # New words of many texts are learned together.
+        self.learn({w for found in group for w in found if w not in self.ids})
+        return [self.scores[[*map(self.ids.__getitem__, found)]].sum(0) if found else None for found in group]
 
 
 def held_out() -> Column:

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from ledgerspark.llm.common import count_words, prefix_sums, stored
 
+SOURCES = 100_000  # sources (some 10 MB) up to which their cuts are sent to every task
+
 
 def mix(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, most: int = 2, seed: str = "mix") -> DataFrame:
     """Add ``size``, ``source_size``, ``target`` and ``taken`` to ``docs`` (doc_id, text, source).
@@ -24,7 +26,9 @@ def mix(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, most: i
         F.coalesce(F.concat(F.lit("="), "source"), F.lit("~")).alias("_g"),
         F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.md5("text"), F.lit("-")))).alias("_key"))
     slim = stored(sized.groupBy("_g", "_key", "size").agg(F.count("*").alias("_n")))
-    cuts = _cuts(slim, _targets(slim, weights, share, most))
+    cuts = stored(_cuts(slim, _targets(slim, weights, share, most)))
+    # One row per source: up to a fixed number of sources texts need not be shuffled for them.
+    cuts = F.broadcast(cuts) if cuts.count() <= SOURCES else cuts
     later = (F.col("_key") > F.col("_cut_key")) | ((F.col("_key") == F.col("_cut_key")) & (F.col("size") > F.col("_cut_size")))
     last = (F.col("_key") == F.col("_cut_key")) & (F.col("size") == F.col("_cut_size"))
     rest = F.when(F.col("_cut_key").isNull() | later, F.lit(0)).when(last, F.col("_cut_words")).otherwise(F.col("size"))

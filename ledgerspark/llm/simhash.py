@@ -276,7 +276,8 @@ def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
     # One row per distinct document first, so that many equal rows are counted where they lie.
     kinds = slim.groupBy("_fp", "doc_id", "_row").agg(F.count("*").alias("_n"))
     best = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("_row").alias("c"), F.col("_n").alias("n"))
-    stay = (kinds.join(named, "_fp").groupBy("_root").agg(F.min(best).alias("k"))
+    ahead = kinds.groupBy("_fp").agg(F.min(best).alias("k"))
+    stay = (ahead.join(named, "_fp").groupBy("_root").agg(F.min("k").alias("k"))
             .select(F.col("k.b").alias("_id"), F.col("k.c").alias("_row"), F.col("k.n").alias("_n")))
     kept = marked.join(stay, (marked["_row"] == stay["_row"]) & marked["doc_id"].eqNullSafe(stay["_id"])).drop(stay["_row"]).drop("_id")
     once = kept.where("_n = 1").drop("_row", "_n")

@@ -13,12 +13,16 @@ from ledgerspark.functions.state import cut_lineage as stored
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def per_worker(key: str, make: Callable):
-    """What ``make`` returns, kept by the Python worker that runs a task for its later tasks."""
+def per_worker(slot: str, key: str, make: Callable):
+    """What ``make`` returns for ``key``, kept by the Python worker that runs a task for its later tasks.
+
+    A slot holds one thing: another key takes the place of what was there.
+    """
     kept = sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker")).__dict__
-    if key not in kept:
-        kept[key] = make()
-    return kept[key]
+    if slot not in kept or kept[slot][0] != key:
+        kept.pop(slot, None)
+        kept[slot] = key, make()
+    return kept[slot][1]
 
 
 def count_words(text):

@@ -50,7 +50,7 @@ class Model:
         self.pieces = None  # automaton over all pieces, built where it is used
         self.ids: dict[str, int] = {}
         self.scores = np.empty((1024, len(langs)))
-        self.room = 6_000_000 // max(4, len(langs))
+        self.room = 2_000_000 // max(4, len(langs))
 
     def forward(self, word: str, k: int) -> list[float]:
         """Total probability of all segmentations of each prefix of a word in language ``k``."""
@@ -216,7 +216,7 @@ def identify(docs: DataFrame, path: str, sample: int = 300) -> DataFrame:
     langs = model.langs
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = per_worker(model.key, lambda: model)
+        known = per_worker("language", model.key, lambda: model)
         for batch in batches:
             names, scores = [], []
             texts = batch.pop("_text")

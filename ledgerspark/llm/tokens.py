@@ -209,7 +209,7 @@ def token_prefixes(docs: DataFrame, path: str) -> DataFrame:
     long as the text, so memory per task is that of one Arrow batch of texts.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counter = per_worker(path, lambda: PrefixCounter(path))
+        counter = per_worker("tokens", path, lambda: PrefixCounter(path))
         for batch in batches:
             steps = [counter.steps(t) for t in batch.pop("_text")]
             batch["steps"] = steps

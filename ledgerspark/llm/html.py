@@ -132,7 +132,7 @@ def _style(name: str, attrs: str) -> tuple[str, bool]:
         if key in ("class", "id"):
             names = sorted(value.lower().split())
             if names:
-                style += ("." if key == "class" else "#") + re.sub(r"\d+", "0", ".".join(names))
+                style += ("." if key == "class" else "#") + re.sub(r"\d{2,}", "0", ".".join(names))
             if name not in ("body", "html", *MAIN):
                 noise = noise or any(x in NOISE_WHOLE or x in NOISE or not NOISE.isdisjoint(re.split(r"[-_]+", x)) for x in names)
         elif key == "role" and value.lower() in NOISE_ROLES:
@@ -198,8 +198,8 @@ def style_trees(pages: DataFrame, least: int = 8) -> DataFrame:
     text, style = F.col("kind") == "text", F.col("kind") == "style"
     own = kinds.groupBy("host", "path").agg(
         F.max("m").alias("n_pages"),
-        F.max(F.when(text, 1 - F.col("nlogn") / (F.col("m") * F.log("m")))).alias("content"),
-        F.max(F.when(style, 1 - F.col("nlogn") / (F.col("m") * F.log("m")))).alias("presentation"))
+        F.max(F.when(text, 1 - F.col("nlogn") / (F.col("m") * F.log(F.greatest("m", F.lit(2)))))).alias("content"),
+        F.max(F.when(style, 1 - F.col("nlogn") / (F.col("m") * F.log(F.greatest("m", F.lit(2)))))).alias("presentation"))
     size = own.groupBy("host").agg(F.max("n_pages").alias("_most"))
     enough = own.join(size, "host").where((F.col("n_pages") >= least) & (F.col("n_pages") >= F.col("_most") / 20)).drop("_most")
     scored = stored(enough.withColumn("own", F.greatest(F.coalesce("content", F.lit(0.0)), F.coalesce("presentation", F.lit(0.0)))))

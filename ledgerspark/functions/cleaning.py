@@ -10,6 +10,14 @@ from ledgerspark.schemas import BUY, MONEY, OPEN, PRICE, PROFIT, SELL
 # What counts as a number in a text price; the JVM parser alone would also take "1.5d".
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
+# White space in the sense of Unicode, with the four ASCII separators.
+_BLANKS = r"[\s\x1C-\x1F\p{IsWhite_Space}]+"
+
+
+def strip(text: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(text, f"^{_BLANKS}|{_BLANKS}$", "")
+
 
 def normalize_product_id(col: Column) -> Column:
     """Ids arrive as numbers or text; the engine only knows text."""
@@ -18,7 +26,7 @@ def normalize_product_id(col: Column) -> Column:
 
 def clean_price(col: Column) -> Column:
     """A text price as a double; blank, ``NaN`` and unreadable values become null."""
-    text = F.trim(col.cast("string"))
+    text = strip(col.cast("string"))
     return F.when(text.rlike(_NUMBER), text.try_cast("double"))
 
 
@@ -33,7 +41,7 @@ def round_price(col: Column) -> Column:
 
 
 def is_blank(col: Column) -> Column:
-    return col.isNull() | (F.trim(col) == "")
+    return col.isNull() | (strip(col) == "")
 
 
 def is_sealed(rarity: Column, number: Column) -> Column:
@@ -91,8 +99,14 @@ def cents_as_double(cents: Column) -> Column:
 
 
 def local_date(instant: Column, zone: str = "America/Los_Angeles") -> Column:
-    """The calendar day of a UTC instant as seen in ``zone``."""
-    return F.to_date(F.from_utc_timestamp(instant, zone))
+    """The calendar day of an instant as seen in ``zone``, whatever zone the session has.
+
+    Timestamps without a zone are taken as UTC.
+    """
+    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+    utc = (F.when(F.typeof(instant) == "timestamp_ntz", instant.cast("timestamp_ntz"))
+           .otherwise(F.timestamp_add("MICROSECOND", F.unix_micros(instant.cast("timestamp")), epoch)))
+    return F.to_date(F.convert_timezone(F.lit("UTC"), F.lit(zone), utc))
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:

@@ -3,19 +3,21 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ledgerspark.functions.cleaning import strip
+
 
 def search_text(name: Column, clean_name: Column) -> Column:
     """Name and clean name in one string; a missing clean name adds nothing."""
-    return F.trim(F.concat_ws(" ", name, clean_name))
+    return strip(F.concat_ws(" ", name, clean_name))
 
 
 def search_query(query: Column) -> Column:
-    return F.trim(F.lower(query))
+    return strip(F.lower(query))
 
 
 def comparable(text: Column) -> Column:
     """Lower case, everything but letters, digits and underscores as blanks, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]", " "))
+    return strip(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]", " "))
 
 
 def ascii_tokens(text: Column) -> Column:

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerspark.functions.cleaning import strip
 from ledgerspark.schemas import CATALOGUE_CSV, PRODUCTS
 from ledgerspark.sources.files import read_if_there
 
@@ -34,7 +35,7 @@ def write_products_csv(catalogue: DataFrame, path: str) -> None:
 
 def read_id_list(spark: SparkSession, path: str) -> DataFrame:
     """Distinct non-blank ids, one per line."""
-    return (spark.read.text(path).select(F.trim("value").alias("product_id"))
+    return (spark.read.text(path).select(strip(F.col("value")).alias("product_id"))
             .filter(F.col("product_id") != "").distinct())
 
 

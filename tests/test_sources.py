@@ -9,7 +9,7 @@ import pytest
 from helpers import D, prices, tx
 from pyspark.sql import functions as F
 
-from ledgerspark.functions.cleaning import clean_price, local_date
+from ledgerspark.functions.cleaning import clean_price, is_blank, local_date, strip
 from ledgerspark.operators import catalogue, snapshots
 from ledgerspark.plans import rebuild as plans
 from ledgerspark.sources import archive, feeds, tables
@@ -209,3 +209,20 @@ def test_snapshot_stats_median(spark):
     assert (got["2024-01-01"].median_price, got["2024-01-02"].median_price) == (5.0, 2.75)
     assert (got["2024-01-02"].valid_rows, got["2024-01-02"].max_price) == (4, Decimal("10.000000"))
     assert (got["2024-01-03"].valid_rows, got["2024-01-03"].median_price, got["2024-01-03"].mean_price) == (0, None, None)
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/Los_Angeles", "Asia/Tokyo"])
+def test_local_date_in_any_session_zone(spark, zone):
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        days = spark.range(1).select(local_date(F.timestamp_seconds(F.lit(1704189600))).alias("day"),  # 2024-01-02 10:00 UTC
+                                     local_date(F.timestamp_seconds(F.lit(1704178800))).alias("before")).collect()[0]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert [str(d) for d in days] == ["2024-01-02", "2024-01-01"]
+
+
+def test_strip_knows_all_white_space(spark):
+    df = spark.createDataFrame([("\t a b \n",), ("\u00a0\u2003x\u2028",), (" \t\u00a0",), ("\x1cy",)], "t string")
+    assert [r[0] for r in df.select(strip(F.col("t"))).collect()] == ["a b", "x", "", "y"]
+    assert [r[0] for r in df.select(is_blank(F.col("t"))).collect()] == [False, False, True, False]

@@ -78,7 +78,8 @@ JOIN {customer} ON c_custkey=o_custkey JOIN {nation} ON n_nationkey=c_nationkey
 JOIN earliest e ON e.product_id=t.product_id""",
     # One change per ledger row; the line number decides the kind. Inserts have no id yet,
     # some name an unknown product or type, and some ask for too much. Line 4 often names
-    # an id that does not exist, line 6 changes the row that line 5 deletes.
+    # an id that does not exist, line 6 changes the row that line 5 deletes. Lines 2, 3 and 7
+    # are edited once more and lines 3 twice more, before all others or among later orders.
     "changes": """
 SELECT transaction_id AS seq,
  CASE transaction_id%10 WHEN 3 THEN 'PATCH' WHEN 6 THEN 'PATCH' WHEN 5 THEN 'DELETE' WHEN 7 THEN 'UPDATE'
@@ -93,7 +94,24 @@ SELECT transaction_id AS seq,
  CASE WHEN transaction_id%10 IN (3,5) THEN NULL ELSE input_date - 300 END AS input_date,
  CASE WHEN transaction_id%10 IN (3,6,7) THEN concat('edit ', transaction_id) END AS notes,
  purchase_method, purchase_location
-FROM ledger""",
+FROM ledger
+UNION ALL SELECT transaction_id + 5 AS seq, 'UPDATE' AS op, transaction_id, product_id, transaction_type,
+ CASE WHEN transaction_id%9=0 THEN quantity*20 ELSE quantity+transaction_id%5 END AS quantity,
+ price_per_unit, input_date, notes, coalesce(purchase_method, 'Fair') AS purchase_method, 'Hall' AS purchase_location
+FROM ledger WHERE transaction_id%10=3
+UNION ALL SELECT transaction_id + 1006 AS seq, 'PATCH' AS op, transaction_id, product_id, NULL AS transaction_type,
+ CASE WHEN transaction_id%4=0 THEN quantity+2 END AS quantity,
+ CASE WHEN transaction_id%3=0 THEN CAST(7.25 AS DECIMAL(18,2)) END AS price_per_unit, NULL AS input_date,
+ CASE WHEN transaction_id%2=0 THEN 'again' END AS notes, NULL AS purchase_method, NULL AS purchase_location
+FROM ledger WHERE transaction_id%10=3
+UNION ALL SELECT transaction_id + 1008 AS seq, CASE WHEN transaction_id%3=0 THEN 'DELETE' ELSE 'UPDATE' END AS op,
+ transaction_id, product_id, NULL AS transaction_type, quantity, price_per_unit, input_date, notes,
+ purchase_method, purchase_location
+FROM ledger WHERE transaction_id%10=2
+UNION ALL SELECT -transaction_id AS seq, 'PATCH' AS op, transaction_id, product_id, NULL AS transaction_type,
+ quantity+1 AS quantity, NULL AS price_per_unit, NULL AS input_date, NULL AS notes, NULL AS purchase_method,
+ NULL AS purchase_location
+FROM ledger WHERE transaction_id%10=7 AND transaction_id%4=3""",
     "ids": "SELECT product_id FROM feed WHERE modified_on >= DATE '2020-01-01'",
     # Search phrases made out of the product names: as they are, turned round, cut, and extended.
     "phrases": """

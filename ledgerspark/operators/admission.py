@@ -1,80 +1,114 @@
-"""Exact one-after-the-other stock checks for a batch of new entries.
+"""Exact one-after-the-other stock checks for a batch of ledger changes.
 
-Whether a sale fits depends on which earlier sales were let through, so the entries of
-one product are strictly sequential. Most of them can still be settled in parallel:
+Whether a sale fits depends on which earlier changes were let through, so the changes of
+one product are strictly sequential. Most of them can still be settled in parallel. Each
+ledger row has a quantity that the batch may set again and again; before any change that
+quantity lies between the least and the most that the undecided changes allow:
 
-* if an entry fits even when every earlier request was granted, it is accepted;
-* if it does not fit even when no earlier request was granted, it is refused.
+* a sale that fits the least possible stock is accepted;
+* a sale that does not fit even the most possible stock is refused.
 
-Both bounds are running totals. Only the entries in between are walked one by one, in
-blocks of limited size per product, each block starting from the stock the previous one
-left. A product with very many contested entries takes several rounds, never a bigger
-task.
+Both bounds are running totals. Only what lies in between is walked, sorted by product
+and ``seq`` and read batch by batch, so a task never holds the changes of a product.
 """
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerspark.functions.cleaning import is_stock_out
+from ledgerspark.functions.cleaning import is_stock_out, signed_quantity
 from ledgerspark.functions.state import cut_lineage
 from ledgerspark.operators.holdings import on_hand
 from ledgerspark.operators.running import BITS, running_totals
-from ledgerspark.schemas import BUY
-
-BLOCK = 200_000
 
 
 def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Grant what fits. Rows arrive sorted by product and seq; ``free`` is the stock before
-    any contested grant and ``taken`` what earlier blocks took from it."""
-    current, used = None, 0
+    """Grant what fits. Rows arrive sorted by product and seq. ``free`` is the stock without
+    the changed row and without any contested grant; ``shift`` is what those grants have
+    added to it, ``shifts`` the part of it that later changes of the same row take back."""
+    current, shift, shifts = None, 0, {}
     for batch in batches:
-        granted, took = [], []
-        for product, free, wanted, takes, taken in zip(*(batch[c].tolist() for c in (
-                "product_id", "free", "quantity", "takes", "taken"))):
+        seqs, granted = [], []
+        for product, seq, row, opened, free, wanted, takes, step in zip(*(batch[c].tolist() for c in (
+                "product_id", "seq", "row", "contested", "free", "quantity", "takes", "step"))):
             if product != current:
-                current, used = product, taken
-            fits = free - used >= wanted
-            used += wanted if fits and takes else 0
+                current, shift, shifts = product, 0, {}
+            named = row == row and row is not None
+            if not opened:  # decided beforehand: the row's quantity no longer depends on the walk
+                shift -= shifts.pop(row, 0)
+                continue
+            own = shifts.get(row, 0) if named else 0
+            fits = free + shift - own >= wanted
+            if fits and takes:
+                shift += step - own
+                if named:
+                    shifts[row] = step
+            seqs.append(seq)
             granted.append(fits)
-            took.append(wanted if fits and takes else 0)
-        yield pd.DataFrame({"product_id": batch["product_id"], "seq": batch["seq"], "granted": granted, "took": took})
+        yield pd.DataFrame({"seq": pd.Series(seqs, dtype="int64"), "granted": pd.Series(granted, dtype=bool)})
 
 
-def _settle_contested(contested: DataFrame, block: int, bits: int) -> DataFrame:
-    """(seq, granted) for the entries the bounds could not decide.
+def settle(events: DataFrame, ledger: DataFrame, bits: int = BITS) -> DataFrame:
+    """(seq, granted) for every event, as if they came one after the other in ``seq`` order.
 
-    Block n of every product is walked in round n. One product contributes at most
-    ``block`` rows to a round, so no task depends on how often a product is asked for.
+    Columns: ``seq`` (unique), ``product_id``, ``row`` (the ledger row that is changed, null
+    for a new one), ``own`` (what that row adds to the stock now, 0 for a new one),
+    ``after`` (what it adds afterwards), ``quantity`` (what the stock must cover),
+    ``checks`` (is the stock asked at all?) and ``takes`` (does the row change if it passes?).
+    None but ``row`` may be null. A row that very many events name is sorted by one task,
+    which spills; it is not held in memory.
     """
-    numbered = cut_lineage(
-        running_totals(contested.withColumn("one", F.lit(1).cast("bigint")), ["product_id"], "seq", {"one": "rank"}, bits)
-        .withColumn("block", F.floor(F.col("rank") / block))
-        .select("product_id", "seq", "quantity", "takes", "free", "block"))
-    last = numbered.agg(F.max("block")).first()[0]
-    settled = numbered.select("seq", F.lit(None).cast("boolean").alias("granted")).limit(0)
-    taken = None
-    for number in range(0 if last is None else last + 1):
-        rows = numbered.filter(F.col("block") == number).drop("block")
-        if taken is None:
-            rows = rows.withColumn("taken", F.lit(0).cast("bigint"))
-        else:
-            rows = (rows.join(taken, "product_id", "left")
-                    .withColumn("taken", F.coalesce("taken", F.lit(0).cast("bigint"))))
-        done = cut_lineage(rows.repartition("product_id").sortWithinPartitions("product_id", "seq").mapInPandas(
-            _walk, "product_id string, seq bigint, granted boolean, took bigint"))
-        settled = settled.union(done.select("seq", "granted"))
-        used = done.select("product_id", F.col("took").alias("taken"))
-        taken = (used if taken is None else used.union(taken)).groupBy("product_id").agg(F.sum("taken").alias("taken"))
-        if number % 10 == 9:
-            taken = cut_lineage(taken)
-    return settled
+    earlier = Window.partitionBy("row").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("row", "part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0).cast("bigint")
+    firm, soft = F.col("takes") & ~F.col("checks"), F.col("takes") & F.col("checks")
+    after = F.col("after")
+    # Since the last firm change of its row, a row's quantity is that one or one of the soft ones after it.
+    named = (events.filter(F.col("row").isNotNull())
+             .withColumn("part", F.coalesce(F.sum(firm.cast("bigint")).over(earlier), none))
+             .withColumn("start", F.coalesce(F.last(F.when(firm, after), ignorenulls=True).over(earlier), "own"))
+             .withColumn("high", F.greatest("start", F.max(F.when(soft, after)).over(within)))
+             .withColumn("low", F.least("start", F.min(F.when(soft, after)).over(within)))
+             .drop("part", "start"))
+    fresh = events.filter(F.col("row").isNull()).withColumn("high", none).withColumn("low", none)
+    ranged = cut_lineage(
+        named.unionByName(fresh).join(on_hand(ledger), "product_id", "left")
+        .withColumn("base", F.coalesce("current_quantity", none)).drop("current_quantity")
+        .withColumn("up", F.when(firm, after - F.col("high")).when(soft, F.greatest(after - F.col("high"), none))
+                    .otherwise(none))
+        .withColumn("down", F.when(firm, after - F.col("low")).when(soft, F.least(after - F.col("low"), none))
+                    .otherwise(none)))
+    least = F.col("base") + F.col("down_before") - F.col("low")
+    most = F.col("base") + F.col("up_before") - F.col("high")
+    granted = (F.when(~F.col("checks") | (least >= F.col("quantity")), F.lit(True))
+               .when(most < F.col("quantity"), F.lit(False)))
+    bounded = cut_lineage(
+        running_totals(ranged, ["product_id"], "seq", {"up": "up_before", "down": "down_before"}, bits)
+        .select("seq", "product_id", "row", "own", "after", "quantity", "takes", "base", granted.alias("granted")))
 
+    # The stock as it is when every contested change is refused; the walk adds the rest.
+    decided = F.col("takes") & F.coalesce("granted", F.lit(False))
+    contested = F.col("granted").isNull()
+    named = (bounded.filter(F.col("row").isNotNull())
+             .withColumn("before", F.coalesce(F.last(F.when(decided, after), ignorenulls=True).over(earlier), "own"))
+             .withColumn("waits", F.coalesce(F.max(contested & F.col("takes")).over(earlier), F.lit(False))))
+    fresh = (bounded.filter(F.col("row").isNull())
+             .withColumn("before", none).withColumn("waits", F.lit(False)))
+    placed = running_totals(
+        named.unionByName(fresh).withColumn("sure", F.when(decided, after - F.col("before")).otherwise(none)),
+        ["product_id"], "seq", {"sure": "sure_before"}, bits)
+    open_ = placed.filter(contested | (F.col("waits") & decided)).select(
+        "product_id", "seq", "row", contested.alias("contested"), "quantity", "takes",
+        (F.col("base") + F.col("sure_before") - F.col("before")).alias("free"),
+        (after - F.col("before")).alias("step"))
+    walked = (open_.repartition("product_id").sortWithinPartitions("product_id", "seq")
+              .mapInPandas(_walk, "seq bigint, granted boolean"))
+    return bounded.filter(~contested).select("seq", "granted").unionByName(walked)
 
-def admit_sequential(entries: DataFrame, ledger: DataFrame, block: int = BLOCK, bits: int = BITS) -> DataFrame:
+
+def admit_sequential(entries: DataFrame, ledger: DataFrame, bits: int = BITS) -> DataFrame:
     """Add ``has_stock``: would this entry pass if the batch were entered in ``seq`` order?
 
     ``entries`` needs seq (unique), product_id, transaction_type and quantity. Where it
@@ -83,27 +117,9 @@ def admit_sequential(entries: DataFrame, ledger: DataFrame, block: int = BLOCK,
     without a product or a quantity never do.
     """
     takes = F.col("valid") if "valid" in entries.columns else F.lit(True)
-    none = F.lit(0).cast("bigint")
-    slim = cut_lineage(
-        entries.select("seq", "product_id", "transaction_type", "quantity", takes.alias("takes"))
-        .filter(F.col("product_id").isNotNull() & F.col("quantity").isNotNull())
-        .join(on_hand(ledger), "product_id", "left")
-        .select("seq", "product_id", "quantity", "takes", is_stock_out().alias("goes"),
-                F.coalesce("current_quantity", none).alias("base"),
-                F.when(F.col("takes") & (F.col("transaction_type") == BUY), F.col("quantity")).otherwise(none)
-                .alias("came"),
-                F.when(F.col("takes") & is_stock_out(), F.col("quantity")).otherwise(none).alias("asked")))
-    most = F.col("base") + F.col("came_before")
-    granted = (F.when(~F.col("goes") | (most - F.col("asked_before") >= F.col("quantity")), F.lit(True))
-               .when(most < F.col("quantity"), F.lit(False)))
-    bounded = cut_lineage(
-        running_totals(slim, ["product_id"], "seq", {"came": "came_before", "asked": "asked_before"}, bits)
-        .select("seq", "product_id", "quantity", "takes", most.alias("most"), granted.alias("granted"),
-                F.when(granted, F.col("asked")).otherwise(none).alias("sure")))
-    placed = running_totals(bounded, ["product_id"], "seq", {"sure": "sure_before"}, bits)
-    contested = (placed.filter(F.col("granted").isNull())
-                 .withColumn("free", F.col("most") - F.col("sure_before")))
-    settled = _settle_contested(contested, block, bits)
-    decided = bounded.filter(F.col("granted").isNotNull()).select("seq", "granted").unionByName(settled)
-    return (entries.join(decided, "seq", "left")
+    none = F.lit(None).cast("bigint")
+    events = entries.filter(F.col("product_id").isNotNull() & F.col("quantity").isNotNull()).select(
+        "seq", "product_id", none.alias("row"), F.lit(0).cast("bigint").alias("own"), signed_quantity().alias("after"),
+        "quantity", F.coalesce(is_stock_out(), F.lit(False)).alias("checks"), takes.alias("takes"))
+    return (entries.join(settle(events, ledger, bits), "seq", "left")
             .withColumn("has_stock", F.coalesce("granted", ~is_stock_out(), F.lit(False))).drop("granted"))

@@ -2,8 +2,9 @@
 
 A batch has one row per change: INSERT adds an entry, UPDATE replaces the editable
 fields of a row, PATCH changes only the fields that are given, DELETE removes the row.
-Checks look at the ledger as stored before the batch, unless the entries are admitted
-one after the other (``sequential=True``).
+A batch is applied as if its changes came one after the other in ``seq`` order. The checks
+of new entries alone (``validate_entries``, ``apply_inserts``) look at the ledger as stored
+before the batch unless ``sequential=True``.
 """
 
 from datetime import datetime
@@ -12,15 +13,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerspark.functions.cleaning import (is_blank, is_stock_out, round_price, signed_quantity)
-from ledgerspark.operators.admission import admit_sequential
+from ledgerspark.functions.state import cut_lineage
+from ledgerspark.operators.admission import admit_sequential, settle
 from ledgerspark.operators.catalogue import lookup_product
 from ledgerspark.operators.holdings import on_hand
 from ledgerspark.operators.running import running_totals
-from ledgerspark.operators.snapshots import first_rows
-from ledgerspark.schemas import BUY, LEDGER, MONEY, OPEN, QUANTITY, SELL
+from ledgerspark.schemas import BUY, CHANGES, LEDGER, MONEY, OPEN, QUANTITY, SELL
 
 _EDITED = ("quantity", "price_per_unit", "total_amount", "transaction_date", "input_date", "date_adjusted",
            "notes", "purchase_method", "purchase_location")
+_PATCHED = ("quantity", "price_per_unit", "notes", "purchase_method", "purchase_location")
 
 
 def clamp_to_earliest(entries: DataFrame, products: DataFrame) -> DataFrame:
@@ -120,63 +122,105 @@ def apply_inserts(ledger: DataFrame, entries: DataFrame, products: DataFrame, en
     return ledger.select(*LEDGER.fieldNames()).unionByName(rows.drop("seq"))
 
 
-def newest_changes(edits: DataFrame) -> DataFrame:
-    """The last change per transaction. Each map task keeps one row per id, so an id that is
-    changed over and over does not gather in one place."""
-    return first_rows(edits, ["transaction_id"], [F.col("seq").desc()])
+def _judged(ledger: DataFrame, changes: DataFrame, products: DataFrame) -> DataFrame:
+    """Every change with the ``reason`` it is refused for, the changes taken in ``seq`` order.
 
-
-def _resolve_edits(ledger: DataFrame, edits: DataFrame, products: DataFrame, legacy_total: bool) -> DataFrame:
-    """Edits with the ``reason`` they are refused for and the row they lead to (``new``).
-
-    Product and type always come from the stored row.
+    Product and type of an edit always come from the stored row. An edit of a row that an
+    earlier change deleted, or that the stored ledger never had, is ``not_found``; so is
+    one without an id. The ids that the batch's own inserts get cannot be named in it.
     """
-    stored = ledger.select("transaction_id", F.struct(*[c for c in LEDGER.fieldNames()]).alias("old"),
-                           signed_quantity().alias("own_quantity"))
-    found = (edits.join(stored, "transaction_id", "left")
-             .withColumn("product_id", F.col("old.product_id"))
-             .withColumn("transaction_type", F.col("old.transaction_type")))
-    facts = (lookup_product(found, products).join(on_hand(ledger), "product_id", "left")
-             .withColumn("available", F.coalesce("current_quantity", F.lit(0)) - F.coalesce("own_quantity", F.lit(0)))
-             # Without any catalogue there is nothing to check the product against.
-             .withColumn("no_catalogue", products.limit(1).agg(F.count("*") == 0).scalar()))
-    short = is_stock_out() & (F.col("available") < F.col("quantity"))
-    rules = _field_reasons(short, F.col("known") | F.col("no_catalogue"))
-    reason = (F.when(F.col("old").isNull(), "not_found")
-              .when(F.col("op") == "UPDATE", rules)
-              .when(~F.col("op").isin("UPDATE", "PATCH", "DELETE"), "unknown_operation"))
-
-    full = normalize_entry(_dated(facts.withColumn("given", F.struct(
-        "quantity", "price_per_unit", "notes", "purchase_method", "purchase_location"))))
-    old, given = (lambda c: F.col(f"old.{c}")), (lambda c: F.col(f"given.{c}"))
-    patched = {c: F.coalesce(given(c), old(c))
-               for c in ("quantity", "price_per_unit", "notes", "purchase_method", "purchase_location")}
-    if legacy_total:
-        total = F.when(given("price_per_unit").isNotNull(), _total(old("quantity"), given("price_per_unit")))
-    else:
-        touched = given("price_per_unit").isNotNull() | given("quantity").isNotNull()
-        total = F.when(touched, _total(patched["quantity"], patched["price_per_unit"]))
-    patched["total_amount"] = F.coalesce(total, old("total_amount"))
-    values = {c: F.when(F.col("op") == "UPDATE", F.col(c)).otherwise(patched.get(c, old(c))) for c in _EDITED}
-    return full.select("seq", "op", "transaction_id", reason.alias("reason"),
-                       F.struct(*[v.alias(c) for c, v in values.items()]).alias("new"))
-
-
-def _edited(ledger: DataFrame, resolved: DataFrame) -> DataFrame:
-    good = resolved.filter(F.col("reason").isNull()).select("transaction_id", "op", "new")
-    joined = ledger.join(good, "transaction_id", "left").filter(F.col("op").isNull() | (F.col("op") != "DELETE"))
-    return joined.select(*[
-        F.when(F.col("op").isNotNull(), F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) if c in _EDITED else F.col(c)
-        for c in LEDGER.fieldNames()])
+    given = changes.select(*CHANGES.fieldNames())
+    insert, named = F.coalesce(F.col("op") == "INSERT", F.lit(False)), F.col("transaction_id").isNotNull()
+    none = F.lit(0).cast("bigint")
+    edits = given.filter(~insert & named)
+    gone = edits.filter(F.col("op") == "DELETE").groupBy("transaction_id").agg(F.min("seq").alias("deleted_at"))
+    stored = ledger.select("transaction_id", F.col("product_id").alias("held"), F.col("transaction_type").alias("kind"),
+                           signed_quantity().alias("own"))
+    edits = (edits.join(stored, "transaction_id", "left").join(gone, "transaction_id", "left")
+             .withColumn("found", F.col("own").isNotNull() & F.coalesce(F.col("seq") <= F.col("deleted_at"), F.lit(True)))
+             .withColumn("product_id", F.col("held")).withColumn("transaction_type", F.col("kind"))
+             .drop("held", "kind", "deleted_at"))
+    # Rows without an id never meet the join: they would all share its null key.
+    others = (given.filter(insert | ~named).withColumn("transaction_id", F.lit(None).cast("bigint"))
+              .withColumn("own", none).withColumn("found", insert))
+    update, whole = F.col("op") == "UPDATE", F.col("op").isin("INSERT", "UPDATE")
+    # Without any catalogue there is nothing to check the product of a stored row against.
+    no_catalogue = products.limit(1).agg(F.count("*") == 0).scalar()
+    facts = (lookup_product(edits.unionByName(others), products)
+             .withColumn("known", F.col("known") | (update & no_catalogue)))
+    rules = F.when(whole, _field_reasons(F.lit(False), F.col("known")).isNull()).otherwise(F.col("op").isin("PATCH", "DELETE"))
+    facts = cut_lineage(facts.withColumn("valid", F.coalesce(F.col("found") & rules, F.lit(False))))
+
+    counted = F.col("quantity").isNotNull()
+    checks = F.coalesce(whole & F.col("found") & counted & is_stock_out(), F.lit(False))
+    moves = F.col("valid") & ((F.col("op") == "DELETE") | counted)
+    events = facts.filter(F.col("product_id").isNotNull() & (moves | checks)).select(
+        "seq", "product_id", F.col("transaction_id").alias("row"), F.coalesce("own", none).alias("own"),
+        F.when(F.col("op") == "DELETE", none).otherwise(signed_quantity()).alias("after"),
+        F.coalesce("quantity", none).alias("quantity"), checks.alias("checks"), F.col("valid").alias("takes"))
+    has_stock = F.coalesce("granted", ~is_stock_out(), F.lit(False))
+    reason = (F.when(~F.col("found"), "not_found")
+              .when(whole, _field_reasons(~has_stock, F.col("known")))
+              .when(F.coalesce(~F.col("op").isin("PATCH", "DELETE"), F.lit(True)), "unknown_operation"))
+    return (facts.join(settle(events, ledger), "seq", "left").withColumn("reason", reason)
+            .drop("granted", "own", "found", "valid", "known"))
+
+
+def _folded(accepted: DataFrame, legacy_total: bool) -> DataFrame:
+    """One row per edited transaction with what its accepted edits leave behind.
+
+    A replacement sets every field, a patch those it gives, so the last setting of a field
+    is all that counts: ``new_<field>`` is a struct with it, null where the field was never
+    set. ``touched`` says that a patch after the last replacement calls for a new total.
+    The choices are made on the map side: an id that is edited over and over does not
+    gather in one place.
+    """
+    update, patch = F.col("op") == "UPDATE", F.col("op") == "PATCH"
+    full = normalize_entry(_dated(accepted.withColumn("given", F.struct(*_PATCHED))))
+    given = lambda c: F.col(f"given.{c}")
+    sets = {c: update | (patch & given(c).isNotNull()) if c in _PATCHED else update for c in _EDITED}
+    value = {c: F.when(patch, given(c)).otherwise(F.col(c)) if c in _PATCHED else F.col(c) for c in _EDITED}
+    last = {c: F.max_by(F.struct(value[c].alias("value")), F.when(sets[c], F.col("seq"))) for c in _EDITED}
+    amounts = given("price_per_unit").isNotNull()
+    if not legacy_total:
+        amounts = amounts | given("quantity").isNotNull()
+    folded = full.groupBy("transaction_id").agg(
+        F.max(F.col("op") == "DELETE").alias("deleted"), F.max(F.when(update, F.col("seq"))).alias("updated_at"),
+        F.max(F.when(patch & amounts, F.col("seq"))).alias("touched_at"),
+        *[column.alias(f"new_{c}") for c, column in last.items()])
+    later = F.col("updated_at").isNull() | (F.col("touched_at") > F.col("updated_at"))
+    folded = folded.withColumn("touched", F.col("touched_at").isNotNull() & later)
+    if not legacy_total:
+        return folded.withColumn("counted", F.col("new_quantity"))
+    # The total of the last priced patch comes from the quantity that was there before it.
+    before = (full.join(folded.select("transaction_id", "touched_at"), "transaction_id")
+              .filter(F.col("seq") < F.col("touched_at")).groupBy("transaction_id")
+              .agg(last["quantity"].alias("counted")))
+    return folded.join(before, "transaction_id", "left")
+
+
+def _edited(ledger: DataFrame, judged: DataFrame, legacy_total: bool) -> DataFrame:
+    """The ledger with the accepted edits of ``judged`` worked in."""
+    good = judged.filter(F.col("reason").isNull() & F.col("op").isin("UPDATE", "PATCH", "DELETE"))
+    joined = (ledger.select(*LEDGER.fieldNames()).join(_folded(good, legacy_total), "transaction_id", "left")
+              .filter(~F.coalesce("deleted", F.lit(False))))
+
+    def now(field: str, struct: str | None = None) -> Column:
+        struct = struct or f"new_{field}"
+        return F.when(F.col(struct).isNotNull(), F.col(f"{struct}.value")).otherwise(F.col(field))
+
+    fresh = F.when(F.col("touched"), _total(now("quantity", "counted"), now("price_per_unit")))
+    values = {c: now(c) for c in _EDITED} | {"total_amount": F.coalesce(fresh, now("total_amount"))}
+    return joined.select(*[values.get(c, F.col(c)).alias(c) for c in LEDGER.fieldNames()])
 
 
 def apply_edits(ledger: DataFrame, edits: DataFrame, products: DataFrame, legacy_total: bool = False) -> DataFrame:
-    """The ledger after UPDATE, PATCH and DELETE changes, the newest change per row winning.
+    """The ledger after UPDATE, PATCH and DELETE changes, one after the other in ``seq`` order.
 
     ``legacy_total`` keeps the old habit of patches: a new price is multiplied with the
     quantity before the patch, and a new quantity leaves the total as it was.
     """
-    return _edited(ledger, _resolve_edits(ledger, newest_changes(edits), products, legacy_total))
+    return _edited(ledger, _judged(ledger, edits, products), legacy_total)
 
 
 def apply_updates(ledger: DataFrame, updates: DataFrame, products: DataFrame) -> DataFrame:
@@ -194,30 +238,16 @@ def apply_deletes(ledger: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFra
             ids.join(ledger, "transaction_id", "left_anti"))
 
 
-def _split(changes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    insert = F.col("op") == "INSERT"
-    return changes.filter(insert), changes.filter(~insert)
-
-
-def change_outcomes(ledger: DataFrame, changes: DataFrame, products: DataFrame,
-                    sequential: bool = False) -> DataFrame:
-    """(seq, op, transaction_id, reason) per change; a null reason means it took effect.
-    An edit followed by a newer one of the same row is ``superseded``."""
-    inserts, edits = _split(changes)
-    newest = newest_changes(edits)
-    added = _validated(inserts, products, ledger, sequential).select(
-        "seq", "op", F.lit(None).cast("bigint").alias("transaction_id"), "reason")
-    edited = _resolve_edits(ledger, newest, products, False).select("seq", "op", "transaction_id", "reason")
-    older = edits.join(newest, "seq", "left_anti").select(
-        "seq", "op", "transaction_id", F.lit("superseded").alias("reason"))
-    return added.unionByName(edited).unionByName(older)
+def change_outcomes(ledger: DataFrame, changes: DataFrame, products: DataFrame) -> DataFrame:
+    """(seq, op, transaction_id, reason) per change; a null reason means it took effect."""
+    return _judged(ledger, changes, products).select("seq", "op", "transaction_id", "reason")
 
 
 def apply_changes(ledger: DataFrame, changes: DataFrame, products: DataFrame, entered_at: datetime,
-                  sequential: bool = False, legacy_total: bool = False) -> DataFrame:
-    """The ledger after the whole batch. ``sequential`` concerns the inserts; edits are always
-    checked against the stored stock."""
-    inserts, edits = _split(changes)
-    checked = _validated(inserts, products, ledger, sequential)
-    rows = _new_rows(checked.filter(F.col("reason").isNull()), ledger, entered_at)
-    return apply_edits(ledger, edits, products, legacy_total).unionByName(rows.drop("seq"))
+                  legacy_total: bool = False) -> DataFrame:
+    """The ledger after the whole batch, as if its changes came one by one in ``seq`` order:
+    every stock check sees what the accepted changes before it did, a refused change hides
+    nothing, and nothing follows a delete."""
+    judged = cut_lineage(_judged(ledger, changes, products))
+    rows = _new_rows(judged.filter((F.col("op") == "INSERT") & F.col("reason").isNull()), ledger, entered_at)
+    return _edited(ledger, judged, legacy_total).unionByName(rows.drop("seq"))

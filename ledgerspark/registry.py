@@ -109,23 +109,51 @@ _SHARED = {
   WHEN c.transaction_type='BUY' AND trim(coalesce(c.purchase_location,''))='' THEN 'missing_location' END AS reason
  FROM changes c LEFT JOIN products p ON p.product_id=c.product_id LEFT JOIN on_hand h ON h.product_id=c.product_id
  WHERE c.op='INSERT')""",
-    "edits": """edits AS (SELECT c.seq, c.op, c.transaction_id, c.quantity, c.price_per_unit, c.input_date, c.notes,
-  c.purchase_method, c.purchase_location, p.earliest_date, l.transaction_type AS kind,
-  c.seq = max(c.seq) OVER (PARTITION BY c.transaction_id) AS newest,
-  CASE WHEN l.transaction_id IS NULL THEN 'not_found' WHEN c.op<>'UPDATE' THEN NULL
-   WHEN c.quantity IS NULL OR c.input_date IS NULL THEN 'missing_field'
-   WHEN p.product_id IS NULL THEN 'unknown_product'
-   WHEN l.transaction_type<>'BUY' AND h.current_quantity + l.quantity < c.quantity THEN 'insufficient_stock'
-   WHEN l.transaction_type<>'OPEN' AND c.price_per_unit IS NULL THEN 'missing_price'
-   WHEN l.transaction_type='BUY' AND coalesce(c.purchase_method,'')='' THEN 'missing_method'
-   WHEN l.transaction_type='BUY' AND trim(coalesce(c.purchase_location,''))='' THEN 'missing_location' END AS reason
- FROM changes c LEFT JOIN ledger l ON l.transaction_id=c.transaction_id
- LEFT JOIN products p ON p.product_id=l.product_id LEFT JOIN on_hand h ON h.product_id=l.product_id
- WHERE c.op<>'INSERT')""",
+    # A batch walked change by change, for each product; ``rows`` holds the rows edited so far.
+    "steps": """steps AS (SELECT c.seq, c.op, CASE WHEN c.op<>'INSERT' THEN c.transaction_id END AS id,
+  CASE WHEN c.op<>'INSERT' THEN l.product_id WHEN p.product_id IS NULL THEN concat('unknown ', c.seq) ELSE c.product_id END AS lane,
+  CASE WHEN c.op='INSERT' THEN c.transaction_type ELSE l.transaction_type END AS kind, c.quantity, c.price_per_unit AS price,
+  c.input_date, c.notes, c.purchase_method, c.purchase_location, p.product_id IS NOT NULL AS known, p.product_id, p.name, p.earliest_date,
+  CASE WHEN c.op<>'INSERT' THEN {'q': l.quantity, 'price': l.price_per_unit, 'total': l.total_amount, 'day': l.transaction_date,
+   'input': l.input_date, 'adjusted': l.date_adjusted, 'notes': l.notes, 'method': l.purchase_method,
+   'location': l.purchase_location, 'gone': FALSE} END AS stored,
+  row_number() OVER (PARTITION BY lane ORDER BY c.seq) AS n
+ FROM changes c LEFT JOIN ledger l ON c.op<>'INSERT' AND l.transaction_id=c.transaction_id
+ LEFT JOIN products p ON p.product_id=CASE WHEN c.op='INSERT' THEN c.product_id ELSE l.product_id END
+ WHERE c.op='INSERT' OR l.transaction_id IS NOT NULL)""",
+    "batch_walk": """batch_walk AS (
+ SELECT DISTINCT s.lane, CAST(0 AS BIGINT) AS n, coalesce(h.current_quantity, 0) AS stock,
+  MAP(CAST([] AS BIGINT[]), list_filter([s.stored], lambda x: FALSE)) AS rows, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS reason
+ FROM steps s LEFT JOIN on_hand h ON h.product_id=s.lane WHERE s.n=1
+ UNION ALL SELECT lane, n, CASE WHEN reason IS NULL THEN stock + sign*(next.q - coalesce(now.q, 0)) ELSE stock END,
+  CASE WHEN reason IS NULL AND id IS NOT NULL THEN map_concat(rows, MAP {id: next}) ELSE rows END, seq, reason
+ FROM (SELECT *, CASE kind WHEN 'BUY' THEN 1 WHEN 'SELL' THEN -1 WHEN 'OPEN' THEN -1 ELSE 0 END AS sign,
+   CASE WHEN now.gone THEN 'not_found' WHEN op IN ('PATCH','DELETE') THEN NULL
+    WHEN kind IS NULL OR quantity IS NULL OR input_date IS NULL THEN 'missing_field' WHEN NOT known THEN 'unknown_product'
+    WHEN kind NOT IN ('BUY','SELL','OPEN') THEN 'unknown_type'
+    WHEN kind<>'BUY' AND stock + coalesce(now.q, 0) < quantity THEN 'insufficient_stock'
+    WHEN kind<>'OPEN' AND price IS NULL THEN 'missing_price'
+    WHEN kind='BUY' AND coalesce(purchase_method,'')='' THEN 'missing_method'
+    WHEN kind='BUY' AND trim(coalesce(purchase_location,''))='' THEN 'missing_location' END AS reason,
+   CASE op WHEN 'DELETE' THEN struct_update(now, q := CAST(0 AS BIGINT), gone := TRUE)
+    WHEN 'PATCH' THEN {'q': coalesce(quantity, now.q), 'price': coalesce(price, now.price),
+     'total': CASE WHEN quantity IS NULL AND price IS NULL THEN now.total
+      ELSE coalesce(CAST(coalesce(quantity, now.q)*coalesce(price, now.price) AS DECIMAL(18,2)), now.total) END,
+     'day': now.day, 'input': now.input, 'adjusted': now.adjusted, 'notes': coalesce(notes, now.notes),
+     'method': coalesce(purchase_method, now.method), 'location': coalesce(purchase_location, now.location), 'gone': FALSE}
+    ELSE {'q': quantity, 'price': CASE WHEN kind<>'OPEN' THEN price END,
+     'total': CASE WHEN kind<>'OPEN' THEN CAST(quantity*price AS DECIMAL(18,2)) END,
+     'day': CASE WHEN earliest_date > input_date THEN earliest_date ELSE input_date END, 'input': input_date,
+     'adjusted': coalesce(earliest_date > input_date, FALSE), 'notes': coalesce(notes, ''),
+     'method': CASE WHEN kind='BUY' THEN purchase_method END, 'location': CASE WHEN kind='BUY' THEN purchase_location END,
+     'gone': FALSE} END AS next
+  FROM (SELECT s.*, w.stock, w.rows, coalesce(w.rows[s.id], s.stored) AS now
+   FROM batch_walk w JOIN steps s ON s.lane=w.lane AND s.n=w.n+1) x) y)""",
 }
 _USES = {"typed": [], "calendar": [], "held": ["typed"], "held_view": ["held"], "stock_days": ["typed"], "known": [],
          "valued": ["calendar", "stock_days", "known"], "sales": ["typed"], "profits": ["sales"],
-         "series": ["valued", "profits"], "on_hand": ["typed"], "checked": ["on_hand"], "edits": ["on_hand"]}
+         "series": ["valued", "profits"], "on_hand": ["typed"], "checked": ["on_hand"], "steps": [],
+         "batch_walk": ["steps", "on_hand"]}
 
 
 def _with_uses(names: list[str]) -> list[str]:
@@ -141,7 +169,7 @@ def _oracle(views: list[str], sql: str) -> str:
     for name in shared:
         base |= {v for v in ("pr", "ledger", "changes", "products") if re.search(rf"\b{v}\b", _SHARED[name])}
     ctes = duckdb_ctes(*views, *sorted(base - set(views)))
-    if "walk AS" in sql:
+    if "walk AS" in sql or "batch_walk" in shared:
         ctes = ctes.replace("WITH ", "WITH RECURSIVE ", 1)
     text = ",\n".join([ctes] + [_SHARED[n] for n in shared])
     return f"{text}\n{re.sub(r'<(\w+)>', r'\1', sql).strip()}"
@@ -541,8 +569,8 @@ def _(batch, products, ledger):
 
 
 @query("change_outcomes", "changes", "products", "ledger", sql="""
-SELECT seq, op, CAST(NULL AS BIGINT) AS transaction_id, reason FROM checked
-UNION ALL SELECT seq, op, transaction_id, CASE WHEN newest THEN reason ELSE 'superseded' END FROM edits""")
+SELECT s.seq, s.op, s.id AS transaction_id, w.reason FROM steps s JOIN batch_walk w ON w.seq=s.seq
+UNION ALL SELECT seq, op, transaction_id, 'not_found' FROM changes WHERE seq NOT IN (SELECT seq FROM steps)""")
 def _(batch, products, ledger):
     return changes.change_outcomes(ledger, batch, products)
 
@@ -554,37 +582,24 @@ _SHOWN = f"""product_id, product_name, transaction_type, quantity, CAST(price_pe
 
 
 @query("apply_changes", "changes", "products", "ledger", sql=f"""
-, done AS (SELECT * FROM edits WHERE newest AND reason IS NULL),
-patched AS (SELECT l.transaction_id, d.op, coalesce(d.quantity, l.quantity) AS quantity,
-  coalesce(d.price_per_unit, l.price_per_unit) AS price_per_unit, coalesce(d.notes, l.notes) AS notes,
-  coalesce(d.purchase_method, l.purchase_method) AS purchase_method,
-  coalesce(d.purchase_location, l.purchase_location) AS purchase_location,
-  d.quantity IS NOT NULL OR d.price_per_unit IS NOT NULL AS touched
- FROM ledger l JOIN done d ON d.transaction_id=l.transaction_id WHERE d.op='PATCH'),
+, ends AS (SELECT lane, arg_max(rows, n) AS rows FROM batch_walk GROUP BY lane),
+edited AS (SELECT e.key AS id, e.value AS v FROM (SELECT unnest(map_entries(rows)) AS e FROM ends) u),
 result AS (
- SELECT * FROM ledger WHERE transaction_id NOT IN (SELECT transaction_id FROM done)
- UNION ALL BY NAME SELECT l.transaction_id, l.product_id, l.product_name, l.transaction_type, p.quantity, p.price_per_unit,
-  coalesce(CASE WHEN touched THEN CAST(p.quantity*p.price_per_unit AS DECIMAL(18,2)) END, l.total_amount) AS total_amount,
-  l.transaction_date, l.input_date, l.date_adjusted, p.notes, p.purchase_method, p.purchase_location, l.created_at
- FROM ledger l JOIN patched p ON p.transaction_id=l.transaction_id
- UNION ALL BY NAME SELECT l.transaction_id, l.product_id, l.product_name, l.transaction_type, d.quantity,
-  CASE WHEN kind<>'OPEN' THEN d.price_per_unit END AS price_per_unit,
-  CASE WHEN kind<>'OPEN' THEN CAST(d.quantity*d.price_per_unit AS DECIMAL(18,2)) END AS total_amount,
-  CASE WHEN d.earliest_date > d.input_date THEN d.earliest_date ELSE d.input_date END AS transaction_date, d.input_date,
-  coalesce(d.earliest_date > d.input_date, FALSE) AS date_adjusted, coalesce(d.notes, '') AS notes,
-  CASE WHEN kind='BUY' THEN d.purchase_method END AS purchase_method,
-  CASE WHEN kind='BUY' THEN d.purchase_location END AS purchase_location, l.created_at
- FROM ledger l JOIN done d ON d.transaction_id=l.transaction_id WHERE d.op='UPDATE'
- UNION ALL BY NAME SELECT (SELECT max(transaction_id) FROM ledger) + row_number() OVER (ORDER BY seq) AS transaction_id,
-  product_id, name AS product_name, transaction_type, quantity,
-  CASE WHEN transaction_type<>'OPEN' THEN price_per_unit END AS price_per_unit,
-  CASE WHEN transaction_type<>'OPEN' THEN CAST(quantity*price_per_unit AS DECIMAL(18,2)) END AS total_amount,
+ SELECT * FROM ledger WHERE transaction_id NOT IN (SELECT id FROM edited)
+ UNION ALL BY NAME SELECT l.transaction_id, l.product_id, l.product_name, l.transaction_type, v.q AS quantity,
+  v.price AS price_per_unit, v.total AS total_amount, v.day AS transaction_date, v.input AS input_date,
+  v.adjusted AS date_adjusted, v.notes AS notes, v.method AS purchase_method, v.location AS purchase_location, l.created_at
+ FROM ledger l JOIN edited d ON d.id=l.transaction_id WHERE NOT v.gone
+ UNION ALL BY NAME SELECT (SELECT max(transaction_id) FROM ledger) + row_number() OVER (ORDER BY s.seq) AS transaction_id,
+  product_id, name AS product_name, kind AS transaction_type, quantity,
+  CASE WHEN kind<>'OPEN' THEN price END AS price_per_unit,
+  CASE WHEN kind<>'OPEN' THEN CAST(quantity*price AS DECIMAL(18,2)) END AS total_amount,
   CASE WHEN earliest_date > input_date THEN earliest_date ELSE input_date END AS transaction_date, input_date,
   coalesce(earliest_date > input_date, FALSE) AS date_adjusted, coalesce(notes, '') AS notes,
-  CASE WHEN transaction_type='BUY' THEN purchase_method END AS purchase_method,
-  CASE WHEN transaction_type='BUY' THEN purchase_location END AS purchase_location,
+  CASE WHEN kind='BUY' THEN purchase_method END AS purchase_method,
+  CASE WHEN kind='BUY' THEN purchase_location END AS purchase_location,
   TIMESTAMP '{ENTERED_AT}' AS created_at
- FROM checked WHERE reason IS NULL)
+ FROM steps s JOIN batch_walk w ON w.seq=s.seq WHERE s.op='INSERT' AND w.reason IS NULL)
 SELECT transaction_id, {_SHOWN} FROM result""")
 def _(batch, products, ledger):
     return changes.apply_changes(ledger, batch, products, ENTERED_AT)

@@ -2,12 +2,11 @@
 
 Five scorers rate a product's text. Exact and word matches are found with joins on short
 substrings. The three similarity scorers compare every query with every distinct text by
-definition, so the texts stay spread over the cluster, a bounded slice of the queries
-travels to them, and every task keeps only its best rows per query.
+definition: both sides are dealt to blocks, each pair of blocks is one small cell, and a
+cell keeps only its best rows per query.
 """
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,9 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerspark.functions.similarity import full_ratio, partial_ratio, token_set_ratio
-from ledgerspark.functions.state import cut_lineage
 from ledgerspark.functions.text import ascii_tokens, comparable, grams, search_query, search_text
-from ledgerspark.operators.running import running_totals
 
 # Fixed values of the ranking: weight per scorer, top score of a word match, cut-off, and
 # how many rows per requested result a similarity scorer contributes.
@@ -26,11 +23,12 @@ WORD_SCORE = 90.0
 CUTOFF = 25
 POOL = 3
 
-# Queries sent to the tasks in one go, and matrix cells a task works on at a time.
-SLICE = 2_000
+# Mean queries and texts of a cell, and matrix elements that are worked on at a time.
+QUERIES = 128
+TEXTS = 8_192
 CELLS = 2_000_000
 
-_SCORES = "query_id bigint, scorer string, id_length int, product_id string, score double"
+_SCORES = "query string, scorer string, id_length int, product_id string, score double"
 
 
 def prepare_queries(queries: DataFrame) -> DataFrame:
@@ -94,69 +92,67 @@ def _best(rows: pd.DataFrame, keep: int) -> pd.DataFrame:
     return rows.sort_values(["score", "id_length", "product_id"], ascending=[False, True, True]).head(keep)
 
 
-def _similarities(asked: list, keep: int):
-    """Scoring function for ``mapInPandas``: the ``keep`` best texts of a task per query and scorer."""
+def _similarities(keep: int):
+    """Scoring function of a cell: the ``keep`` best of its texts per query and scorer."""
     def score(query, batch: pd.DataFrame) -> dict:
         return {"partial": partial_ratio(query.plain, batch["plain"].to_list()),
                 "token_sort": full_ratio(" ".join(query.words), batch["sorted"].to_list()),
                 "token_set": token_set_ratio(list(query.words), batch["words"].to_list())}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(queries: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
         best: dict[tuple, pd.DataFrame] = {}
-        for batch in batches:
-            batch["sorted"] = [" ".join(w) for w in batch["words"]]
-            for block in _blocks(batch["plain"].str.len().to_numpy()):
-                part = batch.iloc[block]
-                for query in asked:
-                    for scorer, scores in score(query, part).items():
-                        # Scores are rounded to whole numbers before the cut-off applies.
-                        good = np.flatnonzero(scores >= CUTOFF + 0.5)
-                        if len(good) > keep:
-                            good = good[scores[good] >= np.partition(scores[good], -keep)[-keep]]
-                        if len(good):
-                            rows = part.iloc[good][["id_length", "product_id"]].assign(score=scores[good])
-                            key = (query.query_id, scorer)
-                            best[key] = _best(pd.concat([best[key], rows]) if key in best else rows, keep)
-        if best:
-            yield pd.concat([rows.assign(query_id=query_id, scorer=scorer) for (query_id, scorer), rows in best.items()])[
-                ["query_id", "scorer", "id_length", "product_id", "score"]]
+        texts["sorted"] = [" ".join(w) for w in texts["words"]]
+        for block in _blocks(texts["plain"].str.len().to_numpy(dtype=np.int64)):
+            part = texts.iloc[block]
+            for query in queries.itertuples():
+                for scorer, scores in score(query, part).items():
+                    # Scores are rounded to whole numbers before the cut-off applies.
+                    good = np.flatnonzero(scores >= CUTOFF + 0.5)
+                    if len(good) > keep:
+                        good = good[scores[good] >= np.partition(scores[good], -keep)[-keep]]
+                    if len(good):
+                        rows = part.iloc[good][["id_length", "product_id"]].assign(score=scores[good])
+                        key = (query.query, scorer)
+                        best[key] = _best(pd.concat([best[key], rows]) if key in best else rows, keep)
+        names = ["query", "scorer", "id_length", "product_id", "score"]
+        if not best:
+            return pd.DataFrame(columns=names)
+        return pd.concat([rows.assign(query=query, scorer=scorer) for (query, scorer), rows in best.items()])[names]
     return run
 
 
-def _slices(queries: DataFrame) -> Iterator[list]:
-    """The prepared queries in lists of at most ``SLICE`` rows."""
-    prepared = prepare_queries(queries).select(
-        "query_id", comparable(F.col("query")).alias("plain"), ascii_tokens(F.col("query")).alias("words"))
-    head = prepared.limit(SLICE + 1).collect()
-    if len(head) <= SLICE:
-        yield head
-        return
-    numbered = cut_lineage(
-        running_totals(prepared.withColumn("one", F.lit(1).cast("bigint")), [], "query_id", {"one": "rank"})
-        .select("query_id", "plain", "words", F.floor(F.col("rank") / SLICE).alias("slice")))
-    for number in range(numbered.agg(F.max("slice")).first()[0] + 1):
-        yield numbered.filter(F.col("slice") == number).collect()
-
-
 def similarity_scores(queries: DataFrame, texts: DataFrame, limit: int) -> DataFrame:
     """Partial, token-sort and token-set scores: per query and scorer the best 3 x limit texts.
 
-    Queries reach the tasks in slices of at most ``SLICE``; more queries mean more slices,
-    each of them another pass over the texts.
+    Queries with the same text are compared once. The numbers of blocks follow from the
+    sizes of both sides, so a cell is small at every size, and nothing passes the driver.
     """
     keep = POOL * limit
     # Comparing is heavy for the few bytes a text has, so the tasks are not sized by bytes.
-    # Repartitioning by text again would be dropped as redundant and then coalesced.
     spark = queries.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    shaped = (texts.repartition(tasks)
-              .select("id_length", "product_id", comparable(F.col("text")).alias("plain"),
-                      ascii_tokens(F.col("text")).alias("words")))
-    scored = reduce(DataFrame.union, [shaped.mapInPandas(_similarities(asked, keep), _SCORES)
-                                      for asked in _slices(queries)])
-    order = Window.partitionBy("query_id", "scorer").orderBy(F.col("score").desc(), "id_length", "product_id")
-    return (scored.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= keep)
-            .select("query_id", "scorer", "id_length", "product_id", F.bround("score").alias("score")))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    asked = prepare_queries(queries)
+
+    def blocks(df: DataFrame, size: int):
+        return df.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / size).cast("int"))).scalar()
+
+    def dealt(df: DataFrame, mine: str, other: str) -> DataFrame:
+        """``df`` in blocks ``mine``, each row copied along the blocks ``other``."""
+        return (df.withColumn("q_blocks", blocks(asked, QUERIES)).withColumn("t_blocks", blocks(texts, TEXTS))
+                .withColumn(f"{mine}_block", F.pmod(F.xxhash64("plain", "words"), F.col(f"{mine}_blocks")).cast("int"))
+                .withColumn(f"{other}_block", F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)))
+                .drop("q_blocks", "t_blocks").repartition(tasks, "q_block", "t_block"))
+
+    wanted = dealt(asked.select("query").distinct().select(
+        "query", comparable(F.col("query")).alias("plain"), ascii_tokens(F.col("query")).alias("words")), "q", "t")
+    shaped = dealt(texts.select("id_length", "product_id", comparable(F.col("text")).alias("plain"),
+                                ascii_tokens(F.col("text")).alias("words")), "t", "q")
+    scored = (wanted.groupBy("q_block", "t_block").cogroup(shaped.groupBy("q_block", "t_block"))
+              .applyInPandas(_similarities(keep), _SCORES))
+    order = Window.partitionBy("query", "scorer").orderBy(F.col("score").desc(), "id_length", "product_id")
+    best = (scored.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= keep)
+            .select("query", "scorer", "id_length", "product_id", F.bround("score").alias("score")))
+    return best.join(asked, "query").select("query_id", "scorer", "id_length", "product_id", "score")
 
 
 def rank_scores(scores: DataFrame, limit: int) -> DataFrame:

@@ -124,11 +124,12 @@ def test_search_matches_brute_force(spark, fuzzy, limit):
     assert got[1][0] == ("9", 100)
 
 
-def test_many_queries_go_in_slices(spark, monkeypatch):
-    monkeypatch.setattr(search, "SLICE", 3)
+def test_many_small_cells_find_the_same(spark, monkeypatch):
+    monkeypatch.setattr(search, "QUERIES", 3)
+    monkeypatch.setattr(search, "TEXTS", 4)
     queries = spark.createDataFrame(QUERIES[:-1], "query_id int, query string")
     products = spark.createDataFrame(PRODUCTS, "product_id string, name string, clean_name string")
     texts = search.search_texts(products)
-    sliced = sorted(map(tuple, search.similarity_scores(queries, texts, 4).collect()))
-    monkeypatch.setattr(search, "SLICE", 2000)
-    assert sliced == sorted(map(tuple, search.similarity_scores(queries, texts, 4).collect()))
+    cells = sorted(map(tuple, search.similarity_scores(queries, texts, 4).collect()))
+    monkeypatch.undo()
+    assert cells == sorted(map(tuple, search.similarity_scores(queries, texts, 4).collect()))

@@ -18,7 +18,7 @@ WORDS = re.compile(r"\w+")
 ENDS = re.compile(r"[.!?]\s+|\n")
 K1, B = 1.2, 0.75
 BLOCK = 8  # items of one maximum
-ROWS = 500  # texts whose passages are bounded at once
+ROWS, CHARS = 500, 2_000_000  # texts, and their characters, whose passages are bounded at once
 SHINGLE = 5
 NEED = 0.8
 
@@ -203,15 +203,26 @@ def find(docs: DataFrame, items: DataFrame, most: int = 16_000_000) -> DataFrame
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
+def _runs(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """The texts in runs of at most ``ROWS`` texts and ``CHARS`` characters, or of one longer text; each with its start."""
+    start, size = 0, 0
+    for n, text in enumerate(texts):
+        if n > start and (n - start == ROWS or size + len(text) > CHARS):
+            yield start, texts[start:n]
+            start, size = n, 0
+        size += len(text)
+    if texts:
+        yield start, texts[start:]
+
+
 def _finder(index: Index):
     names = ["doc_id", "item_id", "score", "question", "answer", "first_word", "n_words"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for i in range(0, len(batch), ROWS):
-                ids = list(batch["doc_id"][i:i + ROWS])
-                found = index.matches(list(batch["text"][i:i + ROWS]))
-                yield pd.DataFrame([(ids[n], *m) for n, m in found], columns=names)
+            ids = list(batch["doc_id"])
+            for i, texts in _runs(list(batch["text"])):
+                yield pd.DataFrame([(ids[i + n], *m) for n, m in index.matches(texts)], columns=names)
     return run
 
 
@@ -220,8 +231,8 @@ def _leak_test(index: Index):
     def leaks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             hit = np.zeros(len(texts), bool)
-            for i in range(0, len(texts), ROWS):
-                hit[[i + n for n, _ in index.matches(list(texts[i:i + ROWS]))]] = True
+            for i, run in _runs(list(texts)):
+                hit[[i + n for n, _ in index.matches(run)]] = True
             yield pd.Series(hit)
     return leaks
 

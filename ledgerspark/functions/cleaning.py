@@ -64,20 +64,15 @@ def signed_quantity() -> Column:
 
 def to_cents(money: Column) -> Column:
     """Whole cents as a bigint. Sums of them are exact and several times cheaper than wide
-    decimal sums; ANSI mode raises an error should one ever overflow.
-
-    Doubles hold cents exactly far beyond 1e13; larger amounts take the decimal path.
+    decimal sums; ANSI mode raises an error should one ever overflow. Amounts finer than a
+    cent are rounded half-up, whatever their size.
     """
-    value = money.cast("double")
-    return (F.when(F.abs(value) < 1e13, F.rint(value * 100).cast("bigint"))
-            .otherwise((money * 100).cast("bigint")))
+    return (money.cast(MONEY) * 100).cast("bigint")
 
 
 def to_millionths(price: Column) -> Column:
-    """A price in millionths as a bigint, by way of doubles as long as they are exact."""
-    value = price.cast("double")
-    return (F.when(F.abs(value) < 1e9, F.rint(value * 1_000_000).cast("bigint"))
-            .otherwise((price.cast(PRICE) * 1_000_000).cast("bigint")))
+    """A price in millionths as a bigint, rounded half-up at every size."""
+    return (price.cast(PRICE) * 1_000_000).cast("bigint")
 
 
 def unit_cents() -> Column:

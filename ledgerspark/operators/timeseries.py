@@ -82,7 +82,7 @@ def densify(history: DataFrame, calendar: DataFrame, start: date | None = None,
             end: date | None = None) -> DataFrame:
     """Repeat each (product_id, date) row on every calendar day until the product's next row.
 
-    Every history date must be a calendar day. Days are numbered, so each row expands
+    A history date that is no calendar day is an error. Days are numbered, so each row expands
     into the run of day numbers it covers and no product is paired with a day it does
     not need. The calendar has one row per day (36,525 rows for a century), which is
     what makes broadcasting it safe. ``start`` and ``end`` limit the days produced.
@@ -93,7 +93,9 @@ def densify(history: DataFrame, calendar: DataFrame, start: date | None = None,
         & (F.lit(True) if end is None else F.col("date") <= F.lit(end)))
     span = wanted.agg(F.struct(F.min("day_no").alias("lo"), F.max("day_no").alias("hi"))).scalar()
     following = F.lead("day_no").over(Window.partitionBy("product_id").orderBy("day_no"))
-    runs = (history.join(F.broadcast(numbered), "date")
+    unknown = F.raise_error(F.concat(F.lit("not a calendar day: "), F.col("date").cast("string"))).cast("int")
+    runs = (history.join(F.broadcast(numbered), "date", "left")
+            .withColumn("day_no", F.coalesce("day_no", unknown))
             .withColumn("span", span)
             .withColumn("first_no", F.greatest("day_no", F.col("span.lo")))
             .withColumn("last_no", F.least(F.coalesce(following - 1, F.col("span.hi")), F.col("span.hi")))

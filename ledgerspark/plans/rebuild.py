@@ -57,6 +57,13 @@ def collect_daily_prices(spark: SparkSession, feed_glob: str, products_csv: str,
     return snapshot_stats(stored.filter(stored.snapshot_date == snapshot_date))
 
 
+def collect_and_rebuild(spark: SparkSession, feed_glob: str, products_csv: str, snapshot_table: str,
+                        ledger_root: str, out: str, as_of: date, force: bool = False) -> DataFrame:
+    """The day's prices collected, then every derived table stored anew; returns the summary."""
+    collect_daily_prices(spark, feed_glob, products_csv, snapshot_table, as_of, force)
+    return rebuild_tables(spark, ledger_root, snapshot_table, out, as_of)
+
+
 def backfill_prices(spark: SparkSession, archive_root: str, id_list: str, snapshot_table: str) -> None:
     """Unpacked archives to snapshots; days that are stored already stay as they are and days
     without a tracked product are not stored."""

@@ -13,17 +13,23 @@ def _csv(reader, header: bool = True):
 
 
 def read_products(spark: SparkSession, path: str) -> DataFrame:
-    """The catalogue; a missing file is an empty catalogue. Unreadable dates become null."""
-    text = ", ".join(f"{name} string" for name in CATALOGUE_CSV)
-    # enforceSchema=False makes Spark compare the header with the expected names.
-    raw = read_if_there(lambda: _csv(spark.read.schema(text).option("enforceSchema", False)).csv(path))
-    if raw is None:
+    """The catalogue; a missing file is an empty catalogue. Unreadable dates become null.
+
+    Columns are found by name, in any order; all but the id may be absent and are null then. The
+    files of a folder share one header.
+    """
+    found = read_if_there(lambda: _csv(spark.read).csv(path))
+    if found is None or not found.columns:
         return spark.createDataFrame([], PRODUCTS)
+    # enforceSchema=False makes Spark compare every file's header with the first one.
+    raw = _csv(spark.read.schema(found.schema).option("enforceSchema", False)).csv(path)
+    have = {name: F.col(f"`{name}`") if name in raw.columns or name == "productId" else F.lit(None).cast("string")
+            for name in CATALOGUE_CSV}
     return raw.select(
-        F.col("productId").alias("product_id"), "name", F.col("cleanName").alias("clean_name"),
-        F.col("imageUrl").alias("image_url"), F.try_to_date("modifiedOn").alias("modified_on"),
-        F.try_to_date("earliestDate").alias("earliest_date"),
-        F.col("set_code").try_cast("int").alias("set_code"), "url")
+        have["productId"].alias("product_id"), have["name"].alias("name"), have["cleanName"].alias("clean_name"),
+        have["imageUrl"].alias("image_url"), F.try_to_date(have["modifiedOn"]).alias("modified_on"),
+        F.try_to_date(have["earliestDate"]).alias("earliest_date"),
+        have["set_code"].try_cast("int").alias("set_code"), have["url"].alias("url"))
 
 
 def write_products_csv(catalogue: DataFrame, path: str) -> None:

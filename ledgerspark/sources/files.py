@@ -1,4 +1,4 @@
-"""Listing what lies under a path, through Spark's own file index."""
+"""Finding out what lies under a path, in any store that Spark reads."""
 
 import re
 
@@ -17,9 +17,16 @@ def read_if_there(build) -> DataFrame | None:
 
 
 def newest_version(spark: SparkSession, root: str) -> int | None:
-    """Highest ``version=N`` folder under ``root`` that holds a finished write."""
-    found = read_if_there(lambda: spark.read.format("binaryFile").option("pathGlobFilter", "part-*")
-                          .option("recursiveFileLookup", "true").load(root))
-    names = found.inputFiles() if found is not None else []
-    versions = {int(m.group(1)) for m in (re.search(r"/version=(\d+)/", n) for n in names) if m}
-    return max(versions, default=None)
+    """Highest ``version=N`` folder under ``root`` that holds a finished write.
+
+    Only the version folders are listed. ``_SUCCESS`` tells that a write came to its end; Spark's
+    readers hide it, so the file system is asked.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path
+    top = folder(root)
+    files = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(top):
+        return None
+    names = (re.fullmatch(r"version=(\d+)", status.getPath().getName()) for status in files.listStatus(top))
+    versions = sorted((int(m.group(1)) for m in names if m), reverse=True)
+    return next((v for v in versions if files.exists(folder(f"{root}/version={v}/_SUCCESS"))), None)

@@ -1,5 +1,6 @@
 """Price snapshots: daily Parquet files as collected, and the table they end up in."""
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -8,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerspark.functions.cleaning import finite_price, normalize_product_id
-from ledgerspark.operators.snapshots import skip_existing
+from ledgerspark.operators.snapshots import dedupe_snapshot, skip_existing
 from ledgerspark.schemas import SNAPSHOTS
 from ledgerspark.sources.files import read_if_there
 
@@ -38,25 +39,39 @@ def file_date(name=None):
 
 
 def snapshot_rows(raw: DataFrame) -> DataFrame:
-    """Rows of snapshot files under the engine's names; files with other names are skipped."""
+    """Rows of snapshot files under the engine's names, with the place they have in their file;
+    files with other names are skipped."""
     return (raw.select(normalize_product_id(F.col("productId")).alias("product_id"),
                        file_date().alias("snapshot_date"),
-                       finite_price(F.col("marketPrice").cast("double")).alias("market_price"))
+                       finite_price(F.col("marketPrice").cast("double")).alias("market_price"),
+                       F.col("_metadata.file_path").alias("file_path"),
+                       F.col("_metadata.file_modification_time").alias("modified"),
+                       F.col("_metadata.row_index").alias("position"))
             .filter(F.col("snapshot_date").isNotNull()))
 
 
 def read_price_snapshots(spark: SparkSession, folder: str) -> DataFrame:
-    """All ``market_prices_<date>.parquet`` files of a folder.
+    """All ``market_prices_<date>.parquet`` files of a folder; the first row of a product and day counts.
 
-    Older files store ids as integers, newer ones as text, and Parquet columns cannot be
-    read as another type. The footers are looked at in parallel and each kind is read
-    with its own schema.
+    Files with other names are not opened.
     """
     listing = read_if_there(lambda: spark.read.format("binaryFile").option("pathGlobFilter", FILES).load(folder))
     files = listing.inputFiles() if listing is not None else []
+    files = [f for f in files if re.search(FILE_DATE, f.rsplit("/", 1)[-1])]
     if not files:
         return spark.createDataFrame([], SNAPSHOTS)
-    spread = spark.createDataFrame([(f,) for f in files], "path string").repartition(min(len(files), 200))
+    return dedupe_snapshot(read_snapshot_files(spark, files), ["file_path", "position"]).select(*SNAPSHOTS.fieldNames())
+
+
+def read_snapshot_files(spark: SparkSession, files: list[str]) -> DataFrame:
+    """``snapshot_rows`` of the given files, of which there is about one per day.
+
+    Older files store ids as integers, newer ones as text, and Parquet columns cannot be
+    read as another type. The footers are looked at in parallel and each kind is read
+    with its own schema.
+    """
+    tasks = min(len(files), spark.sparkContext.defaultParallelism)
+    spread = spark.createDataFrame([(f,) for f in files], "path string").repartition(tasks)
     typed = spread.mapInPandas(_id_types, "path string, id_type string").collect()
     parts = []
     for id_type in ("string", "bigint"):
@@ -78,10 +93,12 @@ def read_snapshot_table(spark: SparkSession, path: str) -> DataFrame:
 def write_price_snapshot(snapshot: DataFrame, path: str, force: bool = False) -> None:
     """Store snapshots by day. Days that are stored already are skipped unless forced, and
     then replaced whole. Rows are rebalanced by day, which splits a day that is much larger
-    than the others over several files."""
+    than the others over several files. A column ``modified``, the time of the file a day came
+    from, is stored along with it."""
     if not force:
         snapshot = skip_existing(snapshot, read_snapshot_table(snapshot.sparkSession, path))
-    (snapshot.select("product_id", F.col("market_price").cast("double").alias("market_price"), "snapshot_date")
+    more = [c for c in ("modified",) if c in snapshot.columns]
+    (snapshot.select("product_id", F.col("market_price").cast("double").alias("market_price"), *more, "snapshot_date")
      .hint("rebalance", "snapshot_date")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "snappy")
      .partitionBy("snapshot_date").parquet(path))

@@ -5,6 +5,7 @@ version being read is never touched and a failed write leaves the old one in pla
 """
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerspark.schemas import LEDGER
 from ledgerspark.sources.files import newest_version
@@ -36,5 +37,10 @@ def read_ledger(spark: SparkSession, root: str) -> DataFrame:
 
 
 def upsert_by_key(base: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
-    """``base`` with the rows of ``changes`` inserted, or put in place of those with the same key."""
-    return base.join(changes.select(*keys), keys, "left_anti").unionByName(changes.select(*base.columns))
+    """``base`` with the rows of ``changes`` inserted, or put in place of those with the same key.
+
+    ``changes`` has one row per key. Null is a key like any other.
+    """
+    same = [F.col(f"old.{key}").eqNullSafe(F.col(f"new.{key}")) for key in keys]
+    kept = base.alias("old").join(changes.select(*keys).alias("new"), same, "left_anti")
+    return kept.unionByName(changes.select(*base.columns))

@@ -4,46 +4,56 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerspark.functions.cleaning import finite_price, normalize_product_id
 from ledgerspark.operators.snapshots import dedupe_snapshot
-from ledgerspark.sources.snapshots import FILES, file_date, write_price_snapshot
+from ledgerspark.schemas import SNAPSHOTS
+from ledgerspark.sources.files import read_if_there
+from ledgerspark.sources.snapshots import FILES, file_date, read_snapshot_files, write_price_snapshot
 
+_FILE = "path string, modificationTime timestamp, length long, content binary"
+_STORED = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in SNAPSHOTS) + ", modified timestamp"
 
-def newest_file_rows(rows: DataFrame) -> DataFrame:
-    """Rows of the newest file per day; the path settles equal times. The files are compared
-    on one small row each, never row by row."""
-    files = rows.select("snapshot_date", "modified", "file_path").distinct()
-    newest = files.groupBy("snapshot_date").agg(
-        F.max(F.struct("modified", "file_path")).alias("newest"))
-    return rows.join(newest.select("snapshot_date", F.col("newest.file_path").alias("file_path")),
-                     ["snapshot_date", "file_path"], "left_semi")
 
+def newest_files(files: DataFrame, table: str) -> list[str]:
+    """The newest of ``files`` (path, modified) per day, unless the stored day is newer still.
 
-def _store(path: str):
+    The path settles equal times. Files are compared on one small row each, never row by row, and
+    one path per day comes to the driver.
+    """
+    dated = (files.withColumn("snapshot_date", file_date(F.element_at(F.split("path", "/"), -1)))
+             .filter(F.col("snapshot_date").isNotNull()))
+    newest = dated.groupBy("snapshot_date").agg(F.max(F.struct("modified", "path")).alias("newest"))
+    stored = read_if_there(lambda: files.sparkSession.read.schema(_STORED).parquet(table))
+    if stored is not None:
+        days = stored.groupBy("snapshot_date").agg(F.max("modified").alias("taken"))
+        newest = (newest.join(days, "snapshot_date", "left")
+                  .filter(F.col("taken").isNull() | (F.col("newest.modified") >= F.col("taken"))))
+    return [row.path for row in newest.select("newest.path").collect()]
+
+
+def _store(table: str):
     def write(batch: DataFrame, _batch_id: int) -> None:
         # A day is replaced whole, so a batch that is run again after a failure ends the same.
-        day = dedupe_snapshot(newest_file_rows(batch), ["position"])
-        write_price_snapshot(day, path, force=True)
+        files = newest_files(batch, table)
+        if files:
+            rows = read_snapshot_files(batch.sparkSession, files)
+            write_price_snapshot(dedupe_snapshot(rows, ["position"]), table, force=True)
     return write
 
 
 def ingest_snapshots_stream(spark: SparkSession, folder: str, table: str, checkpoint: str,
-                            max_files: int = 1000) -> StreamingQuery:
-    """Move new ``market_prices_<date>.parquet`` files (text ids) into the snapshot table.
+                            max_files: int | None = None) -> StreamingQuery:
+    """Move new ``market_prices_<date>.parquet`` files, with ids as text or integers, into the snapshot table.
 
     Every file is taken once and holds a whole day. A day that is sent again has to come
-    under a new path, such as another folder below ``folder``, and replaces the stored day.
-    The query ends when nothing new is left.
+    under a new path, such as another folder below ``folder``; the newest file of a day counts,
+    whichever batch or run it arrives in. ``max_files`` limits a batch, not the result. The query
+    ends when nothing new is left.
     """
-    raw = (spark.readStream.schema("productId string, marketPrice double")
-           .option("pathGlobFilter", FILES).option("recursiveFileLookup", "true")
-           .option("maxFilesPerTrigger", max_files).parquet(folder))
-    rows = (raw.select(normalize_product_id(F.col("productId")).alias("product_id"),
-                       file_date().alias("snapshot_date"),
-                       finite_price(F.col("marketPrice")).alias("market_price"),
-                       F.col("_metadata.file_path").alias("file_path"),
-                       F.col("_metadata.file_modification_time").alias("modified"),
-                       F.col("_metadata.row_index").alias("position"))
-            .filter(F.col("snapshot_date").isNotNull()))
-    return (rows.writeStream.foreachBatch(_store(table)).option("checkpointLocation", checkpoint)
+    reader = (spark.readStream.format("binaryFile").schema(_FILE)
+              .option("pathGlobFilter", FILES).option("recursiveFileLookup", "true"))
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    # Without the content column only the listing is read.
+    files = reader.load(folder).select("path", F.col("modificationTime").alias("modified"))
+    return (files.writeStream.foreachBatch(_store(table)).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

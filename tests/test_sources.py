@@ -2,14 +2,14 @@ import json
 import os
 import shutil
 from datetime import datetime
-from decimal import Decimal
+from decimal import ROUND_HALF_UP, Decimal
 
 import pandas as pd
 import pytest
 from helpers import D, prices, tx
 from pyspark.sql import functions as F
 
-from ledgerspark.functions.cleaning import clean_price, is_blank, local_date, strip
+from ledgerspark.functions.cleaning import clean_price, is_blank, local_date, strip, to_cents, to_millionths
 from ledgerspark.operators import catalogue, snapshots
 from ledgerspark.plans import rebuild as plans
 from ledgerspark.sources import archive, feeds, tables
@@ -72,6 +72,13 @@ def test_missing_catalogue_is_empty(spark, folder):
     assert catalogue_files.read_products(spark, f"{folder}/none.csv").count() == 0
 
 
+def test_catalogue_columns_are_found_by_name(spark, folder):
+    put(f"{folder}/products.csv", "url,set_code,productId,name,earliestDate\nu,7,1,\"Box, big\",2024-01-02\n,x,2,,soon\n")
+    got = {r.product_id: r for r in catalogue_files.read_products(spark, f"{folder}/products.csv").collect()}
+    assert (got["1"].name, got["1"].set_code, got["1"].earliest_date, got["1"].clean_name) == ("Box, big", 7, D("2024-01-02"), None)
+    assert (got["2"].set_code, got["2"].earliest_date) == (None, None)
+
+
 def test_id_list_is_trimmed_and_distinct(spark, folder):
     put(f"{folder}/ids.txt", " 12 \n\n13\n12\n   \n14")
     assert sorted(r[0] for r in catalogue_files.read_id_list(spark, f"{folder}/ids.txt").collect()) == ["12", "13", "14"]
@@ -125,6 +132,14 @@ def test_snapshot_files_with_both_id_types(spark, folder):
                    ("3", "2024-01-02"): None}
 
 
+def test_snapshot_files_count_the_first_row_and_skip_other_names(spark, folder):
+    pd.DataFrame({"productId": ["1", "1", "2"], "marketPrice": [None, 8.0, 3.0]}).to_parquet(
+        f"{folder}/market_prices_2024-01-01.parquet")
+    pd.DataFrame({"other": [1]}).to_parquet(f"{folder}/market_prices_backup.parquet")
+    rows = snapshot_files.read_price_snapshots(spark, folder)
+    assert sorted((r.product_id, r.market_price) for r in rows.collect()) == [("1", None), ("2", 3.0)]
+
+
 def test_snapshots_are_skipped_or_replaced_by_day(spark, folder):
     table = f"{folder}/prices"
     snapshot_files.write_price_snapshot(prices(spark, [("a", "2024-01-01", 1), ("b", "2024-01-01", 2)]), table)
@@ -144,7 +159,11 @@ def test_tables_are_replaced_and_cleared(spark, folder):
     assert tables.replace_table(ledger, root) == 1
     assert tables.replace_table(tables.read_ledger(spark, root).withColumn("quantity", F.lit(3)), root) == 2
     assert tables.read_ledger(spark, root).first().quantity == 3
+    # A version whose write did not come to its end is not read, and written over.
+    shutil.copytree(f"{root}/version=2", f"{root}/version=3", ignore=lambda _, names: {n for n in names if "_SUCCESS" in n})
+    assert tables.newest_version(spark, root) == 2
     tables.replace_table(ledger.filter("false"), root)
+    assert tables.newest_version(spark, root) == 3
     assert tables.read_ledger(spark, root).count() == 0
 
 
@@ -152,6 +171,9 @@ def test_upsert(spark):
     base = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
     change = spark.createDataFrame([("z", 2), ("w", 3)], "v string, k int")
     assert sorted(map(tuple, tables.upsert_by_key(base, change, ["k"]).collect())) == [(1, "x"), (2, "z"), (3, "w")]
+    base = spark.createDataFrame([(None, "x"), (2, "y")], "k int, v string")
+    change = spark.createDataFrame([(None, "z")], "k int, v string")
+    assert sorted(tables.upsert_by_key(base, change, ["k"]).collect(), key=repr) == [(2, "y"), (None, "z")]
 
 
 def test_rebuild_tables(spark, folder):
@@ -162,6 +184,16 @@ def test_rebuild_tables(spark, folder):
     assert tables.read_table(spark, f"{folder}/out/daily").count() == 3
 
 
+def test_collect_and_rebuild(spark, feed, folder):
+    catalogue_files.write_products_csv(
+        spark.sql("SELECT '1' product_id, 'n' name, 'c' clean_name, '' image_url, '2021-01-01' modified_on,"
+                  " '2021-01-01' earliest_date, 101 set_code, '' url"), f"{folder}/catalogue")
+    tables.replace_table(tx(spark, [(1, "1", "BUY", 2, 5, 10, "2024-01-05")]), f"{folder}/ledger")
+    summary = plans.collect_and_rebuild(spark, feed, f"{folder}/catalogue", f"{folder}/prices", f"{folder}/ledger",
+                                        f"{folder}/out", D("2024-01-06"))
+    assert (summary.first().current_market_value, summary.first().unrealized_pnl) == (21, 11)
+
+
 def test_stream_takes_each_file_once_and_replaces_days(spark, folder):
     source, table, state = f"{folder}/in", f"{folder}/prices", f"{folder}/state"
 
@@ -171,8 +203,8 @@ def test_stream_takes_each_file_once_and_replaces_days(spark, folder):
         shutil.copyfile(f"{folder}/tmp.parquet", f"{source}/{name}")
         os.utime(f"{source}/{name}", (modified, modified))
 
-    def run():
-        query = ingest_snapshots_stream(spark, source, table, state)
+    def run(max_files=None):
+        query = ingest_snapshots_stream(spark, source, table, state, max_files)
         assert query.awaitTermination(120)
         return sorted((r.product_id, str(r.snapshot_date), r.market_price)
                       for r in snapshot_files.read_snapshot_table(spark, table).collect())
@@ -186,6 +218,11 @@ def test_stream_takes_each_file_once_and_replaces_days(spark, folder):
     arrive("three/market_prices_2024-01-01.parquet", [("1", 2.0)], 1_700_000_050)
     arrive("two/market_prices_2023-12-31.parquet", [("1", 0.5)], 1_700_000_100)
     assert run() == [("1", "2023-12-31", 0.5), ("1", "2024-01-01", 3.0)]
+    # Integer ids, one file a batch, and a file that comes last but is older than what is stored.
+    arrive("four/market_prices_2024-01-02.parquet", [(5, 1.0), (6, 2.0)], 1_700_000_300)
+    arrive("five/market_prices_2024-01-02.parquet", [("5", 9.0)], 1_700_000_200)
+    arrive("six/market_prices_2024-01-01.parquet", [("1", 7.0)], 1_700_000_060)
+    assert run(1) == [("1", "2023-12-31", 0.5), ("1", "2024-01-01", 3.0), ("5", "2024-01-02", 1.0), ("6", "2024-01-02", 2.0)]
 
 
 def test_clean_price(spark):
@@ -202,6 +239,16 @@ def test_local_date(spark):
     assert got == ["2024-06-30", "2024-07-01", "2023-12-31"]
 
 
+def test_amounts_are_rounded_alike_at_every_size(spark):
+    given = [0.125, 2.675, 99999999999.125, 12345678901234.375, -0.125]
+    got = spark.createDataFrame([(x,) for x in given], "x double").select(to_cents(F.col("x"))).collect()
+    want = [int(Decimal(repr(x)).quantize(Decimal("0.01"), ROUND_HALF_UP) * 100) for x in given]
+    assert [r[0] for r in got] == want
+    given = ["0.0000005", "1000000001.0000005"]
+    got = spark.createDataFrame([(Decimal(x),) for x in given], "x decimal(20,7)").select(to_millionths(F.col("x"))).collect()
+    assert [r[0] for r in got] == [1, 1_000_000_001_000_001]
+
+
 def test_snapshot_stats_median(spark):
     rows = [("a", "2024-01-01", v) for v in (1.1, 1.2, 5, 5, 5)] + [("a", "2024-01-02", v) for v in (3, 1, None, 10, 2.5)] \
         + [("a", "2024-01-03", None), ("b", "2024-01-03", None)]

@@ -42,6 +42,13 @@ def test_dense_history_can_be_limited_to_a_range(spark):
                 .select(*sparse.columns)) == rows(sparse)
 
 
+def test_dense_history_refuses_days_that_are_not_in_the_calendar(spark):
+    history = timeseries.cost_history(tx(spark, [(1, "a", "BUY", 2, 5, 10, "2024-01-05"), (2, "a", "BUY", 1, 5, 5, "2024-01-09")]))
+    calendar = spark.sql("SELECT explode(sequence(date'2024-01-05', date'2024-01-08')) date")
+    with pytest.raises(Exception, match="not a calendar day: 2024-01-09"):
+        timeseries.densify(history, calendar).collect()
+
+
 def test_invariants(spark):
     ledger, quotes = random_case(5, n=80)
     frame, snaps = tx(spark, ledger), prices(spark, quotes)

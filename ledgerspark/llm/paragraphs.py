@@ -82,16 +82,17 @@ def bands_of(texts: list[str], known: WordHashes, bands: int, rows: int) -> np.n
 
 
 def lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """Paragraphs of ``min_words`` words and more: ``doc_id``, ``text_key``, ``para_no``, ``line``, ``key``, ``n_words``."""
+    """Lines of ``min_words`` words and more: ``doc_id``, ``text_key``, ``para_no``, ``line``, ``key``, ``n_words``."""
     parts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("para_no", "line"))
     return (parts.withColumn("n_words", count_words(F.col("line"))).where(F.col("n_words") >= min_words)
             .withColumn("key", F.xxhash64("line")))
 
 
-def find(docs: DataFrame, min_words: int = 30, threshold: float = 0.8, rows: int = 4) -> DataFrame:
+def find(docs: DataFrame, min_words: int = 1, threshold: float = 0.8, rows: int = 4) -> DataFrame:
     """Paragraphs that repeat: ``doc_id``, ``text_key``, ``para_no``, ``n_words``, ``cluster_id``, ``removed``.
 
-    Paragraphs are lines of at least ``min_words`` words. Two are linked when the Jaccard similarity of
+    Paragraphs are lines of at least ``min_words`` words, by default all that are not blank. Lines
+    without letters or digits are linked to equal lines only, other two when the Jaccard similarity of
     their five-word shingles, in lower case and without marks, reaches ``threshold``; pairs come from
     MinHash bands tuned to find 99.5 % of the pairs at the threshold, and all are verified. Clusters are
     connected components, and all their paragraphs but the first, by doc_id (null last), are
@@ -120,8 +121,13 @@ def _clusters(paragraphs: DataFrame, threshold: float, rows: int) -> DataFrame:
                 part = batch[i:i + 2_000]
                 if len(known) > 1_000_000:
                     known.clear()
-                found = bands_of(list(part["line"]), known, bands, rows)
-                yield pd.DataFrame({"band": found.ravel(), "key": np.repeat(part["key"].to_numpy(), bands)})
+                texts, keys = list(part["line"]), part["key"].to_numpy()
+                found = bands_of(texts, known, bands, rows)
+                # A set that one more shingle takes below the threshold has equal sets alone: one band finds them.
+                count = np.array([len(WORDS.findall(t)) for t in texts])
+                size = np.maximum(count - SHINGLE + 1, 1)
+                asked = np.where(count == 0, 0, np.where(size / (size + 1) < threshold - 1e-9, 1, bands))
+                yield pd.DataFrame({"band": found[np.arange(bands) < asked[:, None]], "key": np.repeat(keys, asked)})
 
     signed = stored(paragraphs.mapInPandas(sign, "band long, key long"))
     shared = signed.groupBy("band").agg(F.min("key").alias("lead"), F.max("key").alias("_last")).where("lead <> _last").drop("_last")

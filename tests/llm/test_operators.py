@@ -139,6 +139,16 @@ def test_paragraphs(spark, odd, empty):
     assert paragraphs.find(empty).count() == 0 and paragraphs.find(odd, min_words=3).where("removed").count() == 1
 
 
+def test_short_lines_are_paragraphs(spark):
+    rng = random.Random(12)
+    wrapped = "\n".join(prose(rng, n) for n in (7, 25, 25, 3, 4))
+    made = [(2, wrapped), (467, prose(rng, 40) + "\n" + wrapped), (5, "* * *"), (6, "- - -"), (7, "- - -"), (8, "Yes, one!"), (9, "yes one")]
+    found = paragraphs.find(spark.createDataFrame(made, "doc_id long, text string"))
+    want = [(2, n, 2, False) for n in range(5)] + [(467, n + 1, 2, True) for n in range(5)]
+    want += [(6, 0, 6, False), (7, 0, 6, True), (8, 0, 8, False), (9, 0, 8, True)]
+    assert rows(found, "doc_id", "para_no", "cluster_id", "removed") == sorted(want, key=repr)
+
+
 def test_residual_links_between_bucket_members(spark):
     w = [f"a{i}" for i in range(100)]
     chain = [w[k * 4:k * 4 + 60] for k in range(6)]  # neighbours are alike, the ends are not

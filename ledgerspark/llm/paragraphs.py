@@ -1,4 +1,4 @@
-"""Substring dedup: paragraphs that repeat, exactly or nearly, across documents."""
+"""Substring dedup: paragraphs that repeat, exactly or nearly, and passages inside them that repeat word for word."""
 
 import re
 from collections.abc import Iterator
@@ -14,6 +14,8 @@ from ledgerspark.llm.common import components, count_words, stored
 WORDS = re.compile(r"\w+")
 SHINGLE = 5
 KEYS = 500_000  # candidate keys (4 MB) up to which they are sent to every task
+PIECE = 25  # words of a passage's pieces
+RUN = 50  # words of a repeated run that holds one chosen piece at least
 CHUNK = 256  # paragraphs of a bucket compared by one task at a time
 POWERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -34,6 +36,14 @@ class WordHashes(dict):
         return value
 
 
+class RawWordHashes(WordHashes):
+    """Hashes of words in lower case, remembered by the words as they stand."""
+
+    def __missing__(self, word: str) -> int:
+        value = self[word] = xxhash.xxh3_64_intdigest(word.lower())
+        return value
+
+
 def shingle_hashes(texts: list[str], known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the five-word shingles of all texts, and where each text's begin.
 
@@ -89,7 +99,10 @@ def lines(docs: DataFrame, min_words: int) -> DataFrame:
 
 
 def find(docs: DataFrame, min_words: int = 1, threshold: float = 0.8, rows: int = 4) -> DataFrame:
-    """Paragraphs that repeat: ``doc_id``, ``text_key``, ``para_no``, ``n_words``, ``cluster_id``, ``removed``.
+    """What repeats: ``doc_id``, ``text_key``, ``para_no``, ``word_no``, ``n_words``, ``cluster_id``, ``removed``.
+
+    Rows without ``word_no`` are whole paragraphs, rows with it are pieces of passages that repeat in the
+    lines left (``passages``); ``para_no`` is then the line where the piece begins.
 
     Paragraphs are lines of at least ``min_words`` words, by default all that are not blank. Lines
     without letters or digits are linked to equal lines only, other two when the Jaccard similarity of
@@ -99,6 +112,11 @@ def find(docs: DataFrame, min_words: int = 1, threshold: float = 0.8, rows: int
     removed. ``cluster_id`` is the smallest doc_id of the cluster. Equal rows count as one document;
     null texts have no paragraphs. Equal paragraphs are told by a 64-bit hash and compared once.
     """
+    whole = stored(_paragraphs(docs, min_words, threshold, rows).withColumn("word_no", F.lit(None).cast("int")))
+    return whole.unionByName(passages(docs, whole)).select("doc_id", "text_key", "para_no", "word_no", "n_words", "cluster_id", "removed")
+
+
+def _paragraphs(docs: DataFrame, min_words: int, threshold: float, rows: int) -> DataFrame:
     every = stored(lines(docs, min_words).select("doc_id", "text_key", "para_no", "n_words", "key"))
     roots = _clusters(lines(docs, min_words).select("key", "line"), threshold, rows)
     known = every.join(roots, every["key"] == roots["node"], "left").withColumn("_root", F.coalesce("root", "key"))
@@ -111,6 +129,91 @@ def find(docs: DataFrame, min_words: int = 1, threshold: float = 0.8, rows: int
                     (~F.col("_at").eqNullSafe(F.col("_first"))).alias("removed")))
 
 
+def chosen(texts: list[str], known: RawWordHashes) -> tuple[np.ndarray, ...]:
+    """Of texts of ``RUN`` words and more the chosen pieces: text, first word, hash, lines of the first and the last word.
+
+    Words are counted over all lines of a text. Of every ``RUN - PIECE + 1`` neighbouring pieces the one with
+    the smallest hash is chosen, so a run of ``RUN`` words brings the same piece to every text that holds it.
+    """
+    span = RUN - PIECE + 1
+    every, text_at, sizes, line_at = [], [], [], []
+    for n, text in enumerate(texts):
+        found = [WORDS.findall(line) for line in text.split("\n")]
+        size = sum(map(len, found))
+        if size < RUN:
+            continue
+        text_at.append((n, len(every)))
+        sizes.append(size)
+        for no, line in enumerate(found):
+            line_at.append((no, len(every)))
+            every += map(known.__getitem__, line)
+    if not every:
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
+    w = np.array(every, np.uint64)
+    count = len(w) - PIECE + 1
+    hashes = np.zeros(count, np.uint64)
+    for k in range(PIECE):
+        hashes = (hashes ^ (hashes >> np.uint64(29))) * POWERS[1] + w[k:k + count]
+    hashes = (hashes ^ (hashes >> np.uint64(32))) * POWERS[2]
+    hashes ^= hashes >> np.uint64(29)
+    (names, begins), (nos, line_begins) = np.array(text_at).T, np.array(line_at).T
+    least = np.lib.stride_tricks.sliding_window_view(hashes, span).argmin(axis=1)
+    where = np.arange(len(least))
+    # Windows that reach into the next text do not count.
+    of = np.searchsorted(begins, where, "right") - 1
+    at = np.unique((where + least)[where + RUN <= begins[of] + np.array(sizes)[of]])
+    value, of = hashes[at], np.searchsorted(begins, at, "right") - 1
+    # Text that repeats itself brings the same piece at short steps: one of PIECE words' length is enough.
+    new = np.r_[True, (value[1:] != value[:-1]) | (np.diff(at) > span) | (of[1:] != of[:-1])]
+    step = (at - at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]) // PIECE
+    keep = new | np.r_[True, step[1:] != step[:-1]]
+    at, value, of = at[keep], value[keep], of[keep]
+    first, last = (nos[np.searchsorted(line_begins, x, "right") - 1] for x in (at, at + PIECE - 1))
+    return names[of], at - begins[of], value.view(np.int64), first, last
+
+
+def passages(docs: DataFrame, whole: DataFrame) -> DataFrame:
+    """Pieces of ``PIECE`` words that stand in more than one document, outside the removed paragraphs of ``whole``.
+
+    Words are compared in lower case and without marks, over line breaks. Every two documents that still
+    share a run of ``RUN`` words share a piece. A piece stays where it stands first and goes elsewhere;
+    the ends of a run beyond its outermost pieces, up to ``RUN - PIECE`` words each, stay.
+    """
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = RawWordHashes()
+        for batch in batches:
+            for i in range(0, len(batch), 500):
+                part = batch[i:i + 500]
+                if len(known) > 1_000_000:
+                    known.clear()
+                n, at, value, first, last = chosen(list(part["text"]), known)
+                yield pd.DataFrame({"seed": value, "doc_id": part["doc_id"].to_numpy()[n], "text_key": part["text_key"].to_numpy()[n],
+                                    "para_no": first, "_last": last, "word_no": at})
+
+    # Ids go through pandas as text, which keeps large numbers beside nulls.
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("string"), F.xxhash64("text").alias("text_key"), "text")
+    made = texts.mapInPandas(cut, "seed long, doc_id string, text_key long, para_no int, _last int, word_no int")
+    seeds = stored(made.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType)))
+    doc = F.xxhash64("doc_id", "text_key")
+    shared = stored(seeds.groupBy("seed").agg(F.min(doc).alias("x"), F.max(doc).alias("y")).where("x <> y").select("seed"))
+    spots = stored(seeds.join(_small(shared), "seed", "left_semi"))
+    gone = (whole.where("removed").groupBy("doc_id", "text_key").agg(F.collect_set("para_no").alias("_gone"))
+            .withColumnsRenamed({"doc_id": "_id", "text_key": "_key"}))
+    left = stored(spots.join(gone, (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+                  .where(~F.coalesce(F.exists("_gone", lambda p: p.between(F.col("para_no"), F.col("_last"))), F.lit(False))).drop("_id", "_key", "_gone"))
+    place = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("text_key").alias("c"), F.col("word_no").alias("d"))
+    firsts = stored(left.groupBy("seed").agg(F.min(place).alias("_first"), F.min(doc).alias("x"), F.max(doc).alias("y"))
+                    .where("x <> y").select("seed", "_first"))
+    return (left.join(_small(firsts), "seed")
+            .select("doc_id", "text_key", "para_no", "word_no", F.lit(PIECE).cast("long").alias("n_words"), F.col("_first.b").alias("cluster_id"),
+                    (~place.eqNullSafe(F.col("_first"))).alias("removed")).distinct())
+
+
+def _small(keys: DataFrame) -> DataFrame:
+    """Stored rows of keys: up to a fixed number they go to every task, beyond it both sides are shuffled."""
+    return F.broadcast(keys) if keys.count() <= KEYS else keys
+
+
 def _clusters(paragraphs: DataFrame, threshold: float, rows: int) -> DataFrame:
     bands = tune(threshold, rows=rows)
 
@@ -148,9 +251,7 @@ def _clusters(paragraphs: DataFrame, threshold: float, rows: int) -> DataFrame:
 def _sets(paragraphs: DataFrame, keys: DataFrame) -> DataFrame:
     """``key`` and the distinct ``shingles`` of every paragraph that shares a bucket."""
     keys = stored(keys)
-    # Up to a fixed number the keys go to every task, beyond it both sides are shuffled.
-    small = F.broadcast(keys) if keys.count() <= KEYS else keys
-    some = paragraphs.join(small, "key", "left_semi").groupBy("key").agg(F.min("line").alias("line"))
+    some = paragraphs.join(_small(keys), "key", "left_semi").groupBy("key").agg(F.min("line").alias("line"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
@@ -201,10 +302,39 @@ def _residual(rest: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def remove(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``docs`` without the removed paragraphs; rows and columns stay, a text may end up empty."""
-    gone = (found.where("removed").groupBy("doc_id", "text_key").agg(F.collect_set("para_no").alias("_gone"))
+    """``docs`` without the removed paragraphs and passages; rows and columns stay, a text may end up empty."""
+    gone = (found.where("removed").groupBy("doc_id", "text_key")
+            .agg(F.collect_set(F.when(F.col("word_no").isNull(), F.col("para_no"))).alias("_gone"), F.collect_set("word_no").alias("_pieces"))
             .withColumnsRenamed({"doc_id": "_id", "text_key": "_key"}))
     keyed = docs.withColumn("_of", F.xxhash64("text"))
+
+    @F.pandas_udf("string")
+    def without(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, paras, pieces in batches:
+            yield pd.Series([_without(*x) for x in zip(texts, paras, pieces, strict=True)], dtype="object")
+
     text = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    return (keyed.join(gone, (F.col("_of") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-            .withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(text)).select(*docs.columns))
+    joined = keyed.join(gone, (F.col("_of") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    return (joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).when(F.size("_pieces") == 0, text)
+                              .otherwise(without(F.when(F.size("_pieces") > 0, F.col("text")), "_gone", "_pieces"))).select(*docs.columns))
+
+
+def _without(text: str | None, gone: np.ndarray | None, pieces: np.ndarray | None) -> str | None:
+    """``text`` without lines ``gone`` and the words of the pieces that begin at words ``pieces``."""
+    if text is None:
+        return None
+    cut = {k + n for k in pieces for n in range(PIECE)}
+    gone, out, no = set(gone), [], 0
+    for n, line in enumerate(text.split("\n")):
+        kept, at, any_cut = [], 0, False
+        for m in WORDS.finditer(line):
+            if no in cut:
+                # What stands between removed words goes with them.
+                if not any_cut or no - 1 not in cut:
+                    kept.append(line[at:m.start()])
+                at, any_cut = m.end(), True
+            no += 1
+        rest = "".join(kept) + line[at:]
+        if n not in gone and (not any_cut or WORDS.search(rest)):
+            out.append(rest)
+    return "\n".join(out)

@@ -149,6 +149,29 @@ def test_short_lines_are_paragraphs(spark):
     assert rows(found, "doc_id", "para_no", "cluster_id", "removed") == sorted(want, key=repr)
 
 
+def test_passages_inside_lines_and_over_breaks(spark):
+    rng = random.Random(13)
+    run = [f"{w}{k}" for k, w in enumerate(prose(rng, 50).split())]
+    texts = {}
+    for i in range(12):
+        words = [f"p{i}x{k}" for k in range(40)] + run + [f"s{i}x{k}" for k in range(40)]
+        breaks = set(rng.sample(range(1, 130), i))
+        texts[i] = "".join(("\n" if k in breaks else " " if k else "") + w for k, w in enumerate(words))
+    texts[20] = " ".join(f"alone{k}" for k in range(200)) + " lang" * 300
+    docs = spark.createDataFrame([*texts.items(), (0, texts[0])], "doc_id long, text string")
+    found = paragraphs.find(docs)
+    got = found.where("word_no is not null").collect()
+    assert {r["doc_id"] for r in got} == set(range(12)) and all(r["cluster_id"] in range(12) for r in got)
+    assert all(r["removed"] == (r["doc_id"] != r["cluster_id"]) for r in got)
+    assert all(texts[r["doc_id"]].split()[r["word_no"]:r["word_no"] + 25] == run[r["word_no"] - 40:r["word_no"] - 15]
+               and 40 <= r["word_no"] <= 65 for r in got)
+    left = {r["doc_id"]: r["text"] for r in paragraphs.remove(docs, found).collect()}
+    assert left[0] == texts[0] and left[20] == texts[20]
+    for i in range(1, 12):
+        words = left[i].split()
+        assert len(words) <= 105 and [w for w in words if w not in run] == [w for w in texts[i].split() if w not in run]
+
+
 def test_residual_links_between_bucket_members(spark):
     w = [f"a{i}" for i in range(100)]
     chain = [w[k * 4:k * 4 + 60] for k in range(6)]  # neighbours are alike, the ends are not

@@ -5,7 +5,7 @@ from collections.abc import Iterator
 from html import unescape
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerspark.llm.common import stored
@@ -37,6 +37,8 @@ TAG = re.compile(
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|</?[a-zA-Z][^>]*>|<[!?/][^>]*>", re.S | re.I)
 ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+PATHS = 100_000  # unimportant paths, and pages' lists of them, up to which they are sent to every task
+LISTS = 50_000
 HOST = re.compile(r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)")
 
 
@@ -187,8 +189,8 @@ def style_trees(pages: DataFrame, least: int = 8) -> DataFrame:
     the entropy of its texts over the pages that have them, to the base of the number of pages:
     text that all pages share counts 0, text of one page 1. Its presentation importance is the
     entropy of its children's styles. A node counts as important as the most important part of
-    it, so a branch is unimportant only as a whole. Nodes on fewer than ``least`` pages
-    or on less than a twentieth of the host's pages say nothing and are left out. Counts are
+    it, so a branch is unimportant only as a whole. Nodes on fewer than ``least`` pages say nothing
+    of the site: they count as important for the nodes above them and are left out. Counts are
     summed before they are shuffled, whatever share of the pages one host has.
     """
     values = nodes(pages).groupBy("host", "path", "kind", "value").agg(F.count("*").alias("n"))
@@ -200,12 +202,33 @@ def style_trees(pages: DataFrame, least: int = 8) -> DataFrame:
         F.max("m").alias("n_pages"),
         F.max(F.when(text, 1 - F.col("nlogn") / (F.col("m") * F.log(F.greatest("m", F.lit(2)))))).alias("content"),
         F.max(F.when(style, 1 - F.col("nlogn") / (F.col("m") * F.log(F.greatest("m", F.lit(2)))))).alias("presentation"))
-    size = own.groupBy("host").agg(F.max("n_pages").alias("_most"))
-    enough = own.join(size, "host").where((F.col("n_pages") >= least) & (F.col("n_pages") >= F.col("_most") / 20)).drop("_most")
-    scored = stored(enough.withColumn("own", F.greatest(F.coalesce("content", F.lit(0.0)), F.coalesce("presentation", F.lit(0.0)))))
+    rated = F.greatest(F.coalesce("content", F.lit(0.0)), F.coalesce("presentation", F.lit(0.0)))
+    scored = stored(own.withColumn("own", F.when(F.col("n_pages") < least, 1.0).otherwise(rated)))
     parents = F.transform(F.sequence(F.lit(2), F.size(F.split("path", ">"))), lambda k: F.array_join(F.slice(F.split("path", ">"), 1, k), ">"))
     tops = scored.select("host", F.explode(parents).alias("path"), "own").groupBy("host", "path").agg(F.max("own").alias("importance"))
-    return scored.select("host", "path", "n_pages").join(tops, ["host", "path"])
+    return scored.where(F.col("n_pages") >= least).select("host", "path", "n_pages").join(tops, ["host", "path"])
+
+
+def low_paths(pages: DataFrame, low: DataFrame) -> DataFrame:
+    """Of the paths ``low`` (host, path) those each page has: ``_of`` (a hash of the page), ``_low``."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(of, host_of(url), path) for of, url, html in zip(batch["_of"], batch["url"], batch["html"], strict=True)
+                    for path in {up for block in Page(html).blocks for up in parts_of(block[0])}]
+            yield pd.DataFrame(rows, columns=["_of", "host", "path"])
+
+    low = stored(low)
+    own = pages.where("html is not null").select(_page().alias("_of"), "url", "html").mapInPandas(run, "_of long, host string, path string")
+    return own.join(_small(low, PATHS), ["host", "path"]).groupBy("_of").agg(F.collect_set("path").alias("_low"))
+
+
+def _page() -> Column:
+    return F.xxhash64(F.coalesce("url", F.lit("")), "html")
+
+
+def _small(rows: DataFrame, most: int) -> DataFrame:
+    """Stored rows: up to a fixed number they go to every task, beyond it both sides are shuffled."""
+    return F.broadcast(rows) if rows.count() <= most else rows
 
 
 def extract(pages: DataFrame, threshold: float = 0.4) -> DataFrame:
@@ -219,8 +242,7 @@ def extract(pages: DataFrame, threshold: float = 0.4) -> DataFrame:
     or empty html gives an empty text; a null url is a host of its own. ``text`` and ``n_chars`` are replaced.
     """
     trees = style_trees(pages)
-    low = trees.where(F.col("importance") < threshold).groupBy("host").agg(F.collect_set("path").alias("_low"))
-    name = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST.pattern, 1))
+    lows = stored(low_paths(pages, trees.where(F.col("importance") < threshold).select("host", "path")))
     names = [c for c in pages.columns if c not in ("text", "n_chars")]
 
     @F.pandas_udf("string")
@@ -228,7 +250,7 @@ def extract(pages: DataFrame, threshold: float = 0.4) -> DataFrame:
         for htmls, lows in batches:
             yield pd.Series([text_of(h, low) for h, low in zip(htmls, lows, strict=True)], dtype="object")
 
-    joined = pages.withColumn("_host", name).join(low.withColumnRenamed("host", "_site"), F.col("_host") == F.col("_site"), "left")
+    joined = pages.withColumn("_key", _page()).join(_small(lows, LISTS), F.col("_key") == F.col("_of"), "left")
     return (joined.withColumn("text", main_text(F.coalesce("html", F.lit("")), F.coalesce("_low", F.array().cast("array<string>"))))
             .select(*names, "text").withColumn("n_chars", F.length("text").cast("long")))
 

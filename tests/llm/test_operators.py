@@ -107,6 +107,22 @@ def test_style_tree_removes_what_pages_share(spark):
     assert html.extract(pages.limit(0)).count() == 0
 
 
+def test_style_tree_of_rare_nodes(spark):
+    rng = random.Random(14)
+    page = "<body><div class=x2><p>{}</p></div>{}</body>"
+    # A box on 10 of 400 pages of a host goes as it does on 10 of 20; a branch that holds a rare text stays.
+    box = "<div class=x5>Same words of one section</div>"
+    made = [(i, f"http://big.example/{i}", page.format(prose(rng, 30), box if i < 10 else "")) for i in range(400)]
+    made += [(i, f"http://small.example/{i}", page.format(prose(rng, 30), box if i < 510 else "")) for i in range(500, 520)]
+    rare = {i: prose(rng, 30) for i in range(600, 603)}
+    made += [(i, f"http://rare.example/{i}", page.format(prose(rng, 30), f"<div class=x7>Same words<div class=x8>{rare.get(i, '')}</div></div>"))
+             for i in range(600, 630)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(made, "page_id long, url string, html string")).collect()}
+    assert not any("Same words of" in x for x in got.values()) and len(got) == 450
+    assert all(rare[i] in got[i] for i in rare)
+    assert all(re.search("<p>(.*?)</p>", x)[1] in got[i] for i, _, x in made)
+
+
 def test_paragraphs(spark, odd, empty):
     rng = random.Random(3)
     base = [prose(rng, 60) for _ in range(6)]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerspark.llm.common import stored
 
-# A candidate is a run of 16 or more of these characters with a digit in it.
+# A candidate is a run of 16 or more of these characters with a digit in it, or a value beside a secret word.
 RUN = r"[A-Za-z0-9_+/=\-]{16,}"
 BLANK = r"[\x20\x09-\x0D]+"
 # Words beside a candidate that speak of secrets, or of harmless numbers.
@@ -17,24 +17,46 @@ HARMLESS_WORDS = ("sha", "commit", "checksum", "digest", "uuid", "id", "order",
 FEATURES = ("length", "transitions", "classes", "digits", "coverage", "distinct", "path", "quoted", "assigned", "secret_word", "harmless_word")
 
 
+# A name that ends in a secret word, what may stand between it and its value, and what is not part of a value.
+NAME = r"(?:^|[^a-z])(?:" + "|".join(SECRET_WORDS) + r")s?"
+SIGN = r"(?:=>|:=|[=:])"
+MARKS = "[\"'`]*"
+VALUE = "(?i)" + NAME + MARKS + SIGN + "(?:\"([^\"]+)\"?|'([^']+)'?|`([^`]+)`?|([^\"'`].*))"
+OUTER = "^[=:>\"'`(\\[{<]+|[\"'`)\\]}>.,;]+$"
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """One row per candidate: ``doc_id``, ``text_key``, ``word_no``, ``found`` and its features.
 
     ``text_key`` is a hash of the text. Long runs count whole, every occurrence in a word of its own
-    row; null texts have none. Path and neighbouring words are features: whether the run looks
-    like a path or link, and which words stand in the three places before it and the one after.
+    row; null texts have none. So do values of any length and characters that are assigned to a
+    secret word or stand next to one; marks around them are left out. Path and neighbouring words are
+    features: whether the run looks like a path or link, and which words stand in the three places
+    before it and the one after.
     """
-    # Only texts with such a run are split into words.
-    some = docs.select("doc_id", "text").where(F.col("text").rlike(RUN))
+    # Only texts with such a run or a secret word are split into words.
+    some = docs.select("doc_id", "text").where(F.col("text").rlike(RUN) | F.lower("text").rlike(NAME + "([^a-z]|$)"))
     parts = some.select("doc_id", F.xxhash64("text").alias("text_key"), F.split("text", BLANK).alias("_w"))
+    at = lambda i: F.lower(F.coalesce(F.get("_w", i), F.lit("")))
     hit = lambda w: w.rlike(RUN) & w.rlike("[0-9]")
-    spots = F.filter(F.transform("_w", lambda w, i: F.when(hit(w), F.struct(
-        i.alias("no"), w.alias("word"),
+    # The value's word comes after the name, after a sign or verb behind it, or before the name.
+    beside = lambda i: (at(i - 1).rlike(NAME + MARKS + SIGN + "?" + MARKS + "$")
+                        | (at(i - 1).rlike("^(?:" + SIGN + "|is|was|are)$") & at(i - 2).rlike(NAME + MARKS + "$"))
+                        | at(i + 1).rlike("^[\"'`(]*" + NAME + "([^a-z]|$)"))
+    assigned = lambda w: w.rlike(VALUE)
+    spots = F.filter(F.transform("_w", lambda w, i: F.when(hit(w) | assigned(w) | beside(i), F.struct(
+        i.alias("no"), w.alias("word"), beside(i).alias("beside"),
         F.lower(F.array_join(F.slice("_w", F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3))), " ")).alias("before"),
         F.lower(F.array_join(F.slice("_w", i + 2, 1), " ")).alias("after")))), lambda s: s.isNotNull())
-    rows = parts.select("doc_id", "text_key", F.explode(spots).alias("s")).select(
-        "doc_id", "text_key", F.col("s.no").alias("word_no"), "s.word", "s.before", "s.after",
-        F.explode(F.filter(F.regexp_extract_all("s.word", F.lit(RUN), F.lit(0)), lambda x: x.rlike("[0-9]"))).alias("found"))
+    spot = parts.select("doc_id", "text_key", F.explode(spots).alias("s"))
+    runs = F.filter(F.regexp_extract_all("s.word", F.lit(RUN), F.lit(0)), lambda x: x.rlike("[0-9]"))
+    quoted = [F.regexp_extract("s.word", VALUE, k) for k in (1, 2, 3)]
+    values = F.array(*quoted, F.regexp_replace(F.regexp_extract("s.word", VALUE, 4), OUTER, ""),
+                     F.when(F.col("s.beside") & ~assigned(F.col("s.word")), F.regexp_replace("s.word", OUTER, "")).otherwise(""))
+    # A name with its sign is no value.
+    values = F.filter(values, lambda x: x.rlike(r"[\p{L}0-9]") & ~F.lower(x).rlike("^" + NAME + MARKS + SIGN + "$"))
+    rows = spot.select("doc_id", "text_key", F.col("s.no").alias("word_no"), "s.word", "s.before", "s.after",
+                       F.explode(F.array_distinct(F.concat(runs, values))).alias("found"))
     return rows.withColumns(_features())
 
 
@@ -56,7 +78,7 @@ def _features() -> dict[str, Column]:
         "path": flag(word.rlike(r"://|^/|^\./|\.[a-z]{2,4}$|(/[a-z0-9_\-]+){2}")),
         "quoted": flag(word.rlike("[\"'`]")),
         "assigned": flag(around.rlike(r"[=:]\s*[\"'`]?$")),
-        "secret_word": flag(said(SECRET_WORDS, around)),
+        "secret_word": flag(said(SECRET_WORDS, F.concat_ws(" ", around, F.col("after")))),
         "harmless_word": flag(said(HARMLESS_WORDS, F.concat_ws(" ", around, F.col("after")))),
     }
 
@@ -82,11 +104,12 @@ def with_coverage(rows: DataFrame, docs: DataFrame, common: int = 20) -> DataFra
 def label_findings(rows: DataFrame) -> DataFrame:
     """Labelled findings out of candidates: ``label`` 1 or 0 where the case is clear, no row otherwise.
 
-    Clear findings are assigned values beside a secret word that change character class often and hold
-    no dictionary words; clear false positives are plain numbers, paths, and names made of words.
+    Clear findings are assigned values beside a secret word that hold no dictionary words; clear
+    false positives are plain numbers, paths, and names made of words, and dictionary words that
+    only stand beside a secret word.
     """
-    yes = "assigned = 1 and secret_word = 1 and path = 0 and coverage < 0.4 and transitions >= 0.25 and digits < 1 and distinct >= 0.15"
-    no = "secret_word = 0 and (digits = 1 or path = 1 or coverage >= 0.5 or transitions < 0.1)"
+    yes = "assigned = 1 and secret_word = 1 and path = 0 and coverage < 0.4 and digits < 1 and distinct >= 0.15"
+    no = "secret_word = 0 and (digits = 1 or path = 1 or coverage >= 0.5 or transitions < 0.1) or (assigned = 0 and coverage >= 0.5)"
     return rows.withColumn("label", F.when(F.expr(yes), 1.0).when(F.expr(no), 0.0)).where("label is not null")
 
 
@@ -133,11 +156,17 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, sample: int = 20_00
 
 
 def redact(docs: DataFrame, found: DataFrame, mask: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every confirmed secret of a text replaced by ``mask``; all rows and columns stay."""
+    """``docs`` with every confirmed secret of a text replaced by ``mask``; all rows and columns stay.
+
+    Long runs are replaced wherever they stand, other values where no letter or digit stands beside them.
+    """
     longest_first = F.array_sort(F.collect_set("found"), lambda a, b: F.length(b) - F.length(a))
     secrets = found.where("is_secret").groupBy("text_key").agg(longest_first.alias("_secrets"))
     keyed = docs.withColumn("_key", F.xxhash64("text"))
-    text = F.aggregate("_secrets", F.col("text"), lambda t, s: F.replace(t, s, F.lit(mask)))
+    whole = lambda s: F.concat(F.lit("(?<![\\p{L}0-9])\\Q"), F.replace(s, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E(?![\\p{L}0-9])"))
+    plain = F.lit(mask.replace("\\", "\\\\").replace("$", "\\$"))
+    text = F.aggregate("_secrets", F.col("text"), lambda t, s: F.when(s.rlike(f"^{RUN}$") & s.rlike("[0-9]"), F.replace(t, s, F.lit(mask)))
+                       .otherwise(F.regexp_replace(t, whole(s), plain)))
     return (keyed.join(secrets, keyed["_key"] == secrets["text_key"], "left")
             .withColumn("text", F.when(F.col("_secrets").isNull(), F.col("text")).otherwise(text))
             .select(*docs.columns))

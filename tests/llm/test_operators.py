@@ -214,6 +214,22 @@ def test_secrets(spark, odd, empty):
     assert "Python" not in plan and "Pandas" not in plan
 
 
+def test_secrets_of_other_forms(spark):
+    rng = random.Random(15)
+    letters = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(n))
+    forms = ['password = "{}"', "password: {}", "DB_PASSWORD='{}'", 'secret="{}"']
+    values = ["hunter2secret", "KQZXWVJPRTLMBNGH", "p.4!x@Z:q9", "Zq7\\E.$1k", *(letters(rng.randint(6, 20)) for _ in range(36))]
+    made = [(i, f"some words before {forms[i % 4].format(v)} and after the token of the key words") for i, v in enumerate(values)]
+    made += [(i, f"order {rng.randrange(10 ** 15, 10 ** 16)} and some words before and after the token of the key words") for i in range(50, 90)]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    found = secrets.scan(docs)
+    assert {(r["doc_id"], r["found"]) for r in found.where("is_secret").collect()} == set(enumerate(values))
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs, found).collect()}
+    assert clean == {i: t.replace(values[i], "[SECRET]") if i < 50 else t for i, t in made}
+    plan = found._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+
+
 def test_decontamination(spark, odd, empty):
     rng = random.Random(5)
     items = [(i, prose(rng, 12 + i) + ". " + prose(rng, 8) + ".") for i in range(40)] + [(90, None), (91, ""), (None, prose(rng, 20)), (92, "two words")]

@@ -22,6 +22,7 @@ NAME = r"(?:^|[^a-z])(?:" + "|".join(SECRET_WORDS) + r")s?"
 SIGN = r"(?:=>|:=|[=:])"
 MARKS = "[\"'`]*"
 VALUE = "(?i)" + NAME + MARKS + SIGN + "(?:\"([^\"]+)\"?|'([^']+)'?|`([^`]+)`?|([^\"'`].*))"
+QUOTED = "^[=:>(\\[{<]*([\"'`])(.+?)\\1.*$"
 OUTER = "^[=:>\"'`(\\[{<]+|[\"'`)\\]}>.,;]+$"
 
 
@@ -52,7 +53,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     runs = F.filter(F.regexp_extract_all("s.word", F.lit(RUN), F.lit(0)), lambda x: x.rlike("[0-9]"))
     quoted = [F.regexp_extract("s.word", VALUE, k) for k in (1, 2, 3)]
     values = F.array(*quoted, F.regexp_replace(F.regexp_extract("s.word", VALUE, 4), OUTER, ""),
-                     F.when(F.col("s.beside") & ~assigned(F.col("s.word")), F.regexp_replace("s.word", OUTER, "")).otherwise(""))
+                     F.when(F.col("s.beside") & ~assigned(F.col("s.word")), F.regexp_replace(F.regexp_replace("s.word", QUOTED, "$2"), OUTER, "")).otherwise(""))
     # A name with its sign is no value.
     values = F.filter(values, lambda x: x.rlike(r"[\p{L}0-9]") & ~F.lower(x).rlike("^" + NAME + MARKS + SIGN + "$"))
     rows = spot.select("doc_id", "text_key", F.col("s.no").alias("word_no"), "s.word", "s.before", "s.after",

@@ -16,6 +16,22 @@ def codes(texts) -> tuple[np.ndarray, np.ndarray]:
     return np.array(texts, dtype=f"U{width}").view(np.uint32).reshape(len(texts), width), lengths
 
 
+def letter_counts(texts, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per text how many of its letters fall into each class (code point modulo ``classes``), and its length."""
+    lengths = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
+    counts = np.zeros((len(texts), classes), dtype=np.int32)
+    letters = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32) % classes
+    np.add.at(counts, (np.repeat(np.arange(len(texts)), lengths), letters), 1)
+    return counts, lengths
+
+
+def shared_letters(query: str, counts: np.ndarray) -> np.ndarray:
+    """Most letters that the query can have in common with each counted text."""
+    mine = letter_counts([query], counts.shape[1])[0]
+    used = np.flatnonzero(mine[0])
+    return np.minimum(counts[:, used], mine[:, used]).sum(axis=1)
+
+
 def _bit_range(start: np.ndarray, end: np.ndarray, words: int) -> np.ndarray:
     """Masks with bits start..end-1 set, one more axis for the words."""
     base = np.arange(words) * 64
@@ -143,7 +159,8 @@ def token_set_ratio(query_words, text_words) -> np.ndarray:
         gap = 1 if shared else 0
         a = common + gap + len(left)
         b = common + gap + np.array([len(r) for r in right])
-        rest = full_ratio(left, right) * (len(left) + b - common - gap) / 200.0
+        # A number of characters again, so that equal similarities are equal to the last bit.
+        rest = np.rint(full_ratio(left, right) * (len(left) + b - common - gap) / 200.0)
         score = 200.0 * (common + gap + rest) / (a + b)
         if shared:
             score = np.maximum(score, np.maximum(200.0 * common / (common + a), 200.0 * common / (common + b)))

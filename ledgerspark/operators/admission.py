@@ -8,49 +8,125 @@ quantity lies between the least and the most that the undecided changes allow:
 * a sale that fits the least possible stock is accepted;
 * a sale that does not fit even the most possible stock is refused.
 
-Both bounds are running totals. Only what lies in between is walked, sorted by product
-and ``seq`` and read batch by batch, so a task never holds the changes of a product.
+Both bounds are running totals. What lies in between is walked in ``seq`` order. The walk of a product
+is cut into blocks that tasks work on at the same time, each from a guess of what the block before it
+hands on: the stock and the rows that later changes name again. Blocks whose guess was wrong walk again
+from what was really handed on, until nothing changes. The first block starts right, so every round
+settles at least one more; in practice stocks soon agree whatever they started from.
 """
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerspark.functions.cleaning import is_stock_out, signed_quantity
 from ledgerspark.functions.state import cut_lineage
 from ledgerspark.operators.holdings import on_hand
-from ledgerspark.operators.running import BITS, running_totals
-
-
-def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Grant what fits. Rows arrive sorted by product and seq. ``free`` is the stock without
-    the changed row and without any contested grant; ``shift`` is what those grants have
-    added to it, ``shifts`` the part of it that later changes of the same row take back."""
-    current, shift, shifts = None, 0, {}
-    for batch in batches:
-        seqs, granted = [], []
-        for product, seq, row, opened, free, wanted, takes, step in zip(*(batch[c].tolist() for c in (
-                "product_id", "seq", "row", "contested", "free", "quantity", "takes", "step"))):
-            if product != current:
-                current, shift, shifts = product, 0, {}
-            named = row == row and row is not None
-            if not opened:  # decided beforehand: the row's quantity no longer depends on the walk
-                shift -= shifts.pop(row, 0)
-                continue
-            own = shifts.get(row, 0) if named else 0
-            fits = free + shift - own >= wanted
-            if fits and takes:
-                shift += step - own
-                if named:
-                    shifts[row] = step
-            seqs.append(seq)
-            granted.append(fits)
-        yield pd.DataFrame({"seq": pd.Series(seqs, dtype="int64"), "granted": pd.Series(granted, dtype=bool)})
-
-
-def settle(events: DataFrame, ledger: DataFrame, bits: int = BITS) -> DataFrame:
+from ledgerspark.operators.running import BITS, running_totals, spread
+
+# Contested changes that one block walks.
+BLOCK = 1 << 15
+
+_STATE = "product_id string, block bigint, shift bigint, waiting array<struct<row:bigint,shift:bigint>>"
+
+
+class _Stock:
+    """What contested grants have done so far: ``shift`` is what they have added to the stock, ``rows``
+    the part of it that later changes of the same row take back."""
+
+    def __init__(self, shift: int = 0, waiting=()):
+        self.shift, self.rows = int(shift), {int(w["row"]): int(w["shift"]) for w in waiting}
+
+    def meet(self, row: int | None, opened: bool, free: int, wanted: int, takes: bool, step: int, again: bool) -> bool:
+        """Grant what fits. ``free`` is the stock without the changed row and any contested grant."""
+        own = self.rows.pop(row, 0)
+        if not opened:  # decided beforehand: the row's quantity no longer depends on the walk
+            self.shift -= own
+            return True
+        fits = free + self.shift - own >= wanted
+        if fits and takes:
+            self.shift += step - own
+            own = step
+        if again and own:
+            self.rows[row] = own
+        return fits
+
+
+def _walk(decide: bool):
+    """Walk blocks that arrive sorted by product, block and seq, each led by its start state if it has one.
+
+    Yields (seq, granted) of the contested changes, or per block the state that the next one starts from.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, stock = None, _Stock()
+        for batch in batches:
+            seqs, granted, ends = [], [], []
+            for product, block, leads, seq, named, row, opened, free, wanted, takes, step, again, waiting in zip(*(batch[c].tolist() for c in (
+                    "product_id", "block", "leads", "seq", "named", "row", "contested", "free", "quantity", "takes", "step", "again", "waiting"))):
+                if (product, block) != current:
+                    if current:
+                        ends.append((current, stock))
+                    current, stock = (product, block), _Stock()
+                if leads:
+                    stock = _Stock(step, waiting)
+                    continue
+                fits = stock.meet(row if named else None, opened, free, wanted, takes, step, again)
+                if opened and decide:
+                    seqs.append(seq)
+                    granted.append(fits)
+            yield decisions(seqs, granted) if decide else states(ends)
+        if current and not decide:
+            yield states([(current, stock)])
+
+    def decisions(seqs: list, granted: list) -> pd.DataFrame:
+        return pd.DataFrame({"seq": pd.Series(seqs, dtype="int64"), "granted": pd.Series(granted, dtype=bool)})
+
+    def states(ends: list) -> pd.DataFrame:
+        return pd.DataFrame([(product, block + 1, stock.shift, [{"row": int(r), "shift": int(v)} for r, v in sorted(stock.rows.items())])
+                             for (product, block), stock in ends], columns=["product_id", "block", "shift", "waiting"])
+
+    return run
+
+
+def _walked(events: DataFrame, starts: DataFrame | None, decide: bool) -> DataFrame:
+    """The walk over ``events``; blocks without a row in ``starts`` begin with nothing granted."""
+    nothing = F.array().cast("array<struct<row:bigint,shift:bigint>>")
+    rows = events.withColumn("leads", F.lit(False)).withColumn("waiting", nothing)
+    if starts is not None:
+        # A start stands before its block, its shift in the place of a step. No column has nulls: in
+        # a task they would turn whole numbers into floats.
+        leads = starts.withColumnRenamed("shift", "step").withColumn("leads", F.lit(True))
+        rows = (rows.unionByName(leads, allowMissingColumns=True).fillna(0, ["seq", "row", "free", "quantity"])
+                .fillna(False, ["named", "contested", "takes", "again"]))
+    return (rows.repartition("product_id", "block").sortWithinPartitions("product_id", "block", F.desc("leads"), "seq")
+            .mapInPandas(_walk(decide), "seq bigint, granted boolean" if decide else _STATE))
+
+
+def _block_starts(events: DataFrame) -> DataFrame | None:
+    """What every block but the first of its product starts from; None if no product has two blocks."""
+    if not events.agg(F.max("block")).first()[0]:
+        return None
+    long_ = events.groupBy("product_id").agg(F.max("block").alias("last_block")).filter("last_block > 0")
+    handing = cut_lineage(events.join(long_, "product_id").filter("block < last_block").drop("last_block"))
+    # The first guess: contested changes leave nothing in stock.
+    first = events.filter("block > 0").groupBy("product_id", "block").agg(F.min_by("free", "seq").alias("free"))
+    starts = cut_lineage(first.select("product_id", "block", (-F.greatest("free", F.lit(0))).alias("shift"),
+                                      F.array().cast("array<struct<row:bigint,shift:bigint>>").alias("waiting")))
+    todo, leads, key = handing, starts, ["product_id", "block"]
+    while True:
+        ends = _walked(todo, leads, decide=False).select(*key, F.struct("shift", "waiting").alias("handed"))
+        now = cut_lineage(starts.select(*key, F.struct("shift", "waiting").alias("guess")).join(ends, key, "left"))
+        wrong = now.filter(F.col("handed").isNotNull() & (F.col("handed") != F.col("guess")))
+        starts = now.select(*key, F.inline(F.array(F.coalesce("handed", "guess"))))
+        if wrong.isEmpty():
+            return starts
+        # Only blocks that start otherwise than they did walk again.
+        todo, leads = (df.join(wrong.select(*key), key, "left_semi") for df in (handing, starts))
+
+
+def settle(events: DataFrame, ledger: DataFrame, bits: int = BITS, block: int = BLOCK) -> DataFrame:
     """(seq, granted) for every event, as if they came one after the other in ``seq`` order.
 
     Columns: ``seq`` (unique), ``product_id``, ``row`` (the ledger row that is changed, null
@@ -58,19 +134,24 @@ def settle(events: DataFrame, ledger: DataFrame, bits: int = BITS) -> DataFrame:
     ``after`` (what it adds afterwards), ``quantity`` (what the stock must cover),
     ``checks`` (is the stock asked at all?) and ``takes`` (does the row change if it passes?).
     None but ``row`` may be null. A row that very many events name is sorted by one task,
-    which spills; it is not held in memory.
+    which spills; it is not held in memory. A task walks ``block`` contested events of a product.
     """
     earlier = Window.partitionBy("row").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    within = Window.partitionBy("row", "part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     none = F.lit(0).cast("bigint")
     firm, soft = F.col("takes") & ~F.col("checks"), F.col("takes") & F.col("checks")
     after = F.col("after")
+
+    def since(bound: Column) -> Column:
+        """The greatest value of the soft events since the last firm one: running maxima of (number of firm ones before, value)."""
+        most = F.max(F.when(soft, F.struct("part", bound.alias("value")))).over(earlier)
+        return F.when(most["part"] == F.col("part"), most["value"])
+
     # Since the last firm change of its row, a row's quantity is that one or one of the soft ones after it.
-    named = (events.filter(F.col("row").isNotNull())
+    named = (spread(events.filter(F.col("row").isNotNull()), "row")
              .withColumn("part", F.coalesce(F.sum(firm.cast("bigint")).over(earlier), none))
              .withColumn("start", F.coalesce(F.last(F.when(firm, after), ignorenulls=True).over(earlier), "own"))
-             .withColumn("high", F.greatest("start", F.max(F.when(soft, after)).over(within)))
-             .withColumn("low", F.least("start", F.min(F.when(soft, after)).over(within)))
+             .withColumn("high", F.greatest("start", since(after)))
+             .withColumn("low", F.least("start", -since(-after)))
              .drop("part", "start"))
     fresh = events.filter(F.col("row").isNull()).withColumn("high", none).withColumn("low", none)
     ranged = cut_lineage(
@@ -88,27 +169,32 @@ def settle(events: DataFrame, ledger: DataFrame, bits: int = BITS) -> DataFrame:
         running_totals(ranged, ["product_id"], "seq", {"up": "up_before", "down": "down_before"}, bits)
         .select("seq", "product_id", "row", "own", "after", "quantity", "takes", "base", granted.alias("granted")))
 
-    # The stock as it is when every contested change is refused; the walk adds the rest.
-    decided = F.col("takes") & F.coalesce("granted", F.lit(False))
+    # Only products with a contested change go on. Their stock as it is when every contested change is
+    # refused; the walk adds the rest.
     contested = F.col("granted").isNull()
-    named = (bounded.filter(F.col("row").isNotNull())
+    decided = F.col("takes") & F.coalesce("granted", F.lit(False))
+    open_ = bounded.join(bounded.filter(contested).select("product_id").distinct(), "product_id", "left_semi")
+    named = (spread(open_.filter(F.col("row").isNotNull()), "row")
              .withColumn("before", F.coalesce(F.last(F.when(decided, after), ignorenulls=True).over(earlier), "own"))
              .withColumn("waits", F.coalesce(F.max(contested & F.col("takes")).over(earlier), F.lit(False))))
-    fresh = (bounded.filter(F.col("row").isNull())
-             .withColumn("before", none).withColumn("waits", F.lit(False)))
-    placed = running_totals(
-        named.unionByName(fresh).withColumn("sure", F.when(decided, after - F.col("before")).otherwise(none)),
-        ["product_id"], "seq", {"sure": "sure_before"}, bits)
-    open_ = placed.filter(contested | (F.col("waits") & decided)).select(
-        "product_id", "seq", "row", contested.alias("contested"), "quantity", "takes",
-        (F.col("base") + F.col("sure_before") - F.col("before")).alias("free"),
+    fresh = open_.filter(F.col("row").isNull()).withColumn("before", none).withColumn("waits", F.lit(False))
+    standing = cut_lineage(
+        named.unionByName(fresh).withColumn("sure", F.when(decided, after - F.col("before")).otherwise(none))
+        .withColumn("listed", (contested | (F.col("waits") & decided)).cast("bigint")))
+    placed = running_totals(standing, ["product_id"], "seq", {"sure": "sure_before", "listed": "listed_before"}, bits)
+    later = F.lead("seq").over(Window.partitionBy("row").orderBy("seq")).isNotNull()
+    listed = placed.filter("listed = 1").select(
+        "product_id", F.floor(F.col("listed_before") / block).cast("bigint").alias("block"), "seq", "row",
+        contested.alias("contested"), "quantity", "takes", (F.col("base") + F.col("sure_before") - F.col("before")).alias("free"),
         (after - F.col("before")).alias("step"))
-    walked = (open_.repartition("product_id").sortWithinPartitions("product_id", "seq")
-              .mapInPandas(_walk, "seq bigint, granted boolean"))
+    listed = cut_lineage(listed.filter(F.col("row").isNotNull()).withColumn("named", F.lit(True)).withColumn("again", later)
+                         .unionByName(listed.filter(F.col("row").isNull()).withColumn("row", none)
+                                      .withColumns({"named": F.lit(False), "again": F.lit(False)})))
+    walked = _walked(listed, _block_starts(listed), decide=True)
     return bounded.filter(~contested).select("seq", "granted").unionByName(walked)
 
 
-def admit_sequential(entries: DataFrame, ledger: DataFrame, bits: int = BITS) -> DataFrame:
+def admit_sequential(entries: DataFrame, ledger: DataFrame, bits: int = BITS, block: int = BLOCK) -> DataFrame:
     """Add ``has_stock``: would this entry pass if the batch were entered in ``seq`` order?
 
     ``entries`` needs seq (unique), product_id, transaction_type and quantity. Where it
@@ -121,5 +207,5 @@ def admit_sequential(entries: DataFrame, ledger: DataFrame, bits: int = BITS) ->
     events = entries.filter(F.col("product_id").isNotNull() & F.col("quantity").isNotNull()).select(
         "seq", "product_id", none.alias("row"), F.lit(0).cast("bigint").alias("own"), signed_quantity().alias("after"),
         "quantity", F.coalesce(is_stock_out(), F.lit(False)).alias("checks"), takes.alias("takes"))
-    return (entries.join(settle(events, ledger, bits), "seq", "left")
+    return (entries.join(settle(events, ledger, bits, block), "seq", "left")
             .withColumn("has_stock", F.coalesce("granted", ~is_stock_out(), F.lit(False))).drop("granted"))

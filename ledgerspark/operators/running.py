@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 BITS = 20
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by key to as many tasks as the session shuffles to. Windows are much work for the few
+    bytes that narrow rows have, so the tasks are not put together by bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def running_totals(df: DataFrame, keys: list[str], order: str, values: dict[str, str],
                    bits: int = BITS, levels: int = 2) -> DataFrame:
     """Add, per row, the sum of each value over the key's rows *before* it.
@@ -32,5 +38,5 @@ def running_totals(df: DataFrame, keys: list[str], order: str, values: dict[str,
     offsets = running_totals(sums, keys, part, {v: f"{t}_offset" for v, t in values.items()},
                              bits, levels - 1).select(*keys, part, *[f"{t}_offset" for t in values.values()])
     # The join and the window share their keys, so the rows are shuffled once for both.
-    joined = ranged.join(offsets, [*keys, part]).select("*", *before([*keys, part]))
+    joined = spread(ranged, *keys, part).join(offsets.hint("shuffle_hash"), [*keys, part]).select("*", *before([*keys, part]))
     return joined.select(*df.columns, *[(F.col(t) + F.col(f"{t}_offset")).alias(t) for t in values.values()])

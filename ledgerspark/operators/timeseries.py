@@ -180,9 +180,9 @@ def exact_price(requests: DataFrame, prices: DataFrame) -> DataFrame:
     return requests.join(quotes, ["product_id", "date"], "left")
 
 
-def _change_points(ledger: DataFrame, snapshots: DataFrame) -> DataFrame:
+def _change_points(ledger: DataFrame, snapshots: DataFrame, since: Column) -> DataFrame:
     """Ledger days and price days of every product, one shape, ready for one window. Ledger
-    money is in cents, prices are in millionths."""
+    money is in cents, prices are in millionths. No price is from before ``since``."""
     daily = daily_ledger(ledger).select(
         "product_id", F.col("transaction_date").alias("date"), "bought", "sold", "buy_cost", "sell_amount",
         (F.col("bought") - F.col("sold") - F.col("opened")).alias("d_quantity"),
@@ -191,38 +191,56 @@ def _change_points(ledger: DataFrame, snapshots: DataFrame) -> DataFrame:
     none = [F.lit(0).cast("bigint").alias(c) for c in
             ("bought", "sold", "buy_cost", "sell_amount", "d_quantity", "d_basis")]
     # Days whose prices are all missing still belong to the calendar, so nulls stay in.
-    quotes = (snapshots.filter(F.col("snapshot_date") >= _first_date(ledger))
+    quotes = (snapshots.filter(F.col("snapshot_date") >= since)
               .select("product_id", F.col("snapshot_date").alias("date"), *none,
                       to_millionths(F.col("market_price")).alias("price")))
     return daily.unionByName(quotes)
 
 
-def daily_changes(ledger: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """Per day: how much cost (cents), market value (millionths) and realized profit changed.
+def product_changes(ledger: DataFrame, snapshots: DataFrame, since: Column) -> DataFrame:
+    """Per product and day (one row for its trades, one for its price): how much its cost (cents), market
+    value (millionths) and realized profit changed, and where it stands after that day: ``stock``,
+    ``price`` (0 before the first one), ``bought`` and ``buy_cost`` so far.
 
-    One shuffle by product for the window, one small shuffle by day for the sums.
+    ``since`` is the first transaction date of the whole portfolio, which the ledger given here need not hold.
     """
     window = _through_today("product_id", order="date")
     previous = Window.partitionBy("product_id").orderBy("date")
     price = F.coalesce(F.last("price", ignorenulls=True).over(window), F.lit(0))
-    states = _change_points(ledger, snapshots).select(
+    states = _change_points(ledger, snapshots, since).select(
         "product_id", "date", "d_basis", "sold", "sell_amount",
         F.sum("d_quantity").over(window).alias("stock"), price.alias("price"),
         F.sum("buy_cost").over(window).alias("buy_cost"), F.sum("bought").over(window).alias("bought"))
-    # Oversold products are worth nothing. Rows of one day carry the same value, so their
-    # order does not change the day's sum.
+    # Rows of one day carry the same value, so their order does not change the day's sum.
     profit = _profit(F.col("sell_amount"), F.col("sold"), _average_cost(F.col("buy_cost"), F.col("bought")))
-    moves = (states.withColumn("value", F.greatest("stock", F.lit(0)) * F.col("price"))
-             .select("date", "d_basis",
-                     (F.col("value") - F.lag("value", 1, 0).over(previous)).alias("d_value"),
-                     F.when(F.col("sold") != 0, profit).alias("profit")))
+    return (states.withColumn("value", stock_value(F.col("stock"), F.col("price")))
+            .select("product_id", "date", "d_basis",
+                    (F.col("value") - F.lag("value", 1, 0).over(previous)).alias("d_value"),
+                    F.when(F.col("sold") != 0, profit).alias("profit"), "stock", "price", "bought", "buy_cost"))
+
+
+def stock_value(stock: Column, price: Column) -> Column:
+    """Oversold products are worth nothing."""
+    return F.greatest(stock, F.lit(0)) * price
+
+
+def summed_changes(moves: DataFrame, *keys: str) -> DataFrame:
+    """The changes of all products together, per day or other keys."""
     # The value of all products together may outgrow a bigint of millionths.
-    return moves.groupBy("date").agg(
+    return moves.groupBy(*keys).agg(
         F.sum("d_basis").alias("d_basis"),
-        F.sum(F.col("d_value").cast("decimal(20,0)")).alias("d_value"),
+        F.sum(F.col("d_value").cast("decimal(28,0)")).alias("d_value"),
         F.coalesce(F.sum("profit"), F.lit(0).cast(PROFIT)).alias("profit"))
 
 
+def daily_changes(ledger: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Per day: how much cost (cents), market value (millionths) and realized profit changed.
+
+    One shuffle by product for the window, one small shuffle by day for the sums.
+    """
+    return summed_changes(product_changes(ledger, snapshots, _first_date(ledger)), "date")
+
+
 def daily_portfolio_value(ledger: DataFrame, snapshots: DataFrame, as_of: date) -> DataFrame:
     """Cost, market value, unrealized and cumulative realized profit per calendar day.
 
@@ -231,10 +249,15 @@ def daily_portfolio_value(ledger: DataFrame, snapshots: DataFrame, as_of: date)
     cost, so unrealized and realized profit overlap and must not be added up.
     ``snapshots`` holds one row per product and snapshot date.
     """
-    changes = daily_changes(ledger, snapshots)
+    return value_series(daily_changes(ledger, snapshots), as_of, _first_date(ledger))
+
+
+def value_series(changes: DataFrame, as_of: date, since: Column) -> DataFrame:
+    """Daily values out of daily changes (one or more rows per day); ``as_of`` is a day of its own
+    if it is not before ``since``."""
     nothing = [F.lit(0).cast(f.dataType).alias(f.name) for f in changes.schema if f.name != "date"]
-    today = (ledger.sparkSession.range(1).select(F.lit(as_of).alias("date"), *nothing)
-             .filter(F.col("date") >= _first_date(ledger)))
+    today = (changes.sparkSession.range(1).select(F.lit(as_of).alias("date"), *nothing)
+             .filter(F.col("date") >= since))
     days = changes.unionByName(today).groupBy("date").agg(*[
         F.sum(c).alias(c) for c in ("d_basis", "d_value", "profit")])
     # One row per calendar day: the only window without a key, and it stays small.

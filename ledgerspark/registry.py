@@ -652,7 +652,62 @@ def _(phrases, named):
             .select("query_id", "place", "product_id", "score", "weighted_score", "name"))
 
 
-@query("search_fuzzy", "phrases", "named")
+# Every query against every text: similarities from the longest common subsequence, found bit by bit
+# (one bit per character of ``a``) for all different pairs of strings that a score needs.
+@query("search_fuzzy", "phrases", "named", sql=r"""
+, texts AS MATERIALIZED (SELECT text, arg_min(product_id, id) AS product_id, min(id) AS id FROM
+  (SELECT trim(concat_ws(' ', name, clean_name)) AS text, product_id, CAST(product_id AS BIGINT) AS id FROM named) t
+  GROUP BY text),
+asked AS MATERIALIZED (SELECT query_id, trim(lower(query)) AS query FROM phrases WHERE trim(query) != ''),
+shaped AS MATERIALIZED (SELECT s, trim(regexp_replace(s, '[^\p{L}\p{N}_]', ' ', 'g')) AS plain,
+  list_sort(list_filter(string_split_regex(regexp_replace(regexp_replace(s, '[^\x00-\x7F]', '', 'g'), '[^\p{L}\p{N}_]', ' ', 'g'), '\s+'),
+   lambda w: w != '')) AS words
+  FROM (SELECT query AS s FROM asked UNION SELECT lower(text) FROM texts) u),
+q AS MATERIALIZED (SELECT DISTINCT query, plain, words, list_sort(list_distinct(words)) AS uniq FROM asked JOIN shaped ON s = query),
+t AS MATERIALIZED (SELECT id, product_id, plain, words, list_sort(list_distinct(words)) AS uniq FROM texts JOIN shaped ON s = lower(text)),
+slid AS MATERIALIZED (SELECT DISTINCT q.plain AS qp, t.plain AS tp, length(q.plain) <= length(t.plain) AS over_text
+  FROM q, t WHERE q.plain != '' AND t.plain != ''
+  UNION SELECT DISTINCT q.plain, t.plain, FALSE FROM q, t WHERE length(q.plain) = length(t.plain) AND q.plain != ''),
+cut AS MATERIALIZED (SELECT DISTINCT m, long, substr(long, greatest(e - m, 0) + 1, least(e, length(long)) - greatest(e - m, 0)) AS piece
+  FROM (SELECT DISTINCT CASE WHEN over_text THEN tp ELSE qp END AS long, CASE WHEN over_text THEN length(qp) ELSE length(tp) END AS m FROM slid) l,
+   unnest(range(1, length(long) + m)) AS u(e)),
+sets AS MATERIALIZED (SELECT query, id, length(common_words) AS n, concat_ws(' ', nullif(common_words, ''), nullif(left_, '')) AS a,
+   concat_ws(' ', nullif(common_words, ''), nullif(right_, '')) AS b, common_words != '' AND (left_ = '' OR right_ = '') AS inside
+  FROM (SELECT query, id, array_to_string(list_sort(list_intersect(q.uniq, t.uniq)), ' ') AS common_words,
+    array_to_string(list_filter(q.uniq, lambda w: NOT list_contains(t.uniq, w)), ' ') AS left_,
+    array_to_string(list_filter(t.uniq, lambda w: NOT list_contains(q.uniq, w)), ' ') AS right_
+   FROM q, t WHERE len(q.uniq) > 0 AND len(t.uniq) > 0) x),
+orders AS MATERIALIZED (SELECT query, id, array_to_string(q.words, ' ') AS a, array_to_string(t.words, ' ') AS b
+  FROM q, t WHERE len(q.words) > 0 AND len(t.words) > 0),
+need AS MATERIALIZED (SELECT a, b FROM sets UNION SELECT a, b FROM orders
+  UNION SELECT CASE WHEN over_text THEN qp ELSE tp END, piece FROM slid JOIN cut ON m = least(length(qp), length(tp))
+   AND long = CASE WHEN over_text THEN tp ELSE qp END),
+bits AS MATERIALIZED (SELECT a, map_from_entries(list((c, b))) AS pos FROM
+  (SELECT a, c, sum(1::HUGEINT << (i - 1)) AS b FROM
+   (SELECT a, unnest(string_split(a, '')) AS c, unnest(range(1, length(a) + 1)) AS i FROM (SELECT DISTINCT a FROM need) d) e GROUP BY a, c) f GROUP BY a),
+lcs AS MATERIALIZED (SELECT need.a, b, length(need.a) - bit_count(list_reduce(list_prepend((1::HUGEINT << length(need.a)) - 1,
+   list_transform(string_split(b, ''), lambda c: CAST(coalesce(pos[c], 0) AS HUGEINT))),
+   lambda r, h: ((r + (r & h)) | (r - (r & h))) & ((1::HUGEINT << length(need.a)) - 1))) AS common FROM need JOIN bits ON bits.a = need.a),
+likeness AS (SELECT query, id, 'token_sort' AS scorer, 200.0::DOUBLE * common / (length(a) + length(b)) AS score FROM orders JOIN lcs USING (a, b)
+  UNION ALL SELECT query, id, 'token_set', CASE WHEN inside THEN 100.0::DOUBLE ELSE greatest(200.0::DOUBLE * common / (length(a) + length(b)),
+    CASE WHEN n > 0 THEN 200.0::DOUBLE * n / (n + least(length(a), length(b))) ELSE 0 END) END FROM sets JOIN lcs USING (a, b)
+  UNION ALL SELECT query, id, 'partial', score FROM (SELECT qp, tp, max(200.0::DOUBLE * common / (length(lcs.a) + length(piece))) AS score
+    FROM slid JOIN cut ON m = least(length(qp), length(tp)) AND long = CASE WHEN over_text THEN tp ELSE qp END
+    JOIN lcs ON lcs.a = CASE WHEN over_text THEN qp ELSE tp END AND lcs.b = piece GROUP BY qp, tp) p
+   JOIN q ON q.plain = qp JOIN t ON t.plain = tp),
+pool AS (SELECT query, id, scorer, round_even(score, 0) AS score FROM likeness WHERE score >= 25.5
+  QUALIFY row_number() OVER (PARTITION BY query, scorer ORDER BY score DESC, id) <= 30),
+direct AS (SELECT query, id, contains(lower(text), query) AS whole,
+  CAST(len(list_filter(string_split_regex(query, '\s+'), lambda w: contains(lower(text), w))) AS DOUBLE) / len(string_split_regex(query, '\s+')) * 90.0 AS score
+  FROM (SELECT DISTINCT query FROM asked) a, texts),
+rated AS (SELECT query, id, max(score) AS score, max(score * weight) AS weighted_score FROM
+  (SELECT query, id, score, CASE scorer WHEN 'partial' THEN 0.9::DOUBLE WHEN 'token_sort' THEN 0.8::DOUBLE ELSE 0.7::DOUBLE END AS weight FROM pool
+   UNION ALL SELECT query, id, score, 1.0::DOUBLE FROM direct UNION ALL SELECT query, id, 100.0, 1.2::DOUBLE FROM direct WHERE whole) r
+  WHERE score > 25 GROUP BY query, id),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY weighted_score DESC, score DESC, id) AS place FROM rated)
+SELECT CAST(query_id AS BIGINT) AS query_id, CAST(place AS INT) AS place, product_id, CAST(floor(score) AS INT) AS score,
+ weighted_score, name
+FROM placed JOIN asked USING (query) JOIN texts USING (id) JOIN named USING (product_id) WHERE place <= 10""")
 def _(phrases, named):
     return (search.search_products(phrases, named, limit=10)
             .select("query_id", "place", "product_id", "score", "weighted_score", "name"))

@@ -1,3 +1,4 @@
+import functools
 import random
 from datetime import datetime
 from decimal import Decimal
@@ -6,7 +7,7 @@ import pytest
 from helpers import D, money, tx
 from pyspark.sql import functions as F
 
-from ledgerspark.operators import changes
+from ledgerspark.operators import admission, changes
 from ledgerspark.operators.admission import admit_sequential
 from ledgerspark.operators.running import running_totals
 from ledgerspark.schemas import CHANGES
@@ -160,8 +161,10 @@ def one_by_one(base, rows, legacy):
     return outcomes, {i: (r["quantity"], r["price"], r["total"], r["notes"]) for i, r in left.items()}
 
 
-@pytest.mark.parametrize("seed,legacy", [(1, False), (2, True), (3, False)])
-def test_batches_match_a_loop(spark, products, seed, legacy):
+@pytest.mark.parametrize("seed,legacy,block", [(1, False, 1 << 15), (2, True, 10), (3, False, 30)])
+def test_batches_match_a_loop(spark, products, seed, legacy, block, monkeypatch):
+    # Small blocks hand stock and rows that are named again from one to the next.
+    monkeypatch.setattr(changes, "settle", functools.partial(admission.settle, block=block))
     rng = random.Random(seed)
     base = [(i, rng.choice("aab"), rng.choice(["BUY", "BUY", "SELL", "OPEN"]), rng.randint(1, 9), 2, None, "2024-03-01")
             for i in range(1, 13)]
@@ -216,6 +219,44 @@ def test_sequential_admission_matches_a_loop(spark, seed):
     assert False in expected.values() and True in expected.values()
 
 
+@pytest.mark.parametrize("block", [50, 100_000])
+def test_a_product_with_a_third_of_all_changes_is_walked_in_blocks(spark, block, monkeypatch):
+    rng = random.Random(9)
+    base = [(1, "hot", "BUY", 40, 1, None, "2024-01-01"), *((i, f"p{i}", "BUY", 9, 1, None, "2024-01-01") for i in range(2, 40))]
+    events, stock, rows = [], {r[1]: r[3] for r in base}, {}
+    for s in range(3000):
+        product = "hot" if rng.random() < 0.4 else f"p{rng.randrange(2, 40)}"
+        row = rng.randrange(5) * 1000 + int(product[1:] if product != "hot" else 0) if rng.random() < 0.3 else None
+        if rng.random() < 0.35:
+            events.append((s, product, row, 0, rng.randint(1, 9), 0, False, True))
+        else:
+            wanted = rng.randint(1, 12)
+            events.append((s, product, row, 0, -wanted, wanted, True, rng.random() < 0.9))
+    want = {}
+    for s, product, row, _, after, wanted, checks, takes in events:
+        own = rows.get((product, row), 0) if row is not None else 0
+        want[s] = not checks or stock[product] - own >= wanted
+        if want[s] and takes:
+            stock[product] += after - own
+            if row is not None:
+                rows[product, row] = after
+    walked, plain = [], admission._walked
+
+    def counted(rows, starts, decide):
+        walked.append((decide, rows.count()))
+        return plain(rows, starts, decide)
+
+    monkeypatch.setattr(admission, "_walked", counted)
+    df = spark.createDataFrame(events, "seq bigint, product_id string, row bigint, own bigint, after bigint, quantity bigint, "
+                                       "checks boolean, takes boolean")
+    assert {r.seq: r.granted for r in admission.settle(df, tx(spark, base), bits=6, block=block).collect()} == want
+    assert {True, False} == set(want.values()) and walked[-1][0]
+    rounds = [n for decide, n in walked if not decide]
+    # In blocks, only wrong guesses are walked again: fewer changes in every round, and fewer rounds than blocks.
+    assert bool(rounds) == (block == 50) and rounds == sorted(rounds, reverse=True)
+    assert block != 50 or (len(rounds) < rounds[0] / block and sum(rounds) < 5 * rounds[0])
+
+
 def test_clamp(spark, products):
     df = spark.createDataFrame([(1, "a", D("2024-01-01")), (2, "a", D("2024-02-01")), (3, "b", D("2020-01-01")),
                                 (4, "zz", D("2020-01-01"))], "n int, product_id string, input_date date")

@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from ledgerspark.functions.similarity import full_ratio, partial_ratio, token_set_ratio
@@ -133,3 +135,51 @@ def test_many_small_cells_find_the_same(spark, monkeypatch):
     cells = sorted(map(tuple, search.similarity_scores(queries, texts, 4).collect()))
     monkeypatch.undo()
     assert cells == sorted(map(tuple, search.similarity_scores(queries, texts, 4).collect()))
+
+
+def test_bounds_are_never_below_a_score():
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcde é_1") for _ in range(rng.randint(0, 40))).strip() for _ in range(200)] + ["", "a", "abc" * 90]
+    cell = search._Cell(pd.DataFrame({"plain": texts, "words": [sorted(t.split()) for t in texts], "id_length": 1, "product_id": [f"{i:03}" for i in range(len(texts))]}))
+    for _ in range(20):
+        plain = "".join(rng.choice("abcde é") for _ in range(rng.randint(1, 70))).strip() or "b"
+        query = pd.DataFrame({"plain": [plain], "words": [sorted(plain.split())]}).itertuples().__next__()
+        for scorer, bounds in cell.bounds(query).items():
+            scores = cell.scores(scorer, query, np.arange(len(texts)))
+            assert (bounds >= scores - 1e-9).all(), scorer
+            # Stopping early keeps the best texts, ties included.
+            kept, best, _ = cell.best(scorer, query, bounds, 25.5, 10)
+            want = sorted((-s, i) for i, s in enumerate(scores) if s >= 25.5)[:10]
+            # The cell sorts its texts by id; here all ids are equal and the order stays.
+            assert list(zip((-best).tolist(), kept.tolist())) == want
+
+
+def test_few_texts_are_compared_in_full(spark, monkeypatch):
+    monkeypatch.setattr(search, "TEXTS", 120)
+    monkeypatch.setattr(search, "OPENED", 16)
+    rng = random.Random(8)
+    # Twenty kinds of names in thirty variants each: a search for one kind need not open the others.
+    kinds = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyzäöüßéèàçñøå") for _ in range(6)) for _ in range(4)) for _ in range(20)]
+    names = [(str(i), f"{kinds[i % 20]} {i // 20}", None) for i in range(600)]
+    products = spark.createDataFrame(names, "product_id string, name string, clean_name string")
+    queries = spark.createDataFrame([(i, kinds[i][1:22]) for i in range(6)], "query_id int, query string")
+    shares = {r.scorer: r.compared / r.pairs for r in search.compared_shares(queries, search.search_texts(products), 1).collect()}
+    assert set(shares) == set(search.SIMILAR) and all(0 < s < 0.6 for s in shares.values()), shares
+
+
+def test_words_are_looked_up_by_their_rarest_piece(spark):
+    products = spark.createDataFrame([(str(i), f"aaa{'b' if i == 7 else ''} common {i}", "") for i in range(50)],
+                                     "product_id string, name string, clean_name string")
+    texts = search.search_texts(products)
+    queries = spark.createDataFrame([(1, "AAAB"), (2, "aaaz"), (3, "aa 7"), (4, "common 12"), (5, "mmon 3")], "query_id int, query string")
+    stored = search.gram_index(texts).cache()
+    assert "text" not in stored.columns
+    # The word of the first query has pieces that all texts have; the rarest one only one has.
+    words = spark.createDataFrame([("aaab",), ("aaaz",), ("aa",)], "word string")
+    able = search._rarest_pieces(words, stored)
+    assert sorted({r.product_id for r in able.filter("word = 'aaab'").collect()}) == ["7"]
+    assert able.filter("word = 'aaaz'").count() == 0 and able.filter("word = 'aa'").count() == 50
+    with_index = sorted(map(tuple, search.match_scores(queries, texts, stored).collect()))
+    assert with_index == sorted(map(tuple, search.match_scores(queries, texts).collect()))
+    whole = {(r[0], r[3]) for r in with_index if r[1] == "exact"}
+    assert whole == {(1, "7"), (4, "12"), *((5, str(i)) for i in (3, *range(30, 40)))}

@@ -1,6 +1,7 @@
 import json
 import os
 import shutil
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 from decimal import ROUND_HALF_UP, Decimal
 
@@ -10,9 +11,10 @@ from helpers import D, prices, tx
 from pyspark.sql import functions as F
 
 from ledgerspark.functions.cleaning import clean_price, is_blank, local_date, strip, to_cents, to_millionths
-from ledgerspark.operators import catalogue, snapshots
+from ledgerspark.operators import catalogue, snapshots, timeseries
 from ledgerspark.plans import rebuild as plans
-from ledgerspark.sources import archive, feeds, tables
+from ledgerspark.plans.incremental import PortfolioStore
+from ledgerspark.sources import archive, feeds, files, tables
 from ledgerspark.sources import catalogue as catalogue_files
 from ledgerspark.sources import snapshots as snapshot_files
 from ledgerspark.streaming.ingest import ingest_snapshots_stream
@@ -50,6 +52,23 @@ def test_feed_columns_are_matched_by_name(spark, feed):
     assert len(rows) == 8
 
 
+def test_values_of_feeds_in_quotes_and_of_many_headers(spark, folder):
+    put(f"{folder}/in/7/feed.csv", "\ufeffname, productId ,\"marketPrice\"\r\n\"a, \"\"b\"\"\nc\",1,3\r\n\r\n\"\",2\r\n,3,4,5,6\r\n")
+    columns = ["productId", "name", "marketPrice"]
+    for i in range(40):  # as many headers as files
+        names = [*columns[i % 3:], *columns[:i % 3], f"extra{i}"]
+        value = {"productId": str(1000 + i), "name": f"n{i}", "marketPrice": str(i)}
+        put(f"{folder}/in/{100 + i}/feed.csv", ",".join(names) + "\n" + ",".join(value.get(n, "x") for n in names))
+    put(f"{folder}/in/99/feed.csv", "productId,name\n")
+    found = {(r.set_code, r.product_id): r for r in feeds.read_price_feed_csv(spark, f"{folder}/in/*/feed.csv").collect()}
+    assert len(found) == 43
+    assert all((found[100 + i, str(1000 + i)].name, found[100 + i, str(1000 + i)].market_price) == (f"n{i}", str(i)) for i in range(40))
+    one, two, three = (found[7, str(k)] for k in (1, 2, 3))
+    assert (one.name, one.market_price, one.clean_name) == ('a, "b"\nc', "3", None)
+    assert (two.name, two.market_price, three.name, three.market_price) == ("", None, None, "4")
+    assert one.row_no < two.row_no < three.row_no and one.feed_columns == ["name", "productId", "marketPrice"]
+
+
 def test_catalogue_from_feeds(spark, feed, folder):
     frame = feeds.read_price_feed_csv(spark, feed)
     missing = catalogue.missing_columns(feeds.read_feed_headers(spark, feed)).collect()
@@ -194,6 +213,29 @@ def test_collect_and_rebuild(spark, feed, folder):
     assert (summary.first().current_market_value, summary.first().unrealized_pnl) == (21, 11)
 
 
+def test_stream_carries_on_into_the_daily_values(spark, folder):
+    source, table, state = f"{folder}/in", f"{folder}/prices", f"{folder}/state"
+    ledger = tx(spark, [(1, "1", "BUY", 2, 5, 10, "2024-01-01"), (2, "2", "BUY", 3, 1, 3, "2024-01-02"), (3, "1", "SELL", 1, 9, 9, "2024-01-04")])
+    store = PortfolioStore(spark, f"{folder}/store", 3)
+    store.apply_ledger(ledger)
+
+    def run(name, rows, modified):
+        os.makedirs(os.path.dirname(f"{source}/{name}"), exist_ok=True)
+        pd.DataFrame(rows, columns=["productId", "marketPrice"]).to_parquet(f"{folder}/tmp.parquet")
+        shutil.copyfile(f"{folder}/tmp.parquet", f"{source}/{name}")
+        os.utime(f"{source}/{name}", (modified, modified))
+        assert ingest_snapshots_stream(spark, source, table, state, store=store).awaitTermination(120)
+        whole = timeseries.daily_portfolio_value(ledger, snapshot_files.read_snapshot_table(spark, table), D("2024-01-09"))
+        assert sorted(map(tuple, store.daily(D("2024-01-09")).collect())) == sorted(map(tuple, whole.collect()))
+        return {str(r.date): float(r.total_market_value) for r in whole.collect()}
+
+    run("a/market_prices_2024-01-03.parquet", [("1", 7.0), ("2", 2.0)], 1_700_000_000)
+    assert run("a/market_prices_2024-01-05.parquet", [("1", 8.0), ("2", 3.0)], 1_700_000_100)["2024-01-05"] == 17
+    # A day that arrives late, and one that is sent again without a product it had.
+    assert run("b/market_prices_2024-01-02.parquet", [("2", 1.5)], 1_700_000_200)["2024-01-02"] == 4.5
+    assert run("c/market_prices_2024-01-05.parquet", [("1", 4.0)], 1_700_000_300)["2024-01-05"] == 10
+
+
 def test_stream_takes_each_file_once_and_replaces_days(spark, folder):
     source, table, state = f"{folder}/in", f"{folder}/prices", f"{folder}/state"
 
@@ -273,3 +315,61 @@ def test_strip_knows_all_white_space(spark):
     df = spark.createDataFrame([("\t a b \n",), ("\u00a0\u2003x\u2028",), (" \t\u00a0",), ("\x1cy",)], "t string")
     assert [r[0] for r in df.select(strip(F.col("t"))).collect()] == ["a b", "x", "", "y"]
     assert [r[0] for r in df.select(is_blank(F.col("t"))).collect()] == [False, False, True, False]
+
+
+def test_one_of_two_writers_fails_and_old_versions_go(spark, folder):
+    root, ledger = f"{folder}/ledger", tx(spark, [(1, "a", "BUY", 2, 5, 10, "2024-01-05")])
+    assert tables.replace_table(ledger, root, based_on=0) == 1
+    more = ledger.withColumn("quantity", F.lit(7))
+
+    def write(quantity):
+        try:
+            return tables.replace_table(ledger.withColumn("quantity", F.lit(quantity)), root, based_on=1)
+        except tables.VersionTaken:
+            return None
+
+    with ThreadPoolExecutor(4) as pool:
+        outcomes = list(pool.map(write, [11, 12, 13, 14]))
+    assert [v for v in outcomes if v] == [2]
+    assert tables.read_ledger(spark, root).first().quantity == 11 + outcomes.index(2)
+    with pytest.raises(tables.VersionTaken):
+        tables.replace_table(more, root, based_on=1)
+    # Writers that do not say what they build on come one after the other.
+    with ThreadPoolExecutor(3) as pool:
+        assert sorted(pool.map(lambda q: tables.replace_table(more, root), range(3))) == [3, 4, 5]
+    assert tables.replace_table(more, root, keep=1) == 6
+    assert sorted(os.listdir(root)) == ["version=6"] and tables.read_ledger(spark, root).first().quantity == 7
+    # The rename is what decides: whoever comes second does not touch the first one's folder.
+    for name in ("one", "two"):
+        more.write.parquet(f"{root}/_writing-{name}")
+    assert files.move_folder(spark, f"{root}/_writing-one", f"{root}/version=7")
+    assert not files.move_folder(spark, f"{root}/_writing-two", f"{root}/version=7")
+    assert tables.read_ledger(spark, root).count() == 1
+
+
+def test_an_upsert_leaves_untouched_buckets_alone(spark, folder):
+    table = tables.BucketTable(spark, f"{folder}/t", "product_id string, n bigint, v string", ("product_id",), 8)
+
+    def names():
+        return {d: sorted(f for f in os.listdir(f"{folder}/t/{d}") if f.startswith("part")) for d in os.listdir(f"{folder}/t") if "=" in d}
+
+    def rows():
+        return sorted(tuple(r)[:3] for r in table.read().collect())
+
+    data = {(f"p{i % 20}", i): "old" for i in range(100)}
+    assert table.read().count() == 0
+    table.upsert(spark.createDataFrame([(*k, v) for k, v in data.items()], "product_id string, n bigint, v string"), ["product_id", "n"])
+    before = names()
+    assert rows() == sorted((*k, v) for k, v in data.items()) and len(before) == 8
+    change = {("p3", 3): "new", ("p3", 1000): "new"}
+    touched = table.upsert(spark.createDataFrame([(v, *reversed(k)) for k, v in change.items()], "v string, n bigint, product_id string"),
+                           ["product_id", "n"], deleted=spark.createDataFrame([("p4", 4), ("p4", 5)], "product_id string, n bigint"))
+    del data["p4", 4]
+    assert rows() == sorted((*k, v) for k, v in (data | change).items()) and 1 <= len(touched) <= 2
+    now = names()
+    assert {b for b in now if now[b] != before[b]} == {f"bucket={b}" for b in touched}
+    # A bucket that is emptied is gone; nothing else moves.
+    gone = table.read([touched[0]]).select("product_id", "n")
+    table.upsert(table.read().limit(0), ["product_id", "n"], deleted=gone)
+    assert table.read([touched[0]]).count() == 0 and f"bucket={touched[0]}" not in names()
+    assert table.read([touched[0]]).columns == ["product_id", "n", "v", "bucket"]

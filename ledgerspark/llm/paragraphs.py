@@ -9,16 +9,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import components, count_words, stored
+from ledgerspark.llm.common import WORD, components, stored
 
 WORDS = re.compile(r"\w+")
+TOKENS = re.compile(WORD)
 SHINGLE = 5
-KEYS = 500_000  # candidate keys (4 MB) up to which they are sent to every task
 PIECE = 25  # words of a passage's pieces
 RUN = 50  # words of a repeated run that holds one chosen piece at least
 CHUNK = 256  # paragraphs of a bucket compared by one task at a time
 POWERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
+_MARKS = ("doc_id string, text_key long, para_no array<int>, n_lines array<int>, n_words array<int>, key array<long>, "
+          "new_keys array<long>, bands array<long>, seeds array<long>")
+_SEEN = "key long, shingles array<long>, seed long, doc_id string, text_key long, para_no int, _last int, word_no int"
+_SEEN_NAMES = [f.split()[0] for f in _SEEN.split(", ")]
+
 
 def tune(threshold: float = 0.8, recall: float = 0.995, rows: int = 4) -> int:
     """Bands of ``rows`` minima for which a pair at ``threshold`` collides with at least ``recall``."""
@@ -91,41 +96,159 @@ def bands_of(texts: list[str], known: WordHashes, bands: int, rows: int) -> np.n
     return out.view(np.int64)
 
 
-def lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """Lines of ``min_words`` words and more: ``doc_id``, ``text_key``, ``para_no``, ``line``, ``key``, ``n_words``."""
-    parts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("para_no", "line"))
-    return (parts.withColumn("n_words", count_words(F.col("line"))).where(F.col("n_words") >= min_words)
-            .withColumn("key", F.xxhash64("line")))
-
+def joined(text: str, min_words: int) -> list[tuple[int, int, int, str]]:
+    """The paragraphs of a text: first line, number of lines, words, and the lines themselves.
 
-def find(docs: DataFrame, min_words: int = 1, threshold: float = 0.8, rows: int = 4) -> DataFrame:
-    """What repeats: ``doc_id``, ``text_key``, ``para_no``, ``word_no``, ``n_words``, ``cluster_id``, ``removed``.
+    Neighbouring lines are taken together until they have ``min_words`` words; what is left over at the end
+    joins the paragraph before it. So every word is in one paragraph, and none is shorter unless the text is.
+    """
+    out, first, part, words = [], None, [], 0
+    for no, line in enumerate(text.split("\n")):
+        n = len(TOKENS.findall(line))
+        if n:
+            first = no if first is None else first
+            part.append(line)
+            words += n
+            if words >= min_words:
+                out.append((first, no - first + 1, words, "\n".join(part)))
+                first, part, words = None, [], 0
+            last = no
+    if part:
+        no, _, more, before = out.pop() if out else (first, 0, 0, None)
+        out.append((no, last - no + 1, more + words, "\n".join(part if before is None else [before, *part])))
+    return out
+
+
+def find(docs: DataFrame, min_words: int = 1, threshold: float = 0.8, rows: int = 3) -> DataFrame:
+    """What repeats: ``doc_id``, ``text_key``, ``para_no``, ``n_lines``, ``word_no``, ``n_words``, ``cluster_id``, ``removed``.
 
     Rows without ``word_no`` are whole paragraphs, rows with it are pieces of passages that repeat in the
-    lines left (``passages``); ``para_no`` is then the line where the piece begins.
+    lines left (``_passages``); ``para_no`` is then the line where the piece begins.
 
-    Paragraphs are lines of at least ``min_words`` words, by default all that are not blank. Lines
-    without letters or digits are linked to equal lines only, other two when the Jaccard similarity of
+    Paragraphs are lines, neighbours joined until they have ``min_words`` words (``joined``). Those
+    without letters or digits are linked to equal ones only, other two when the Jaccard similarity of
     their five-word shingles, in lower case and without marks, reaches ``threshold``; pairs come from
     MinHash bands tuned to find 99.5 % of the pairs at the threshold, and all are verified. Clusters are
     connected components, and all their paragraphs but the first, by doc_id (null last), are
     removed. ``cluster_id`` is the smallest doc_id of the cluster. Equal rows count as one document;
     null texts have no paragraphs. Equal paragraphs are told by a 64-bit hash and compared once.
+
+    Texts are read twice: first for the hashes of paragraphs, their bands and of passages, then, where any
+    of those is shared, for the shingles and the places that are needed.
+    """
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("string"), F.xxhash64("text").alias("text_key"), "text")
+    marks = stored(texts.mapInPandas(_marks(min_words, threshold, rows), _MARKS)
+                   .withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType)))
+    every = stored(marks.select("doc_id", "text_key", F.inline(F.arrays_zip("para_no", "n_lines", "n_words", "key"))).distinct())
+    signed = marks.select("new_keys", F.posexplode("bands")).select(
+        F.col("col").alias("band"), F.get("new_keys", F.floor(F.col("pos") / tune(threshold, rows=rows)).cast("int")).alias("key")).where("band is not null")
+    shared = signed.groupBy("band").agg(F.min("key").alias("lead"), F.max("key").alias("_last")).where("lead <> _last").drop("_last")
+    members = stored(signed.join(shared, "band").distinct())
+    doc = F.xxhash64("doc_id", "text_key")
+    seeds = marks.select(doc.alias("doc"), "text_key", F.explode("seeds").alias("seed"))
+    passed = stored(seeds.groupBy("seed").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).where("x <> y").select("seed"))
+    # One text of each shared paragraph, and all texts with a shared passage, are looked at again.
+    owners = every.join(members.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("text_key").alias("text_key"))
+    wanted = (owners.groupBy("text_key").agg(F.collect_set("key").alias("keys"))
+              .join(seeds.join(passed, "seed", "left_semi").groupBy("text_key").agg(F.collect_set("seed").alias("spots")), "text_key", "full"))
+    seen = stored(texts.join(wanted, "text_key").mapInPandas(_look(min_words), _SEEN)
+                  .withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType)))
+    sets = stored(seen.where("key is not null").groupBy("key").agg(F.min("shingles").alias("shingles")))
+    whole = stored(_removals(every, _clusters(members, sets, threshold)).withColumn("word_no", F.lit(None).cast("int")))
+    columns = ["doc_id", "text_key", "para_no", "n_lines", "word_no", "n_words", "cluster_id", "removed"]
+    return whole.select(*columns).unionByName(_passages(seen.where("seed is not null"), whole).select(*columns))
+
+
+def _marks(min_words: int, threshold: float, rows: int):
+    """Per text its paragraphs, the bands of those that the task has not signed yet, and the hashes of its chosen pieces."""
+    bands = tune(threshold, rows=rows)
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lower, raw, signed = WordHashes(), RawWordHashes(), set()
+        for batch in batches:
+            for i in range(0, len(batch), 300):
+                part = batch[i:i + 300]
+                for known in (lower, raw, signed):
+                    if len(known) > 1_000_000:
+                        known.clear()
+                texts = list(part["text"])
+                paras = [joined(t, min_words) for t in texts]
+                keys = [[_key(p[3]) for p in ps] for ps in paras]
+                new = [(n, k, p[3]) for n, (ks, ps) in enumerate(zip(keys, paras)) for k, p in zip(ks, ps)
+                       if k not in signed and not signed.add(k)]
+                new_keys, out = [[] for _ in texts], [[] for _ in texts]
+                if new:
+                    lines = [line for _, _, line in new]
+                    found = bands_of(lines, lower, bands, rows)
+                    # A set that one more shingle takes below the threshold has equal sets alone: one band finds them.
+                    count = np.array([len(WORDS.findall(t)) for t in lines])
+                    size = np.maximum(count - SHINGLE + 1, 1)
+                    asked = np.where(count == 0, 0, np.where(size / (size + 1) < threshold - 1e-9, 1, bands))
+                    for (n, k, _), row, some in zip(new, found.tolist(), asked.tolist()):
+                        new_keys[n].append(k)
+                        out[n] += row[:some] + [None] * (bands - some)
+                of, _, value, _, _ = chosen(texts, raw)
+                seeds = [np.unique(v) for v in np.split(value, np.searchsorted(of, np.arange(1, len(texts))))]
+                yield pd.DataFrame({"doc_id": pd.Series(list(part["doc_id"]), dtype=object), "text_key": part["text_key"].to_numpy(),
+                                    **{c: [[p[k] for p in ps] for ps in paras] for k, c in enumerate(("para_no", "n_lines", "n_words"))},
+                                    "key": keys, "new_keys": new_keys, "bands": out, "seeds": seeds})
+
+    return mark
+
+
+def _look(min_words: int):
+    """The shingles of wanted paragraphs, each once in a task, and the places of wanted pieces."""
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lower, raw, done = WordHashes(), RawWordHashes(), set()
+        for batch in batches:
+            for i in range(0, len(batch), 300):
+                part = batch[i:i + 300]
+                for known in (lower, raw, done):
+                    if len(known) > 1_000_000:
+                        known.clear()
+                texts, lines = list(part["text"]), {}
+                for text, keys in zip(texts, part["keys"]):
+                    if keys is not None and not done.issuperset(keys):
+                        asked = set(keys) - done
+                        lines |= {k: p[3] for p in joined(text, min_words) if (k := _key(p[3])) in asked}
+                done |= lines.keys()
+                if lines:
+                    hashes, starts = shingle_hashes(list(lines.values()), lower)
+                    yield _rows(len(lines), key=list(lines), shingles=[np.unique(x).view(np.int64) for x in np.split(hashes, starts[1:])])
+                spots = [set() if x is None else set(x.tolist()) for x in part["spots"]]
+                n, at, value, first, last = chosen(texts, raw)
+                keep = np.array([v in spots[k] for k, v in zip(n.tolist(), value.tolist())], dtype=bool)
+                if keep.any():
+                    n = n[keep]
+                    ids = part["doc_id"].to_numpy(dtype=object)[n]
+                    yield _rows(len(n), seed=value[keep], doc_id=ids, text_key=part["text_key"].to_numpy()[n],
+                                para_no=first[keep], _last=last[keep], word_no=at[keep])
+
+    return look
+
+
+def _rows(count: int, **columns) -> pd.DataFrame:
+    """Rows of the second reading; columns that are not given are null."""
+    return pd.DataFrame({c: pd.Series(list(columns.get(c, [None] * count)), dtype=object) for c in _SEEN_NAMES})
+
+
+def _key(line: str) -> int:
+    value = xxhash.xxh3_64_intdigest(line)
+    return value - (1 << 64) if value >> 63 else value
+
+
+def _removals(every: DataFrame, roots: DataFrame) -> DataFrame:
+    """The paragraphs of all clusters of two and more; ``removed`` for all but the first of each.
+
+    A cluster is looked at by its different paragraphs, so one that very many texts repeat is one row there.
     """
-    whole = stored(_paragraphs(docs, min_words, threshold, rows).withColumn("word_no", F.lit(None).cast("int")))
-    return whole.unionByName(passages(docs, whole)).select("doc_id", "text_key", "para_no", "word_no", "n_words", "cluster_id", "removed")
-
-
-def _paragraphs(docs: DataFrame, min_words: int, threshold: float, rows: int) -> DataFrame:
-    every = stored(lines(docs, min_words).select("doc_id", "text_key", "para_no", "n_words", "key"))
-    roots = _clusters(lines(docs, min_words).select("key", "line"), threshold, rows)
-    known = every.join(roots, every["key"] == roots["node"], "left").withColumn("_root", F.coalesce("root", "key"))
-    place = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("text_key").alias("c"), F.col("para_no").alias("d"))
-    spans = known.withColumn("_at", place)
-    clusters = (spans.groupBy("_root").agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"))
-                .where("_first <> _last or not (_first <=> _last)").select("_root", "_first"))
-    return (spans.join(clusters, "_root")
-            .select("doc_id", "text_key", "para_no", "n_words", F.col("_first.b").alias("cluster_id"),
+    at = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("text_key").alias("c"), F.col("para_no").alias("d"))
+    keys = every.groupBy("key").agg(F.min(at).alias("_first"), F.max(at).alias("_last"))
+    rooted = stored(keys.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")))
+    clusters = rooted.groupBy("root").agg(F.min("_first").alias("_first"), F.max("_last").alias("_last")).where("not (_first <=> _last)")
+    firsts = rooted.select("key", "root").join(clusters.select("root", "_first"), "root").select("key", "_first")
+    return (every.withColumn("_at", at).join(firsts, "key")
+            .select("doc_id", "text_key", "para_no", "n_lines", "n_words", F.col("_first.b").alias("cluster_id"),
                     (~F.col("_at").eqNullSafe(F.col("_first"))).alias("removed")))
 
 
@@ -172,72 +295,32 @@ def chosen(texts: list[str], known: RawWordHashes) -> tuple[np.ndarray, ...]:
     return names[of], at - begins[of], value.view(np.int64), first, last
 
 
-def passages(docs: DataFrame, whole: DataFrame) -> DataFrame:
+def _passages(spots: DataFrame, whole: DataFrame) -> DataFrame:
     """Pieces of ``PIECE`` words that stand in more than one document, outside the removed paragraphs of ``whole``.
 
     Words are compared in lower case and without marks, over line breaks. Every two documents that still
     share a run of ``RUN`` words share a piece. A piece stays where it stands first and goes elsewhere;
     the ends of a run beyond its outermost pieces, up to ``RUN - PIECE`` words each, stay.
     """
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = RawWordHashes()
-        for batch in batches:
-            for i in range(0, len(batch), 500):
-                part = batch[i:i + 500]
-                if len(known) > 1_000_000:
-                    known.clear()
-                n, at, value, first, last = chosen(list(part["text"]), known)
-                yield pd.DataFrame({"seed": value, "doc_id": part["doc_id"].to_numpy()[n], "text_key": part["text_key"].to_numpy()[n],
-                                    "para_no": first, "_last": last, "word_no": at})
-
-    # Ids go through pandas as text, which keeps large numbers beside nulls.
-    texts = docs.where("text is not null").select(F.col("doc_id").cast("string"), F.xxhash64("text").alias("text_key"), "text")
-    made = texts.mapInPandas(cut, "seed long, doc_id string, text_key long, para_no int, _last int, word_no int")
-    seeds = stored(made.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType)))
     doc = F.xxhash64("doc_id", "text_key")
-    shared = stored(seeds.groupBy("seed").agg(F.min(doc).alias("x"), F.max(doc).alias("y")).where("x <> y").select("seed"))
-    spots = stored(seeds.join(_small(shared), "seed", "left_semi"))
-    gone = (whole.where("removed").groupBy("doc_id", "text_key").agg(F.collect_set("para_no").alias("_gone"))
+    lines = F.sequence(F.col("para_no"), F.col("para_no") + F.col("n_lines") - 1)
+    gone = (whole.where("removed").groupBy("doc_id", "text_key").agg(F.array_distinct(F.flatten(F.collect_list(lines))).alias("_gone"))
             .withColumnsRenamed({"doc_id": "_id", "text_key": "_key"}))
+    spots = spots.select("seed", "doc_id", "text_key", "para_no", "_last", "word_no")
     left = stored(spots.join(gone, (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
                   .where(~F.coalesce(F.exists("_gone", lambda p: p.between(F.col("para_no"), F.col("_last"))), F.lit(False))).drop("_id", "_key", "_gone"))
     place = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("text_key").alias("c"), F.col("word_no").alias("d"))
     firsts = stored(left.groupBy("seed").agg(F.min(place).alias("_first"), F.min(doc).alias("x"), F.max(doc).alias("y"))
                     .where("x <> y").select("seed", "_first"))
-    return (left.join(_small(firsts), "seed")
-            .select("doc_id", "text_key", "para_no", "word_no", F.lit(PIECE).cast("long").alias("n_words"), F.col("_first.b").alias("cluster_id"),
+    return (left.join(firsts, "seed")
+            .select("doc_id", "text_key", "para_no", (F.col("_last") - F.col("para_no") + 1).alias("n_lines"), "word_no",
+                    F.lit(PIECE).cast("int").alias("n_words"), F.col("_first.b").alias("cluster_id"),
                     (~place.eqNullSafe(F.col("_first"))).alias("removed")).distinct())
 
 
-def _small(keys: DataFrame) -> DataFrame:
-    """Stored rows of keys: up to a fixed number they go to every task, beyond it both sides are shuffled."""
-    return F.broadcast(keys) if keys.count() <= KEYS else keys
-
-
-def _clusters(paragraphs: DataFrame, threshold: float, rows: int) -> DataFrame:
-    bands = tune(threshold, rows=rows)
-
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = WordHashes()
-        for batch in batches:
-            for i in range(0, len(batch), 2_000):
-                part = batch[i:i + 2_000]
-                if len(known) > 1_000_000:
-                    known.clear()
-                texts, keys = list(part["line"]), part["key"].to_numpy()
-                found = bands_of(texts, known, bands, rows)
-                # A set that one more shingle takes below the threshold has equal sets alone: one band finds them.
-                count = np.array([len(WORDS.findall(t)) for t in texts])
-                size = np.maximum(count - SHINGLE + 1, 1)
-                asked = np.where(count == 0, 0, np.where(size / (size + 1) < threshold - 1e-9, 1, bands))
-                yield pd.DataFrame({"band": found[np.arange(bands) < asked[:, None]], "key": np.repeat(keys, asked)})
-
-    signed = stored(paragraphs.mapInPandas(sign, "band long, key long"))
-    shared = signed.groupBy("band").agg(F.min("key").alias("lead"), F.max("key").alias("_last")).where("lead <> _last").drop("_last")
-    members = stored(signed.join(shared, "band").distinct())
-    sets = _sets(paragraphs, members.select("key").distinct())
-    edges = _similar(members.where("key <> lead").select(F.col("key").alias("a"), F.col("lead").alias("b")).distinct(), sets, threshold)
-    edges = stored(edges)
+def _clusters(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Components (node, root) of the paragraphs that share a band and are alike."""
+    edges = stored(_similar(members.where("key <> lead").select(F.col("key").alias("a"), F.col("lead").alias("b")).distinct(), sets, threshold))
     roots = components(edges)
     # A paragraph that is not like its bucket's first may still be like another one there.
     grouped = members.join(roots, members["key"] == roots["node"], "left").select("band", "key", F.coalesce("root", "key").alias("part"))
@@ -248,20 +331,6 @@ def _clusters(paragraphs: DataFrame, threshold: float, rows: int) -> DataFrame:
     return components(edges.union(_residual(rest, sets, threshold)))
 
 
-def _sets(paragraphs: DataFrame, keys: DataFrame) -> DataFrame:
-    """``key`` and the distinct ``shingles`` of every paragraph that shares a bucket."""
-    keys = stored(keys)
-    some = paragraphs.join(_small(keys), "key", "left_semi").groupBy("key").agg(F.min("line").alias("line"))
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = WordHashes()
-        for batch in batches:
-            hashes, starts = shingle_hashes(list(batch["line"]), known)
-            yield pd.DataFrame({"key": batch["key"], "shingles": [np.unique(x).view(np.int64) for x in np.split(hashes, starts[1:])]})
-
-    return stored(some.mapInPandas(cut, "key long, shingles array<long>"))
-
-
 def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs ``a``, ``b`` whose exact Jaccard similarity reaches the threshold."""
     both = (pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a")
@@ -303,8 +372,10 @@ def _residual(rest: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 def remove(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` without the removed paragraphs and passages; rows and columns stay, a text may end up empty."""
+    lines = F.sequence(F.col("para_no"), F.col("para_no") + F.col("n_lines") - 1)
     gone = (found.where("removed").groupBy("doc_id", "text_key")
-            .agg(F.collect_set(F.when(F.col("word_no").isNull(), F.col("para_no"))).alias("_gone"), F.collect_set("word_no").alias("_pieces"))
+            .agg(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("word_no").isNull(), lines)))).alias("_gone"),
+                 F.collect_set("word_no").alias("_pieces"))
             .withColumnsRenamed({"doc_id": "_id", "text_key": "_key"}))
     keyed = docs.withColumn("_of", F.xxhash64("text"))
 

@@ -92,7 +92,7 @@ def _(spark, sf_dir):
 
 @query("op3_substring_dedup")
 def _(spark, sf_dir):
-    return paragraphs.find(table(spark, sf_dir, "documents")).drop("text_key")
+    return paragraphs.find(table(spark, sf_dir, "documents"), min_words=30).drop("text_key")
 
 
 _ROUNDS = "".join(f"""

@@ -380,3 +380,24 @@ def test_pipeline_stages(spark):
     mixed = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
     assert set(docs.columns) <= set(mixed.columns) and 0 < mixed.count() <= 2 * docs.count()
     assert json.dumps(corpus_pipeline.ORACLE_SQL) == "null"
+
+
+def test_joined_paragraphs_hold_every_word_once(spark):
+    rng = random.Random(21)
+    for _ in range(200):
+        lines = [prose(rng, rng.choice([0, 1, 3, 8, 29, 30, 45])) for _ in range(rng.randint(0, 12))]
+        text = "\n".join(lines)
+        parts = paragraphs.joined(text, 30)
+        covered = [line for first, n, _, _ in parts for line in lines[first:first + n]]
+        assert " ".join(" ".join(covered).split()) == " ".join(text.split())
+        assert all(words == len(body.split()) for _, _, words, body in parts)
+        assert len(parts) <= 1 or all(words >= 30 for _, _, words, _ in parts)
+    shared, heading = "\n".join(prose(rng, 12) for _ in range(4)), "Chapter one"
+    made = [(i, f"{heading}\n{prose(rng, 60)}\nYes, said the other.\n{prose(rng, 50)}") for i in range(8)]
+    made += [(10, prose(rng, 33) + "\n" + shared), (11, prose(rng, 31) + "\n" + shared), (12, "short text of six words here"), (13, "short text of six words here")]
+    found = paragraphs.find(spark.createDataFrame(made, "doc_id long, text string"), min_words=30)
+    # A heading or a line of talk that many texts share stays where it is; lines that repeat together go together.
+    assert rows(found, "doc_id", "para_no", "n_lines", "removed") == [
+        (10, 1, 4, False), (11, 1, 4, True), (12, 0, 1, False), (13, 0, 1, True)]
+    left = {r["doc_id"]: r["text"] for r in paragraphs.remove(spark.createDataFrame(made, "doc_id long, text string"), found).collect()}
+    assert left == {d: t for d, t in made} | {11: made[9][1].split("\n")[0], 13: ""}

@@ -33,9 +33,10 @@ MAIN = ("article", "main")
 
 TAG = re.compile(
     r"<!--.*?(?:--!?>|\Z)"
-    r"|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+    r"|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/<>]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|</?[a-zA-Z][^>]*>|<[!?/][^>]*>", re.S | re.I)
+ENDED = re.compile(r"(?:--!?|</[a-z]+\s*)>\Z", re.I)
 ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 PATHS = 100_000  # unimportant paths, and pages' lists of them, up to which they are sent to every task
 LISTS = 50_000
@@ -46,12 +47,17 @@ class Page:
     """One page: its text blocks in order, each with the path of styled elements it stands in."""
 
     def __init__(self, html: str):
-        self.blocks: list[tuple[str, bool, bool, str]] = []  # path, noise, in main, text
-        # Open elements: name, path, noise, in main.
-        self.open: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+        self.blocks: list[tuple[str, bool, bool, tuple, str]] = []  # path, noise, in main, marked branches, text
+        # Open elements: name, path, noise, in main, marked branches.
+        self.open: list[tuple[str, str, bool, bool, tuple]] = [("", "", False, False, ())]
         self.parts: list[str] = []
         at = 0
-        for m in TAG.finditer(html):
+        # Behind the last ">" no tag ends, only a comment may begin: nothing is searched there over and over.
+        end = html.rfind(">") + 1
+        tail = html.find("<!--", end)
+        if tail >= 0:
+            html = html[:tail]
+        for m in TAG.finditer(html, 0, end):
             if m.start() > at:
                 self.parts.append(html[at:m.start()])
             at = m.end()
@@ -59,6 +65,8 @@ class Page:
                 (self._end if m["end"] else self._start)(m["name"].lower(), m["attrs"])
             elif not m["raw"] and not m[0].startswith(("<!", "<?")):
                 self.parts.append(" ")
+            if at == end and (m["raw"] or m[0].startswith("<!--")) and not ENDED.search(m[0]):
+                html = html[:end]  # a comment or script that never ends takes the rest with it
         self.parts.append(html[at:])
         self._flush()
 
@@ -68,8 +76,8 @@ class Page:
         if text and not text.isspace():
             text = " ".join(unescape(text).split())
             if text:
-                _, path, noise, main = self.open[-1]
-                self.blocks.append((path, noise, main, text))
+                _, path, noise, main, marks = self.open[-1]
+                self.blocks.append((path, noise, main, marks, text))
 
     def _start(self, name: str, attrs: str) -> None:
         if name == "br":
@@ -91,16 +99,16 @@ class Page:
                 if self.open[k][0] in CLOSES[name]:
                     del self.open[k:]
                     break
-        _, path, noise, main = self.open[-1]
-        style, hidden = _style(name, attrs)
+        _, path, noise, main, marks = self.open[-1]
+        style, hidden, marked = _style(name, attrs)
         main = main or name in MAIN
         # A header inside the article holds its headline; elsewhere it belongs to the site.
         noise = noise or hidden or name in SKIPPED or (name == "header" and not main)
         if name in BLOCKS or style != name or name in SKIPPED:
             path = f"{path}>{style}"
-            if noise != self.open[-1][2] and name not in BLOCKS and name not in SKIPPED:
+            if (noise != self.open[-1][2] or marked) and name not in BLOCKS and name not in SKIPPED:
                 self._flush()
-        self.open.append((name, path, noise, main))
+        self.open.append((name, path, noise, main, (*marks, len(self.blocks)) if marked else marks))
 
     def _close_paragraph(self) -> None:
         for k in range(len(self.open) - 1, 0, -1):
@@ -114,7 +122,7 @@ class Page:
     def _end(self, name: str, _attrs: str) -> None:
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k][0] == name:
-                if name in BLOCKS or name in SKIPPED or self.open[k][2] != self.open[k - 1][2]:
+                if name in BLOCKS or name in SKIPPED or self.open[k][2] != self.open[k - 1][2] or self.open[k][4] != self.open[k - 1][4]:
                     self._flush()
                 elif name in ("td", "th"):
                     self.parts.append(" ")
@@ -124,11 +132,12 @@ class Page:
                 return
 
 
-def _style(name: str, attrs: str) -> tuple[str, bool]:
-    """Presentation of an element, its name with classes and id, and whether it marks noise."""
+def _style(name: str, attrs: str) -> tuple[str, bool, bool]:
+    """Presentation of an element, its name with classes and id, whether it is noise (hidden, or by its role),
+    and whether a class or id marks it as such."""
     if not attrs or attrs.isspace():
-        return name, False
-    style, noise = name, False
+        return name, False, False
+    style, noise, marked = name, False, False
     for key, value in ATTR.findall(attrs):
         key, value = key.lower(), unescape(value.strip("\"'")).strip()
         if key in ("class", "id"):
@@ -136,14 +145,14 @@ def _style(name: str, attrs: str) -> tuple[str, bool]:
             if names:
                 style += ("." if key == "class" else "#") + re.sub(r"\d{2,}", "0", ".".join(names))
             if name not in ("body", "html", *MAIN):
-                noise = noise or any(x in NOISE_WHOLE or x in NOISE or not NOISE.isdisjoint(re.split(r"[-_]+", x)) for x in names)
+                marked = marked or any(x in NOISE_WHOLE or x in NOISE or not NOISE.isdisjoint(re.split(r"[-_]+", x)) for x in names)
         elif key == "role" and value.lower() in NOISE_ROLES:
             noise = True
         elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
             noise = True
         elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             noise = True
-    return style, noise
+    return style, noise, marked
 
 
 def parts_of(path: str) -> list[str]:
@@ -168,7 +177,7 @@ def nodes(pages: DataFrame) -> DataFrame:
             rows = []
             for url, html in zip(batch["url"], batch["html"], strict=True):
                 host, seen, children = host_of(url), set(), {}
-                for path, _, _, text in Page(html).blocks:
+                for path, *_, text in Page(html).blocks:
                     seen.add((host, path, "text", text))
                     above = parts_of(path)
                     for up, down in zip(above, above[1:], strict=False):
@@ -234,10 +243,10 @@ def _small(rows: DataFrame, most: int) -> DataFrame:
 def extract(pages: DataFrame, threshold: float = 0.4) -> DataFrame:
     """Add ``text`` and ``n_chars`` to ``pages`` (url, html): the main text of each page.
 
-    Branches that the host's style tree rates below ``threshold`` go, as do branches whose
-    element or presentation marks them as menu, footer, advert, form, comment and the like. If a page
-    has an article or main element, the text is what is left inside; otherwise all that is
-    left. Plain paragraphs and headlines inside an article stay, however many pages repeat them.
+    Branches that the host's style tree rates below ``threshold`` go, as do branches whose element or role makes
+    them a menu, footer, form and the like, or that a class or id marks as such; where such marks would leave less
+    than a third of the text, those on branches with more than half of it do not count. If article or main elements
+    have most of what is left, the text is what is left inside; otherwise all that is left. Plain paragraphs and headlines inside an article stay, however many pages repeat them.
     Blocks are joined by two line breaks; white space within a block becomes one blank. Null
     or empty html gives an empty text; a null url is a host of its own. ``text`` and ``n_chars`` are replaced.
     """
@@ -258,17 +267,22 @@ def extract(pages: DataFrame, threshold: float = 0.4) -> DataFrame:
 def text_of(html: str, low: list[str] | None = None) -> str:
     """Main text of one page, given the unimportant paths of its host."""
     low = frozenset(low if low is not None else ())
-    page = Page(html)
-    kept = []
-    for path, noise, main, text in page.blocks:
-        if noise:
-            continue
-        if low and _unimportant(path, main, low):
-            continue
-        kept.append((main, text))
-    if any(m for m, _ in kept):
-        kept = [k for k in kept if k[0]]
-    return "\n\n".join(t for _, t in kept)
+    kept = [(main, marks, text) for path, noise, main, marks, text in Page(html).blocks
+            if not noise and not (low and _unimportant(path, main, low))]
+    sizes: dict[int, int] = {}
+    for _, marks, text in kept:
+        for mark in marks:
+            sizes[mark] = sizes.get(mark, 0) + len(text)
+    whole = sum(len(text) for *_, text in kept)
+    if 3 * sum(len(text) for _, marks, text in kept if not marks) < whole:
+        # Marks that leave next to nothing stand on frames around the article: only those on minor branches count.
+        sizes = {mark: size for mark, size in sizes.items() if 2 * size <= whole}
+    kept = [(main, text) for main, marks, text in kept if not any(mark in sizes for mark in marks)]
+    # What stands outside an article or main element goes if that element has most of the text.
+    inside = sum(len(text) for main, text in kept if main)
+    if 2 * inside >= sum(len(text) for _, text in kept):
+        kept = [k for k in kept if k[0]] or kept
+    return "\n\n".join(text for _, text in kept)
 
 
 def _unimportant(path: str, main: bool, low: frozenset) -> bool:

@@ -3,6 +3,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -401,3 +402,30 @@ def test_joined_paragraphs_hold_every_word_once(spark):
         (10, 1, 4, False), (11, 1, 4, True), (12, 0, 1, False), (13, 0, 1, True)]
     left = {r["doc_id"]: r["text"] for r in paragraphs.remove(spark.createDataFrame(made, "doc_id long, text string"), found).collect()}
     assert left == {d: t for d, t in made} | {11: made[9][1].split("\n")[0], 13: ""}
+
+
+FRAMES = ("content has-sidebar", "no-sidebar", "layout-sidebar-right", "nav-open wrapper", "page-with-comments", "related-work", "search-results",
+          "share-price", "alert-body", "widget-free", "menu-closed", "ad-free", "article-social", "top")
+
+
+@pytest.mark.parametrize("frame", FRAMES)
+def test_marks_on_frames_do_not_empty_a_page(frame):
+    rng = random.Random(5)
+    body, side = prose(rng, 80), prose(rng, 12)
+    page = f'<div class="{frame}"><h1>Title</h1><p>{body}</p><div class="sidebar">{side}</div></div>'
+    assert html.text_of(page) == f"Title\n\n{body}"
+    assert html.text_of(f"<main>{page}</main>") == f"Title\n\n{body}"
+    # A marked branch beside the article goes, however long it is.
+    assert html.text_of(f'<p>{body}</p><div class="comments">{prose(rng, 120)}</div>') == body
+
+
+def test_long_and_broken_pages_are_read_once():
+    began = time.perf_counter()
+    for part in ("<div ", "<a href=\"", "<a x='\" ", "<!--", "<script ", "<", "</", "<p class=a", "<b><i "):
+        html.text_of(part * (1_000_000 // len(part)))
+    assert time.perf_counter() - began < 30
+    assert html.text_of("<p>one</p><p>two</p><!-- never closed <p>three") == "one\n\ntwo"
+    teaser = "<article><p>Teaser only.</p></article>"
+    body = prose(random.Random(1), 60)
+    assert html.text_of(f"{teaser}<div><p>{body}</p></div>") == f"Teaser only.\n\n{body}"
+    assert html.text_of(f"<article><p>{body}</p></article><div><p>Next page</p></div>") == body

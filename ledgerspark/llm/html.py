@@ -246,7 +246,7 @@ def extract(pages: DataFrame, threshold: float = 0.4) -> DataFrame:
     Branches that the host's style tree rates below ``threshold`` go, as do branches whose element or role makes
     them a menu, footer, form and the like, or that a class or id marks as such; where such marks would leave less
     than a third of the text, those on branches with more than half of it do not count. If article or main elements
-    have most of what is left, the text is what is left inside; otherwise all that is left. Plain paragraphs and headlines inside an article stay, however many pages repeat them.
+    have a quarter of what is left, the text is what is left inside; otherwise all that is left. Plain paragraphs and headlines inside an article stay, however many pages repeat them.
     Blocks are joined by two line breaks; white space within a block becomes one blank. Null
     or empty html gives an empty text; a null url is a host of its own. ``text`` and ``n_chars`` are replaced.
     """
@@ -278,9 +278,9 @@ def text_of(html: str, low: list[str] | None = None) -> str:
         # Marks that leave next to nothing stand on frames around the article: only those on minor branches count.
         sizes = {mark: size for mark, size in sizes.items() if 2 * size <= whole}
     kept = [(main, text) for main, marks, text in kept if not any(mark in sizes for mark in marks)]
-    # What stands outside an article or main element goes if that element has most of the text.
+    # What stands outside goes if the article and main elements have a fair part of the text; else they hold a teaser.
     inside = sum(len(text) for main, text in kept if main)
-    if 2 * inside >= sum(len(text) for _, text in kept):
+    if 4 * inside >= sum(len(text) for _, text in kept):
         kept = [k for k in kept if k[0]] or kept
     return "\n\n".join(text for _, text in kept)
 

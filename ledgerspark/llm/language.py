@@ -1,6 +1,5 @@
 """Language identification by piece unigrams summed over all segmentations."""
 
-import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -9,13 +8,14 @@ from math import log
 import ahocorasick
 import numpy as np
 import pandas as pd
+import regex
 import sentencepiece
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerspark.llm.common import per_worker, stored
 
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*+")  # fractions, raised and circled digits are no letters
 FLOOR = 1e-9  # probability of a character that is no piece
 SMALL = 1e-250
 STEP = 96  # characters of a longer word that are scored as one
@@ -25,7 +25,7 @@ def pieces(path: str) -> frozenset[str]:
     """Pieces of a public vocabulary made of letters, with ``▁`` for the start of a word."""
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     every = (model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i)))
-    return frozenset(p for p in (p.lower() for p in every) if p and LETTERS.fullmatch(p.removeprefix("▁") or "a"))
+    return frozenset(p for p in (p.lower() for p in every) if p and regex.fullmatch(r"▁?[\p{L}\p{M}]*", p))
 
 
 def words(text: str) -> list[str]:

@@ -356,7 +356,7 @@ def test_language(spark, odd, empty):
     rng = random.Random(10)
     sound = {"aa": ["the", "and", "ing", "er", "wh"], "bb": ["der", "sch", "ung", "ein", "zu"]}
     made = [(i, " ".join("".join(rng.choice(sound[k]) for _ in range(3)) for _ in range(20)), k) for i in range(300) for k in [rng.choice(["aa", "bb"])]]
-    docs = spark.createDataFrame([*made, (900, "1234 !!", "aa"), (901, None, "bb"), (None, "the", "aa"), (902, "x" * 5000, None)], "doc_id long, text string, lang string")
+    docs = spark.createDataFrame([*made, (900, "1234 !! ½ ² ① Ⅷ", "aa"), (901, None, "bb"), (None, "the", "aa"), (902, "x" * 5000, None)], "doc_id long, text string, lang string")
     got = {r["doc_id"]: r for r in language.identify(docs, PIECES).collect()}
     assert len(got) == 304 and got[900]["lang_pred"] == got[901]["lang_pred"] == "und" and got[901]["score"] == 0.0
     for i, _, lang in made:

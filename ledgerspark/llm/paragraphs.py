@@ -2,6 +2,7 @@
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -9,10 +10,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import WORD, components, stored
+from ledgerspark.llm.common import components, stored
 
 WORDS = re.compile(r"\w+")
-TOKENS = re.compile(WORD)
 SHINGLE = 5
 PIECE = 25  # words of a passage's pieces
 RUN = 50  # words of a repeated run that holds one chosen piece at least
@@ -34,32 +34,28 @@ def tune(threshold: float = 0.8, recall: float = 0.995, rows: int = 4) -> int:
 
 
 class WordHashes(dict):
-    """Hashes of words, remembered."""
-
-    def __missing__(self, word: str) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-class RawWordHashes(WordHashes):
     """Hashes of words in lower case, remembered by the words as they stand."""
 
     def __missing__(self, word: str) -> int:
         value = self[word] = xxhash.xxh3_64_intdigest(word.lower())
         return value
 
+    def lines(self, text: str) -> list[list[int]]:
+        """The hashes of the words of every line."""
+        return [[*map(self.__getitem__, WORDS.findall(line))] for line in text.split("\n")]
+
 
-def shingle_hashes(texts: list[str], known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the five-word shingles of all texts, and where each text's begin.
+def shingle_hashes(texts: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the five-word shingles of all texts (hashes of words), where each text's begin, and its number of words.
 
     A text of fewer words has one shingle, its whole sequence.
     """
-    every, sizes = [], []
-    for text in texts:
-        found = WORDS.findall(text.lower())
+    every, sizes, counts = [], [], []
+    for found in texts:
+        counts.append(len(found))
         # Short texts are filled up, so that they have one shingle that tells the length too.
         short = SHINGLE - len(found)
-        every += map(known.__getitem__, found)
+        every += found
         if short > 0:
             every += [short] * short
         sizes.append(max(SHINGLE, len(found)))
@@ -75,12 +71,12 @@ def shingle_hashes(texts: list[str], known: WordHashes) -> tuple[np.ndarray, np.
     for k in range(1, SHINGLE):
         keep[ends[:-1] - k] = False
     starts = np.r_[0, np.cumsum(np.array(sizes) - SHINGLE + 1)[:-1]]
-    return mixed[keep], starts
+    return mixed[keep], starts, np.array(counts)
 
 
-def bands_of(texts: list[str], known: WordHashes, bands: int, rows: int) -> np.ndarray:
-    """One hash per text and band."""
-    hashes, starts = shingle_hashes(texts, known)
+def bands_of(texts: list[list[int]], bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """One hash per text and band, and each text's number of words."""
+    hashes, starts, counts = shingle_hashes(texts)
     rng = np.random.default_rng(11)
     a = rng.integers(1, 2 ** 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     out = np.zeros((len(texts), bands), np.uint64)
@@ -93,7 +89,7 @@ def bands_of(texts: list[str], known: WordHashes, bands: int, rows: int) -> np.n
             total = (total ^ low) * POWERS[2]
             total ^= total >> np.uint64(33)
         out[:, band] = total
-    return out.view(np.int64)
+    return out.view(np.int64), counts
 
 
 def joined(text: str, min_words: int) -> list[tuple[int, int, int, str]]:
@@ -104,7 +100,7 @@ def joined(text: str, min_words: int) -> list[tuple[int, int, int, str]]:
     """
     out, first, part, words = [], None, [], 0
     for no, line in enumerate(text.split("\n")):
-        n = len(TOKENS.findall(line))
+        n = len(line.split())
         if n:
             first = no if first is None else first
             part.append(line)
@@ -164,30 +160,28 @@ def _marks(min_words: int, threshold: float, rows: int):
     bands = tune(threshold, rows=rows)
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lower, raw, signed = WordHashes(), RawWordHashes(), set()
+        words, signed = WordHashes(), set()
         for batch in batches:
             for i in range(0, len(batch), 300):
                 part = batch[i:i + 300]
-                for known in (lower, raw, signed):
+                for known in (words, signed):
                     if len(known) > 1_000_000:
                         known.clear()
-                texts = list(part["text"])
+                texts, hashed = list(part["text"]), [words.lines(t) for t in part["text"]]
                 paras = [joined(t, min_words) for t in texts]
                 keys = [[_key(p[3]) for p in ps] for ps in paras]
-                new = [(n, k, p[3]) for n, (ks, ps) in enumerate(zip(keys, paras)) for k, p in zip(ks, ps)
-                       if k not in signed and not signed.add(k)]
+                new = [(n, k, [*chain.from_iterable(hashed[n][p[0]:p[0] + p[1]])]) for n, (ks, ps) in enumerate(zip(keys, paras))
+                       for k, p in zip(ks, ps) if k not in signed and not signed.add(k)]
                 new_keys, out = [[] for _ in texts], [[] for _ in texts]
                 if new:
-                    lines = [line for _, _, line in new]
-                    found = bands_of(lines, lower, bands, rows)
+                    found, count = bands_of([line for _, _, line in new], bands, rows)
                     # A set that one more shingle takes below the threshold has equal sets alone: one band finds them.
-                    count = np.array([len(WORDS.findall(t)) for t in lines])
                     size = np.maximum(count - SHINGLE + 1, 1)
                     asked = np.where(count == 0, 0, np.where(size / (size + 1) < threshold - 1e-9, 1, bands))
                     for (n, k, _), row, some in zip(new, found.tolist(), asked.tolist()):
                         new_keys[n].append(k)
                         out[n] += row[:some] + [None] * (bands - some)
-                of, _, value, _, _ = chosen(texts, raw)
+                of, _, value, _, _ = chosen(hashed)
                 seeds = [np.unique(v) for v in np.split(value, np.searchsorted(of, np.arange(1, len(texts))))]
                 yield pd.DataFrame({"doc_id": pd.Series(list(part["doc_id"]), dtype=object), "text_key": part["text_key"].to_numpy(),
                                     **{c: [[p[k] for p in ps] for ps in paras] for k, c in enumerate(("para_no", "n_lines", "n_words"))},
@@ -199,24 +193,25 @@ def _marks(min_words: int, threshold: float, rows: int):
 def _look(min_words: int):
     """The shingles of wanted paragraphs, each once in a task, and the places of wanted pieces."""
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lower, raw, done = WordHashes(), RawWordHashes(), set()
+        words, done = WordHashes(), set()
         for batch in batches:
             for i in range(0, len(batch), 300):
                 part = batch[i:i + 300]
-                for known in (lower, raw, done):
+                for known in (words, done):
                     if len(known) > 1_000_000:
                         known.clear()
-                texts, lines = list(part["text"]), {}
-                for text, keys in zip(texts, part["keys"]):
+                hashed, lines = [words.lines(t) for t in part["text"]], {}
+                for text, found, keys in zip(part["text"], hashed, part["keys"]):
                     if keys is not None and not done.issuperset(keys):
                         asked = set(keys) - done
-                        lines |= {k: p[3] for p in joined(text, min_words) if (k := _key(p[3])) in asked}
+                        lines |= {k: [*chain.from_iterable(found[p[0]:p[0] + p[1]])]
+                                  for p in joined(text, min_words) if (k := _key(p[3])) in asked}
                 done |= lines.keys()
                 if lines:
-                    hashes, starts = shingle_hashes(list(lines.values()), lower)
+                    hashes, starts, _ = shingle_hashes(list(lines.values()))
                     yield _rows(len(lines), key=list(lines), shingles=[np.unique(x).view(np.int64) for x in np.split(hashes, starts[1:])])
                 spots = [set() if x is None else set(x.tolist()) for x in part["spots"]]
-                n, at, value, first, last = chosen(texts, raw)
+                n, at, value, first, last = chosen(hashed)
                 keep = np.array([v in spots[k] for k, v in zip(n.tolist(), value.tolist())], dtype=bool)
                 if keep.any():
                     n = n[keep]
@@ -252,16 +247,15 @@ def _removals(every: DataFrame, roots: DataFrame) -> DataFrame:
                     (~F.col("_at").eqNullSafe(F.col("_first"))).alias("removed")))
 
 
-def chosen(texts: list[str], known: RawWordHashes) -> tuple[np.ndarray, ...]:
-    """Of texts of ``RUN`` words and more the chosen pieces: text, first word, hash, lines of the first and the last word.
+def chosen(texts: list[list[list[int]]]) -> tuple[np.ndarray, ...]:
+    """Of texts (hashes of the words of each line) of ``RUN`` words and more the chosen pieces: text, first word, hash, lines of the first and the last word.
 
     Words are counted over all lines of a text. Of every ``RUN - PIECE + 1`` neighbouring pieces the one with
     the smallest hash is chosen, so a run of ``RUN`` words brings the same piece to every text that holds it.
     """
     span = RUN - PIECE + 1
     every, text_at, sizes, line_at = [], [], [], []
-    for n, text in enumerate(texts):
-        found = [WORDS.findall(line) for line in text.split("\n")]
+    for n, found in enumerate(texts):
         size = sum(map(len, found))
         if size < RUN:
             continue
@@ -269,7 +263,7 @@ def chosen(texts: list[str], known: RawWordHashes) -> tuple[np.ndarray, ...]:
         sizes.append(size)
         for no, line in enumerate(found):
             line_at.append((no, len(every)))
-            every += map(known.__getitem__, line)
+            every += line
     if not every:
         return tuple(np.zeros(0, np.int64) for _ in range(5))
     w = np.array(every, np.uint64)

@@ -2,13 +2,16 @@
 
 Each view is one SQL text that Spark and DuckDB read the same way. ``{S}`` is the
 string type and ``{N}`` the suffix of the zone-less timestamp type; the other braces
-name source tables. Every view reads its tables whole.
+name source tables. Every view reads its tables whole. ``SHUFFLED`` says how Spark gets the
+rows of the largest views with fewer shuffles.
 """
 
 import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerspark.functions.state import cut_lineage
+
 # The date the valuation queries are run for; it lies after the last ledger date.
 AS_OF = "2001-12-31"
 
@@ -123,15 +126,57 @@ SELECT CAST(n AS INT) AS query_id,
 FROM (SELECT p_name, row_number() OVER (ORDER BY p_name) AS n FROM (SELECT DISTINCT p_name FROM {part}) d) q""",
 }
 
+# The rows of the views above for Spark. The lines travel twice: to their order, where copies of a line meet as
+# well (equal keys have equal order numbers), and to their part, whose facts are joined beforehand. The ledger is
+# left lying by product, so that sums per product combine before they travel.
+SHUFFLED = {
+    "ledger": """
+SELECT /*+ MERGE(f) */ transaction_id, CAST(l_partkey AS {S}) AS product_id, p_name AS product_name, transaction_type, quantity,
+ price_per_unit, total_amount, transaction_date, transaction_date AS input_date,
+ CASE WHEN transaction_date < earliest_date THEN TRUE WHEN quantity > 25 THEN FALSE END AS date_adjusted,
+ CASE WHEN quantity < 10 THEN NULL ELSE concat('lot ', quantity) END AS notes,
+ CAST(transaction_date AS TIMESTAMP{N}) + INTERVAL '1' HOUR * (transaction_id%10) AS created_at, purchase_method, purchase_location
+FROM (SELECT transaction_id, l_partkey, kind AS transaction_type, CAST(l_quantity AS BIGINT) AS quantity,
+  CASE WHEN unpriced THEN NULL
+       ELSE CAST(CAST(l_extendedprice/l_quantity AS DECIMAL(18,6)) AS DECIMAL(18,2)) END AS price_per_unit,
+  CASE WHEN unpriced OR l_linenumber=1 THEN NULL ELSE CAST(l_extendedprice AS DECIMAL(18,2)) END AS total_amount,
+  CAST(l_shipdate AS DATE) AS transaction_date,
+  CASE WHEN kind='BUY' AND o_orderpriority<>'5-LOW' THEN o_orderpriority END AS purchase_method,
+  CASE WHEN kind<>'BUY' THEN NULL WHEN c_mktsegment='BUILDING' THEN '  ' ELSE n_name END AS purchase_location
+ FROM (SELECT *, CAST(l_orderkey*10+l_linenumber AS BIGINT) AS transaction_id,
+   row_number() OVER (PARTITION BY order_no,l_orderkey,l_linenumber
+         ORDER BY l_partkey,l_suppkey,l_shipdate,l_extendedprice) AS rn
+  FROM (SELECT *, CAST(floor(CAST(l_orderkey*10+l_linenumber AS BIGINT)/10.0) AS BIGINT) AS order_no
+   FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity,
+     CASE WHEN l_returnflag='N' OR l_linestatus='O' THEN 'BUY' WHEN l_returnflag='R' THEN 'SELL' ELSE 'OPEN' END AS kind,
+     coalesce(l_returnflag='A' AND l_linestatus='F', FALSE) AS unpriced
+    FROM {lineitem} WHERE l_orderkey*10+l_linenumber IS NOT NULL
+    DISTRIBUTE BY CAST(floor(CAST(l_orderkey*10+l_linenumber AS BIGINT)/10.0) AS BIGINT)) d) n) l
+ JOIN (SELECT o_orderkey, o_orderpriority, c_mktsegment, n_name FROM {orders} JOIN {customer} ON c_custkey=o_custkey
+  JOIN {nation} ON n_nationkey=c_nationkey) o ON o_orderkey=order_no WHERE rn=1) b
+JOIN (SELECT p_partkey, p_name, earliest_date FROM {part} JOIN earliest ON product_id=CAST(p_partkey AS {S})) f
+ ON p_partkey=l_partkey""",
+    "pr": """
+SELECT product_id, snapshot_date, min_by(market_price, struct(order_key, line_number, supp_key, ext_price)) AS market_price
+FROM (SELECT /*+ MERGE(p) */ p.product_id, snapshot_date, market_price, order_key, line_number, supp_key, ext_price
+ FROM (SELECT CAST(l_partkey AS {S}) AS product_id, CAST(o_orderdate AS DATE) AS snapshot_date,
+   CASE WHEN l_discount=0 THEN NULL
+        ELSE CAST(CAST(l_extendedprice/l_quantity AS DECIMAL(18,6)) AS DECIMAL(18,2)) END AS market_price,
+   l_orderkey AS order_key, l_linenumber AS line_number, l_suppkey AS supp_key, l_extendedprice AS ext_price
+  FROM {lineitem} JOIN {orders} ON o_orderkey=l_orderkey) q
+ JOIN (SELECT CAST(p_partkey AS {S}) AS product_id FROM {part}) p ON p.product_id=q.product_id) x
+GROUP BY product_id, snapshot_date""",
+}
+
 _WORD = re.compile(r"\b(?:FROM|JOIN)\s+(\w+)")
 
 
-def _needed(name: str) -> list[str]:
+def _needed(name: str, texts: dict[str, str] = VIEWS) -> list[str]:
     """Views ``name`` is made of, each after the ones it reads itself."""
     found: list[str] = []
-    for part in _WORD.findall(VIEWS[name]):
-        if part in VIEWS:
-            found += [v for v in _needed(part) if v not in found]
+    for part in _WORD.findall(texts[name]):
+        if part in texts:
+            found += [v for v in _needed(part, texts) if v not in found]
     return found + [name]
 
 
@@ -146,9 +191,24 @@ def duckdb_ctes(*names: str) -> str:
     return re.sub(r"\{(\w+)\}", r"\1", "WITH " + ",\n".join(bodies))
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The named view as a Spark DataFrame over the parquet files in ``sf_dir``."""
-    order = _needed(name)
-    text = _typed(",\n".join(f"{v} AS ({VIEWS[v]})" for v in order), "STRING", "_NTZ")
+def view(spark: SparkSession, sf_dir: str, name: str, stored: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The named view as a Spark DataFrame over the parquet files in ``sf_dir``; the views it reads are taken
+    from ``stored`` if they are there."""
+    stored = stored or {}
+    if name in stored:
+        return stored[name]
+    texts = {v: text for v, text in (VIEWS | SHUFFLED).items() if v not in stored}
+    order = _needed(name, texts)
+    text = _typed(",\n".join(f"{v} AS ({texts[v]})" for v in order), "STRING", "_NTZ")
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in set(re.findall(r"\{(\w+)\}", text))}
-    return spark.sql(f"WITH {text}\nSELECT * FROM {name}", **tables)
+    text = re.sub(r"\b(FROM|JOIN)(\s+)(\w+)", lambda m: f"{m[1]}{m[2]}{{{m[3]}}}" if m[3] in stored else m[0], text)
+    read = {v: df for v, df in stored.items() if f"{{{v}}}" in text}
+    return spark.sql(f"WITH {text}\nSELECT * FROM {name}", **tables, **read)
+
+
+def views(spark: SparkSession, sf_dir: str, names: tuple[str, ...], often: tuple[str, ...] = ()) -> list[DataFrame]:
+    """The named views. Those of ``often`` that they are made of are worked out once and stored."""
+    stored: dict[str, DataFrame] = {}
+    for name in often:
+        stored[name] = cut_lineage(view(spark, sf_dir, name, stored))
+    return [view(spark, sf_dir, name, stored) for name in names]

@@ -29,5 +29,5 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     columns they use. A lost executor costs no recomputation of what came before.
     """
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

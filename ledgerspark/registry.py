@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerspark.fixtures import AS_OF, duckdb_ctes, view
+from ledgerspark.fixtures import AS_OF, duckdb_ctes, views as fixture_views
 from ledgerspark.operators import catalogue, changes, holdings, reports, search, snapshots, timeseries
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,11 +40,12 @@ def present(df: DataFrame) -> DataFrame:
     return df.select(*[shown(f) for f in df.schema.fields])
 
 
-def query(name: str, *views: str, sql: str | None = None):
-    """Register ``build(views...)`` under ``name``; ``sql`` may use the same views."""
+def query(name: str, *views: str, sql: str | None = None, often: tuple[str, ...] = ()):
+    """Register ``build(views...)`` under ``name``; ``sql`` may use the same views. ``often`` names views that the
+    query reads several times over."""
     def register(build):
         BUILDERS[name] = (views, build)
-        QUERIES[name] = lambda spark, sf_dir: present(build(*[view(spark, sf_dir, v) for v in views]))
+        QUERIES[name] = lambda spark, sf_dir: present(build(*fixture_views(spark, sf_dir, views, often)))
         if sql is not None:
             names = [v for v in views] + [v for v in _extra_views(sql) if v not in views]
             ORACLES[name] = _oracle(names, sql)
@@ -359,20 +360,20 @@ SELECT (SELECT count(*) FROM held_view WHERE current_quantity > 0) AS total_prod
 FROM series WHERE date = (SELECT max(date) FROM calendar)"""
 
 
-@query("portfolio_summary", "ledger", "pr", sql=_SUMMARY.replace("COST", _money("cost")))
+@query("portfolio_summary", "ledger", "pr", often=("ledger",), sql=_SUMMARY.replace("COST", _money("cost")))
 def _(ledger, pr):
     return reports.portfolio_summary(holdings.current_holdings(ledger, TODAY),
                                      timeseries.daily_portfolio_value(ledger, pr, TODAY))
 
 
-@query("portfolio_summary_held", "ledger", "pr", sql=_SUMMARY.replace(
+@query("portfolio_summary_held", "ledger", "pr", often=("ledger",), sql=_SUMMARY.replace(
     "COST", "CAST((SELECT sum(basis) FROM held_view WHERE current_quantity > 0) AS DOUBLE)"))
 def _(ledger, pr):
     return reports.portfolio_summary(holdings.current_holdings(ledger, TODAY),
                                      timeseries.daily_portfolio_value(ledger, pr, TODAY), cost_source="holdings")
 
 
-@query("portfolio_return", "ledger", "pr", sql=f"""
+@query("portfolio_return", "ledger", "pr", often=("ledger",), sql=f"""
 SELECT {_money('cost')} AS total_cost_basis, {_money('market - cost')} AS unrealized_pnl,
  CASE WHEN cost > 0 THEN {_money(f"{_money('market - cost')}/{_money('cost')}*100")} END AS return_percent
 FROM series WHERE date = (SELECT max(date) FROM calendar)""")
@@ -560,7 +561,7 @@ def _(ledger):
     return changes.oversell_flags(doubled, ledger)
 
 
-@query("validate_entries", "changes", "products", "ledger", sql="""
+@query("validate_entries", "changes", "products", "ledger", often=("earliest", "ledger"), sql="""
 SELECT seq, product_id, transaction_type, quantity, reason FROM checked""")
 def _(batch, products, ledger):
     inserts = batch.filter(F.col("op") == "INSERT")
@@ -568,7 +569,7 @@ def _(batch, products, ledger):
             .select("seq", "product_id", "transaction_type", "quantity", "reason"))
 
 
-@query("change_outcomes", "changes", "products", "ledger", sql="""
+@query("change_outcomes", "changes", "products", "ledger", often=("earliest", "ledger"), sql="""
 SELECT s.seq, s.op, s.id AS transaction_id, w.reason FROM steps s JOIN batch_walk w ON w.seq=s.seq
 UNION ALL SELECT seq, op, transaction_id, 'not_found' FROM changes WHERE seq NOT IN (SELECT seq FROM steps)""")
 def _(batch, products, ledger):
@@ -581,7 +582,7 @@ _SHOWN = f"""product_id, product_name, transaction_type, quantity, CAST(price_pe
  strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at"""
 
 
-@query("apply_changes", "changes", "products", "ledger", sql=f"""
+@query("apply_changes", "changes", "products", "ledger", often=("earliest", "ledger"), sql=f"""
 , ends AS (SELECT lane, arg_max(rows, n) AS rows FROM batch_walk GROUP BY lane),
 edited AS (SELECT e.key AS id, e.value AS v FROM (SELECT unnest(map_entries(rows)) AS e FROM ends) u),
 result AS (
@@ -605,7 +606,7 @@ def _(batch, products, ledger):
     return changes.apply_changes(ledger, batch, products, ENTERED_AT)
 
 
-@query("admit_sequential", "changes", "products", "ledger", sql="""
+@query("admit_sequential", "changes", "products", "ledger", often=("earliest", "ledger"), sql="""
 , others AS (SELECT c.*, coalesce(h.current_quantity, 0) AS stock,
   row_number() OVER (PARTITION BY c.product_id ORDER BY c.seq) AS n,
   -- A purchase adds and a sale takes only when no other rule refuses it.

@@ -126,20 +126,16 @@ def _block_starts(events: DataFrame) -> DataFrame | None:
         todo, leads = (df.join(wrong.select(*key), key, "left_semi") for df in (handing, starts))
 
 
-def settle(events: DataFrame, ledger: DataFrame, bits: int = BITS, block: int = BLOCK) -> DataFrame:
-    """(seq, granted) for every event, as if they came one after the other in ``seq`` order.
+def stock_ranges(events: DataFrame) -> DataFrame:
+    """Events of named rows with what ``settle`` must know of the changes of a row before each: ``high`` and ``low``, the
+    most and the least that the row can add then, ``up`` and ``down``, by how much the event can move both.
 
-    Columns: ``seq`` (unique), ``product_id``, ``row`` (the ledger row that is changed, null
-    for a new one), ``own`` (what that row adds to the stock now, 0 for a new one),
-    ``after`` (what it adds afterwards), ``quantity`` (what the stock must cover),
-    ``checks`` (is the stock asked at all?) and ``takes`` (does the row change if it passes?).
-    None but ``row`` may be null. A row that very many events name is sorted by one task,
-    which spills; it is not held in memory. A task walks ``block`` contested events of a product.
+    ``events`` has the columns of ``settle`` and may have more; rows that neither check nor take change nothing. The
+    shuffle to the rows is left out where ``events`` comes from a join by ``row``.
     """
     earlier = Window.partitionBy("row").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    none = F.lit(0).cast("bigint")
     firm, soft = F.col("takes") & ~F.col("checks"), F.col("takes") & F.col("checks")
-    after = F.col("after")
+    none, after = F.lit(0).cast("bigint"), F.col("after")
 
     def since(bound: Column) -> Column:
         """The greatest value of the soft events since the last firm one: running maxima of (number of firm ones before, value)."""
@@ -147,20 +143,49 @@ def settle(events: DataFrame, ledger: DataFrame, bits: int = BITS, block: int =
         return F.when(most["part"] == F.col("part"), most["value"])
 
     # Since the last firm change of its row, a row's quantity is that one or one of the soft ones after it.
-    named = (spread(events.filter(F.col("row").isNotNull()), "row")
-             .withColumn("part", F.coalesce(F.sum(firm.cast("bigint")).over(earlier), none))
-             .withColumn("start", F.coalesce(F.last(F.when(firm, after), ignorenulls=True).over(earlier), "own"))
-             .withColumn("high", F.greatest("start", since(after)))
-             .withColumn("low", F.least("start", -since(-after)))
-             .drop("part", "start"))
-    fresh = events.filter(F.col("row").isNull()).withColumn("high", none).withColumn("low", none)
-    ranged = cut_lineage(
-        named.unionByName(fresh).join(on_hand(ledger), "product_id", "left")
-        .withColumn("base", F.coalesce("current_quantity", none)).drop("current_quantity")
-        .withColumn("up", F.when(firm, after - F.col("high")).when(soft, F.greatest(after - F.col("high"), none))
-                    .otherwise(none))
-        .withColumn("down", F.when(firm, after - F.col("low")).when(soft, F.least(after - F.col("low"), none))
-                    .otherwise(none)))
+    return _moved(events.withColumn("part", F.coalesce(F.sum(firm.cast("bigint")).over(earlier), none))
+                  .withColumn("start", F.coalesce(F.last(F.when(firm, after), ignorenulls=True).over(earlier), "own"))
+                  .withColumn("high", F.greatest("start", since(after)))
+                  .withColumn("low", F.least("start", -since(-after)))
+                  .drop("part", "start"))
+
+
+def fresh_ranges(events: DataFrame) -> DataFrame:
+    """``stock_ranges`` of events without a row: nothing was there before them."""
+    none = F.lit(0).cast("bigint")
+    return _moved(events.withColumn("high", none).withColumn("low", none))
+
+
+def _moved(events: DataFrame) -> DataFrame:
+    firm, soft = F.col("takes") & ~F.col("checks"), F.col("takes") & F.col("checks")
+    none, after = F.lit(0).cast("bigint"), F.col("after")
+    return (events.withColumn("up", F.when(firm, after - F.col("high")).when(soft, F.greatest(after - F.col("high"), none))
+                              .otherwise(none))
+            .withColumn("down", F.when(firm, after - F.col("low")).when(soft, F.least(after - F.col("low"), none))
+                        .otherwise(none)))
+
+
+def _ranged(events: DataFrame, ledger: DataFrame) -> DataFrame:
+    rows = (stock_ranges(spread(events.filter(F.col("row").isNotNull()), "row"))
+            .unionByName(fresh_ranges(events.filter(F.col("row").isNull()))))
+    return cut_lineage(rows.join(on_hand(ledger), "product_id", "left")
+                       .withColumn("base", F.coalesce("current_quantity", F.lit(0).cast("bigint"))).drop("current_quantity"))
+
+
+def settle(events: DataFrame, ledger: DataFrame, bits: int = BITS, block: int = BLOCK) -> DataFrame:
+    """(seq, granted) for every event, as if they came one after the other in ``seq`` order.
+
+    Columns: ``seq`` (unique), ``product_id``, ``row`` (the ledger row that is changed, null
+    for a new one), ``own`` (what that row adds to the stock now, 0 for a new one),
+    ``after`` (what it adds afterwards), ``quantity`` (what the stock must cover),
+    ``checks`` (is the stock asked at all?) and ``takes`` (does the row change if it passes?).
+    None but ``row`` may be null. A row that very many events name is sorted by one task,
+    which spills; it is not held in memory. A task walks ``block`` contested events of a product.
+    Stored events may come with the columns of ``stock_ranges`` and ``base``, what the ledger has of their product.
+    """
+    earlier = Window.partitionBy("row").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    none, after = F.lit(0).cast("bigint"), F.col("after")
+    ranged = events if "up" in events.columns else _ranged(events, ledger)
     least = F.col("base") + F.col("down_before") - F.col("low")
     most = F.col("base") + F.col("up_before") - F.col("high")
     granted = (F.when(~F.col("checks") | (least >= F.col("quantity")), F.lit(True))

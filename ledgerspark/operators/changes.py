@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerspark.functions.cleaning import (is_blank, is_stock_out, round_price, signed_quantity)
 from ledgerspark.functions.state import cut_lineage
-from ledgerspark.operators.admission import admit_sequential, settle
+from ledgerspark.operators.admission import admit_sequential, fresh_ranges, settle, stock_ranges
 from ledgerspark.operators.catalogue import lookup_product
 from ledgerspark.operators.holdings import on_hand
 from ledgerspark.operators.running import running_totals
@@ -131,39 +131,64 @@ def _judged(ledger: DataFrame, changes: DataFrame, products: DataFrame) -> DataF
     """
     given = changes.select(*CHANGES.fieldNames())
     insert, named = F.coalesce(F.col("op") == "INSERT", F.lit(False)), F.col("transaction_id").isNotNull()
-    none = F.lit(0).cast("bigint")
-    edits = given.filter(~insert & named)
+    none, stock = F.lit(0).cast("bigint"), on_hand(ledger).withColumnRenamed("current_quantity", "base")
+    edits = given.filter(~insert & named).drop("product_id", "transaction_type")
     gone = edits.filter(F.col("op") == "DELETE").groupBy("transaction_id").agg(F.min("seq").alias("deleted_at"))
-    stored = ledger.select("transaction_id", F.col("product_id").alias("held"), F.col("transaction_type").alias("kind"),
-                           signed_quantity().alias("own"))
+    # What an edit needs of its product comes with the few columns of its stored row: edits travel to their row only.
+    stored = ledger.select("transaction_id", "product_id", "transaction_type", signed_quantity().alias("own"))
+    stored = lookup_product(stored, products).join(stock, "product_id", "left").drop("name")
     edits = (edits.join(stored, "transaction_id", "left").join(gone, "transaction_id", "left")
              .withColumn("found", F.col("own").isNotNull() & F.coalesce(F.col("seq") <= F.col("deleted_at"), F.lit(True)))
-             .withColumn("product_id", F.col("held")).withColumn("transaction_type", F.col("kind"))
-             .drop("held", "kind", "deleted_at"))
+             .withColumn("known", F.coalesce("known", F.lit(False))).withColumn("name", F.lit(None).cast("string"))
+             .drop("deleted_at"))
     # Rows without an id never meet the join: they would all share its null key.
     others = (given.filter(insert | ~named).withColumn("transaction_id", F.lit(None).cast("bigint"))
               .withColumn("own", none).withColumn("found", insert))
+    others = lookup_product(others, products).join(stock, "product_id", "left")
     update, whole = F.col("op") == "UPDATE", F.col("op").isin("INSERT", "UPDATE")
     # Without any catalogue there is nothing to check the product of a stored row against.
     no_catalogue = products.limit(1).agg(F.count("*") == 0).scalar()
-    facts = (lookup_product(edits.unionByName(others), products)
-             .withColumn("known", F.col("known") | (update & no_catalogue)))
-    rules = F.when(whole, _field_reasons(F.lit(False), F.col("known")).isNull()).otherwise(F.col("op").isin("PATCH", "DELETE"))
-    facts = cut_lineage(facts.withColumn("valid", F.coalesce(F.col("found") & rules, F.lit(False))))
-
     counted = F.col("quantity").isNotNull()
-    checks = F.coalesce(whole & F.col("found") & counted & is_stock_out(), F.lit(False))
-    moves = F.col("valid") & ((F.col("op") == "DELETE") | counted)
-    events = facts.filter(F.col("product_id").isNotNull() & (moves | checks)).select(
-        "seq", "product_id", F.col("transaction_id").alias("row"), F.coalesce("own", none).alias("own"),
-        F.when(F.col("op") == "DELETE", none).otherwise(signed_quantity()).alias("after"),
-        F.coalesce("quantity", none).alias("quantity"), checks.alias("checks"), F.col("valid").alias("takes"))
-    has_stock = F.coalesce("granted", ~is_stock_out(), F.lit(False))
-    reason = (F.when(~F.col("found"), "not_found")
-              .when(whole, _field_reasons(~has_stock, F.col("known")))
-              .when(F.coalesce(~F.col("op").isin("PATCH", "DELETE"), F.lit(True)), "unknown_operation"))
-    return (facts.join(settle(events, ledger), "seq", "left").withColumn("reason", reason)
-            .drop("granted", "own", "found", "valid", "known"))
+
+    def reason(lacks: Column) -> Column:
+        return (F.when(~F.col("found"), "not_found")
+                .when(whole, _field_reasons(lacks, F.col("known")))
+                .when(F.coalesce(~F.col("op").isin("PATCH", "DELETE"), F.lit(True)), "unknown_operation"))
+
+    def facts_of(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("known", F.col("known") | (update & no_catalogue))
+        rules = F.when(whole, _field_reasons(F.lit(False), F.col("known")).isNull()).otherwise(F.col("op").isin("PATCH", "DELETE"))
+        moves = F.col("found") & rules & ((F.col("op") == "DELETE") | counted)
+        held = F.col("product_id").isNotNull()
+        # What cannot be asked of the stock has none; all else is judged as if it had, and as if it had not.
+        asked = held & F.col("seq").isNotNull()
+        return (rows.withColumn("takes", F.coalesce(held & moves, F.lit(False)))
+                .withColumn("checks", F.coalesce(held & whole & F.col("found") & counted & is_stock_out(), F.lit(False)))
+                .withColumn("reason", reason(~asked & is_stock_out())).withColumn("refusal", reason(is_stock_out()))
+                .withColumn("row", F.col("transaction_id")).withColumn("own", F.coalesce("own", none))
+                .withColumn("after", F.when(F.col("op") == "DELETE", none).otherwise(signed_quantity()))
+                .drop("found", "known"))
+
+    # The windows by row work on the edits where the join with their rows has left them.
+    facts = cut_lineage(stock_ranges(facts_of(edits)).unionByName(fresh_ranges(facts_of(others))))
+    events = facts.filter("takes OR checks").select(
+        "seq", "product_id", "row", "own", "after", F.coalesce("quantity", none).alias("quantity"), "checks", "takes",
+        F.coalesce("base", none).alias("base"), "high", "low", "up", "down")
+    return _ruled(facts.drop("row", "own", "after", "takes", "base", "high", "low", "up", "down"),
+                  cut_lineage(settle(events, ledger)))
+
+
+def _ruled(facts: DataFrame, settled: DataFrame) -> DataFrame:
+    """``facts`` with the answers of the stock worked into their reasons. Only changes that ask the stock travel to the
+    refusals. A ``seq`` that comes several times meets all of its answers."""
+    repeated = cut_lineage(settled.groupBy("seq").agg(F.count("*").alias("answers")).filter("answers > 1").select("seq"))
+    once, twice = facts.join(repeated, "seq", "left_anti"), facts.join(repeated, "seq", "left_semi")
+    refused = settled.filter(~F.col("granted"))
+    asking = once.filter("checks").join(refused, "seq", "left")
+    rows = (once.filter("NOT checks").withColumn("granted", F.lit(None).cast("boolean")).unionByName(asking)
+            .unionByName(twice.join(settled.join(repeated, "seq", "left_semi"), "seq", "left")))
+    return (rows.withColumn("reason", F.when(F.coalesce("granted", F.lit(True)), F.col("reason")).otherwise(F.col("refusal")))
+            .drop("granted", "refusal", "checks"))
 
 
 def _folded(accepted: DataFrame, legacy_total: bool) -> DataFrame:
@@ -240,7 +265,14 @@ def apply_deletes(ledger: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFra
 
 def change_outcomes(ledger: DataFrame, changes: DataFrame, products: DataFrame) -> DataFrame:
     """(seq, op, transaction_id, reason) per change; a null reason means it took effect."""
-    return _judged(ledger, changes, products).select("seq", "op", "transaction_id", "reason")
+    # Of prices and texts the rules ask only whether they are there; no more of them has to travel.
+    there = F.lit("x")
+    asked = changes.withColumns({
+        "price_per_unit": F.when(F.col("price_per_unit").isNotNull(), F.lit(0).cast(MONEY)), "notes": F.lit(None).cast("string"),
+        "purchase_method": F.when(F.col("purchase_method") != "", there),
+        "purchase_location": F.when(~is_blank(F.col("purchase_location")), there)})
+    catalogue = products.withColumns({"name": F.lit(None).cast("string"), "earliest_date": F.lit(None).cast("date")})
+    return _judged(ledger, asked, catalogue).select("seq", "op", "transaction_id", "reason")
 
 
 def apply_changes(ledger: DataFrame, changes: DataFrame, products: DataFrame, entered_at: datetime,
@@ -248,6 +280,6 @@ def apply_changes(ledger: DataFrame, changes: DataFrame, products: DataFrame, en
     """The ledger after the whole batch, as if its changes came one by one in ``seq`` order:
     every stock check sees what the accepted changes before it did, a refused change hides
     nothing, and nothing follows a delete."""
-    judged = cut_lineage(_judged(ledger, changes, products))
+    judged = _judged(ledger, changes, products)
     rows = _new_rows(judged.filter((F.col("op") == "INSERT") & F.col("reason").isNull()), ledger, entered_at)
     return _edited(ledger, judged, legacy_total).unionByName(rows.drop("seq"))

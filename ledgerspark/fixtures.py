@@ -206,9 +206,12 @@ def view(spark: SparkSession, sf_dir: str, name: str, stored: dict[str, DataFram
     return spark.sql(f"WITH {text}\nSELECT * FROM {name}", **tables, **read)
 
 
-def views(spark: SparkSession, sf_dir: str, names: tuple[str, ...], often: tuple[str, ...] = ()) -> list[DataFrame]:
-    """The named views. Those of ``often`` that they are made of are worked out once and stored."""
+def views(spark: SparkSession, sf_dir: str, names: tuple[str, ...], often: tuple[str, ...] = (),
+          columns: dict[str, tuple[str, ...]] | None = None) -> list[DataFrame]:
+    """The named views. Those of ``often`` that they are made of are worked out once and stored, whole or with the
+    ``columns`` that anything reads."""
     stored: dict[str, DataFrame] = {}
     for name in often:
-        stored[name] = cut_lineage(view(spark, sf_dir, name, stored))
+        rows = view(spark, sf_dir, name, stored)
+        stored[name] = cut_lineage(rows.select(*(columns or {}).get(name, rows.columns)))
     return [view(spark, sf_dir, name, stored) for name in names]

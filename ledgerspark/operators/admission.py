@@ -1,7 +1,8 @@
 """Exact one-after-the-other stock checks for a batch of ledger changes.
 
 Whether a sale fits depends on which earlier changes were let through, so the changes of
-one product are strictly sequential. Most of them can still be settled in parallel. Each
+one product are strictly sequential. A task walks the changes of many products, each from its stock on.
+The changes of a product that has too many for that are settled in parallel for the most part. Each
 ledger row has a quantity that the batch may set again and again; before any change that
 quantity lies between the least and the most that the undecided changes allow:
 
@@ -16,6 +17,7 @@ settles at least one more; in practice stocks soon agree whatever they started f
 """
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -26,8 +28,12 @@ from ledgerspark.functions.state import cut_lineage
 from ledgerspark.operators.holdings import on_hand
 from ledgerspark.operators.running import BITS, running_totals, spread
 
-# Contested changes that one block walks.
+# Changes of a product that one task walks.
 BLOCK = 1 << 15
+# Changes are counted in this many groups of products before they are counted by product.
+_CELLS = 1 << 15
+# What every stock covers.
+_NOTHING = -(1 << 62)
 
 _STATE = "product_id string, block bigint, shift bigint, waiting array<struct<row:bigint,shift:bigint>>"
 
@@ -56,6 +62,7 @@ class _Stock:
 
 def _walk(decide: bool):
     """Walk blocks that arrive sorted by product, block and seq, each led by its start state if it has one.
+    Without a column ``waiting`` no start has rows that are named again.
 
     Yields (seq, granted) of the contested changes, or per block the state that the next one starts from.
     """
@@ -63,8 +70,9 @@ def _walk(decide: bool):
         current, stock = None, _Stock()
         for batch in batches:
             seqs, granted, ends = [], [], []
+            held = batch["waiting"].tolist() if "waiting" in batch else repeat(())
             for product, block, leads, seq, named, row, opened, free, wanted, takes, step, again, waiting in zip(*(batch[c].tolist() for c in (
-                    "product_id", "block", "leads", "seq", "named", "row", "contested", "free", "quantity", "takes", "step", "again", "waiting"))):
+                    "product_id", "block", "leads", "seq", "named", "row", "contested", "free", "quantity", "takes", "step", "again")), held):
                 if (product, block) != current:
                     if current:
                         ends.append((current, stock))
@@ -91,17 +99,30 @@ def _walk(decide: bool):
 
 
 def _walked(events: DataFrame, starts: DataFrame | None, decide: bool) -> DataFrame:
-    """The walk over ``events``; blocks without a row in ``starts`` begin with nothing granted."""
-    nothing = F.array().cast("array<struct<row:bigint,shift:bigint>>")
-    rows = events.withColumn("leads", F.lit(False)).withColumn("waiting", nothing)
+    """The walk over ``events``; blocks without a row in ``starts`` begin with nothing granted. Events without a column
+    ``block`` are walked by product, all of them contested."""
+    key = [c for c in ("product_id", "block") if c in events.columns]
+    whole, named = len(key) == 1, F.col("row").isNotNull()
+    rows = events.withColumn("leads", F.lit(False))
+    if not whole:
+        rows = rows.withColumn("waiting", F.array().cast("array<struct<row:bigint,shift:bigint>>"))
     if starts is not None:
-        # A start stands before its block, its shift in the place of a step. No column has nulls: in
-        # a task they would turn whole numbers into floats.
+        # A start stands before its block, its shift in the place of a step.
         leads = starts.withColumnRenamed("shift", "step").withColumn("leads", F.lit(True))
-        rows = (rows.unionByName(leads, allowMissingColumns=True).fillna(0, ["seq", "row", "free", "quantity"])
-                .fillna(False, ["named", "contested", "takes", "again"]))
-    return (rows.repartition("product_id", "block").sortWithinPartitions("product_id", "block", F.desc("leads"), "seq")
-            .mapInPandas(_walk(decide), "seq bigint, granted boolean" if decide else _STATE))
+        rows = rows.unionByName(leads, allowMissingColumns=True)
+    rows = rows.repartition(*key).sortWithinPartitions(*key, F.desc("leads"), "seq")
+    if whole:  # What follows from other columns does not have to travel.
+        rows = rows.withColumns({"block": F.lit(0).cast("bigint"), "named": named, "again": named, "contested": F.lit(True)})
+    # No column has nulls: in a task they would turn whole numbers into floats.
+    rows = rows.fillna(0, ["seq", "row", "free", "quantity"]).fillna(False, ["named", "contested", "takes", "again"])
+    return rows.mapInPandas(_walk(decide), "seq bigint, granted boolean" if decide else _STATE)
+
+
+def _walked_whole(events: DataFrame, stock: DataFrame) -> DataFrame:
+    """(seq, granted) of products that each fit one task, which walks all of their events from the stock on."""
+    asked = events.select("product_id", "seq", "row", (-F.col("own")).alias("free"), (F.col("after") - F.col("own")).alias("step"),
+                          F.when(F.col("checks"), F.col("quantity")).otherwise(F.lit(_NOTHING)).alias("quantity"), "takes")
+    return _walked(asked, stock.select("product_id", F.col("current_quantity").alias("shift")), decide=True)
 
 
 def _block_starts(events: DataFrame) -> DataFrame | None:
@@ -130,8 +151,7 @@ def stock_ranges(events: DataFrame) -> DataFrame:
     """Events of named rows with what ``settle`` must know of the changes of a row before each: ``high`` and ``low``, the
     most and the least that the row can add then, ``up`` and ``down``, by how much the event can move both.
 
-    ``events`` has the columns of ``settle`` and may have more; rows that neither check nor take change nothing. The
-    shuffle to the rows is left out where ``events`` comes from a join by ``row``.
+    ``events`` has the columns of ``settle``; rows that neither check nor take change nothing.
     """
     earlier = Window.partitionBy("row").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     firm, soft = F.col("takes") & ~F.col("checks"), F.col("takes") & F.col("checks")
@@ -165,13 +185,26 @@ def _moved(events: DataFrame) -> DataFrame:
                         .otherwise(none)))
 
 
-def _ranged(events: DataFrame, ledger: DataFrame) -> DataFrame:
+def _ranged(events: DataFrame, stock: DataFrame) -> DataFrame:
     rows = (stock_ranges(spread(events.filter(F.col("row").isNotNull()), "row"))
             .unionByName(fresh_ranges(events.filter(F.col("row").isNull()))))
-    return cut_lineage(rows.join(on_hand(ledger), "product_id", "left")
+    return cut_lineage(rows.join(stock, "product_id", "left")
                        .withColumn("base", F.coalesce("current_quantity", F.lit(0).cast("bigint"))).drop("current_quantity"))
 
 
+def _frequent(events: DataFrame, most: int) -> DataFrame | None:
+    """The products with more than ``most`` events; None if there are none. Only groups of products that have more
+    together are counted by product, so the products themselves hardly travel."""
+    cells = events.select("product_id", F.pmod(F.xxhash64("product_id"), F.lit(_CELLS)).alias("cell"))
+    more = F.col("count") > most
+    full = cut_lineage(cells.groupBy("cell").count().filter(more).select("cell"))
+    if full.isEmpty():
+        return None
+    products = cells.join(full, "cell", "left_semi").groupBy("product_id").count().filter(more)
+    products = cut_lineage(products.select("product_id"))
+    return None if products.isEmpty() else products
+
+
 def settle(events: DataFrame, ledger: DataFrame, bits: int = BITS, block: int = BLOCK) -> DataFrame:
     """(seq, granted) for every event, as if they came one after the other in ``seq`` order.
 
@@ -179,13 +212,23 @@ def settle(events: DataFrame, ledger: DataFrame, bits: int = BITS, block: int =
     for a new one), ``own`` (what that row adds to the stock now, 0 for a new one),
     ``after`` (what it adds afterwards), ``quantity`` (what the stock must cover),
     ``checks`` (is the stock asked at all?) and ``takes`` (does the row change if it passes?).
-    None but ``row`` may be null. A row that very many events name is sorted by one task,
-    which spills; it is not held in memory. A task walks ``block`` contested events of a product.
-    Stored events may come with the columns of ``stock_ranges`` and ``base``, what the ledger has of their product.
+    None but ``row`` may be null. ``events`` are read several times and had better be stored. A task walks
+    up to ``block`` events of a product, only products with more are settled by bounds first.
     """
+    events, stock = events.filter(F.col("seq").isNotNull()), cut_lineage(on_hand(ledger))
+    frequent = _frequent(events, block)
+    if frequent is None:
+        return _walked_whole(events, stock)
+    whole = _walked_whole(events.join(frequent, "product_id", "left_anti"), stock.join(frequent, "product_id", "left_anti"))
+    return whole.unionByName(_bounded(events.join(frequent, "product_id", "left_semi"), stock, bits, block))
+
+
+def _bounded(events: DataFrame, stock: DataFrame, bits: int, block: int) -> DataFrame:
+    """``settle`` by bounds and blocks. A row that very many events name is sorted by one task, which spills; it is
+    not held in memory. A task walks ``block`` contested events of a product."""
     earlier = Window.partitionBy("row").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     none, after = F.lit(0).cast("bigint"), F.col("after")
-    ranged = events if "up" in events.columns else _ranged(events, ledger)
+    ranged = _ranged(events, stock)
     least = F.col("base") + F.col("down_before") - F.col("low")
     most = F.col("base") + F.col("up_before") - F.col("high")
     granted = (F.when(~F.col("checks") | (least >= F.col("quantity")), F.lit(True))
@@ -229,8 +272,8 @@ def admit_sequential(entries: DataFrame, ledger: DataFrame, bits: int = BITS, bl
     """
     takes = F.col("valid") if "valid" in entries.columns else F.lit(True)
     none = F.lit(None).cast("bigint")
-    events = entries.filter(F.col("product_id").isNotNull() & F.col("quantity").isNotNull()).select(
+    events = cut_lineage(entries.filter(F.col("product_id").isNotNull() & F.col("quantity").isNotNull()).select(
         "seq", "product_id", none.alias("row"), F.lit(0).cast("bigint").alias("own"), signed_quantity().alias("after"),
-        "quantity", F.coalesce(is_stock_out(), F.lit(False)).alias("checks"), takes.alias("takes"))
+        "quantity", F.coalesce(is_stock_out(), F.lit(False)).alias("checks"), takes.alias("takes")))
     return (entries.join(settle(events, ledger, bits, block), "seq", "left")
             .withColumn("has_stock", F.coalesce("granted", ~is_stock_out(), F.lit(False))).drop("granted"))

@@ -7,14 +7,16 @@ of new entries alone (``validate_entries``, ``apply_inserts``) look at the ledge
 before the batch unless ``sequential=True``.
 """
 
+from collections.abc import Callable
 from datetime import datetime
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerspark.functions.cleaning import (is_blank, is_stock_out, round_price, signed_quantity)
 from ledgerspark.functions.state import cut_lineage
-from ledgerspark.operators.admission import admit_sequential, fresh_ranges, settle, stock_ranges
+from ledgerspark.operators.admission import admit_sequential, settle
 from ledgerspark.operators.catalogue import lookup_product
 from ledgerspark.operators.holdings import on_hand
 from ledgerspark.operators.running import running_totals
@@ -122,29 +124,69 @@ def apply_inserts(ledger: DataFrame, entries: DataFrame, products: DataFrame, en
     return ledger.select(*LEDGER.fieldNames()).unionByName(rows.drop("seq"))
 
 
-def _judged(ledger: DataFrame, changes: DataFrame, products: DataFrame) -> DataFrame:
+_OPS = ("UPDATE", "PATCH", "DELETE")
+
+
+def _packed(edits: DataFrame) -> DataFrame:
+    """``edits`` with one small number for their operation and for what the rules ask of price, date and purchase."""
+    asked = (F.col("price_per_unit").isNotNull(), F.col("input_date").isNotNull(), F.col("purchase_method") != "",
+             ~is_blank(F.col("purchase_location")))
+    bits = [F.when(asks, 1 << i).otherwise(0) for i, asks in enumerate(asked)]
+    bits += [F.when(F.col("op") == op, i << len(asked)).otherwise(0) for i, op in enumerate(_OPS, 1)]
+    return edits.select("seq", "transaction_id", "quantity", sum(bits, F.lit(0)).cast("tinyint").alias("code"),
+                        F.when(~F.col("op").isin(*_OPS), F.col("op")).alias("other_op"))
+
+
+def _unpacked(edits: DataFrame) -> DataFrame:
+    """The edits that ``_packed`` was given, with some value where it saw one."""
+    there = (("price_per_unit", F.lit(0).cast(MONEY)), ("input_date", F.lit("2000-01-01").cast("date")), ("purchase_method", F.lit("x")),
+             ("purchase_location", F.lit("x")))
+    code = F.col("code").cast("int")
+    ops = [F.when(F.shiftright(code, len(there)) == i, op) for i, op in enumerate(_OPS, 1)]
+    return (edits.withColumns({c: F.when(code.bitwiseAND(1 << i) != 0, value) for i, (c, value) in enumerate(there)})
+            .withColumns({"op": F.coalesce("other_op", *ops), "notes": F.lit(None).cast("string")}).drop("code", "other_op"))
+
+
+def _known_products(products: DataFrame, *asking: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """``lookup_product`` without names and days, for rows whose products are those of ``asking``. What the catalogue has
+    exactly once needs no lookup: only the products that it lacks or has several times are stored and joined."""
+    found = products.groupBy("product_id").agg(F.count("*").cast("int").alias("times"))
+    named = reduce(DataFrame.union, [rows.select("product_id") for rows in asking]).filter("product_id IS NOT NULL").distinct()
+    odd = named.join(found, "product_id", "left").filter("times IS NULL OR times > 1")
+    odd = cut_lineage(odd.select("product_id", F.explode(F.array_repeat(F.col("times").isNotNull(), F.coalesce("times", F.lit(1)))).alias("listed")))
+
+    def lookup(rows: DataFrame) -> DataFrame:
+        known = F.col("product_id").isNotNull() & F.coalesce("listed", F.lit(True))
+        return rows.join(odd, "product_id", "left").withColumns({
+            "name": F.lit(None).cast("string"), "earliest_date": F.lit(None).cast("date"), "known": known}).drop("listed")
+    return lookup
+
+
+def _judged(ledger: DataFrame, changes: DataFrame, products: DataFrame, reasons_only: bool = False) -> DataFrame:
     """Every change with the ``reason`` it is refused for, the changes taken in ``seq`` order.
 
     Product and type of an edit always come from the stored row. An edit of a row that an
     earlier change deleted, or that the stored ledger never had, is ``not_found``; so is
-    one without an id. The ids that the batch's own inserts get cannot be named in it.
+    one without an id. The ids that the batch's own inserts get cannot be named in it. With ``reasons_only``
+    the values of the changes are lost on the way.
     """
     given = changes.select(*CHANGES.fieldNames())
     insert, named = F.coalesce(F.col("op") == "INSERT", F.lit(False)), F.col("transaction_id").isNotNull()
-    none, stock = F.lit(0).cast("bigint"), on_hand(ledger).withColumnRenamed("current_quantity", "base")
+    none = F.lit(0).cast("bigint")
     edits = given.filter(~insert & named).drop("product_id", "transaction_type")
+    inserts = given.filter(insert | ~named)
+    lookup = _known_products(products, ledger, inserts) if reasons_only else partial(lookup_product, products=products)
     gone = edits.filter(F.col("op") == "DELETE").groupBy("transaction_id").agg(F.min("seq").alias("deleted_at"))
     # What an edit needs of its product comes with the few columns of its stored row: edits travel to their row only.
     stored = ledger.select("transaction_id", "product_id", "transaction_type", signed_quantity().alias("own"))
-    stored = lookup_product(stored, products).join(stock, "product_id", "left").drop("name")
-    edits = (edits.join(stored, "transaction_id", "left").join(gone, "transaction_id", "left")
+    stored = lookup(stored).drop("name")
+    edits = (_packed(edits) if reasons_only else edits).join(stored, "transaction_id", "left").join(gone, "transaction_id", "left")
+    edits = ((_unpacked(edits) if reasons_only else edits)
              .withColumn("found", F.col("own").isNotNull() & F.coalesce(F.col("seq") <= F.col("deleted_at"), F.lit(True)))
              .withColumn("known", F.coalesce("known", F.lit(False))).withColumn("name", F.lit(None).cast("string"))
              .drop("deleted_at"))
     # Rows without an id never meet the join: they would all share its null key.
-    others = (given.filter(insert | ~named).withColumn("transaction_id", F.lit(None).cast("bigint"))
-              .withColumn("own", none).withColumn("found", insert))
-    others = lookup_product(others, products).join(stock, "product_id", "left")
+    others = lookup(inserts.withColumn("transaction_id", F.lit(None).cast("bigint")).withColumn("own", none).withColumn("found", insert))
     update, whole = F.col("op") == "UPDATE", F.col("op").isin("INSERT", "UPDATE")
     # Without any catalogue there is nothing to check the product of a stored row against.
     no_catalogue = products.limit(1).agg(F.count("*") == 0).scalar()
@@ -165,17 +207,17 @@ def _judged(ledger: DataFrame, changes: DataFrame, products: DataFrame) -> DataF
         return (rows.withColumn("takes", F.coalesce(held & moves, F.lit(False)))
                 .withColumn("checks", F.coalesce(held & whole & F.col("found") & counted & is_stock_out(), F.lit(False)))
                 .withColumn("reason", reason(~asked & is_stock_out())).withColumn("refusal", reason(is_stock_out()))
-                .withColumn("row", F.col("transaction_id")).withColumn("own", F.coalesce("own", none))
+                .withColumn("own", F.coalesce("own", none))
                 .withColumn("after", F.when(F.col("op") == "DELETE", none).otherwise(signed_quantity()))
                 .drop("found", "known"))
 
-    # The windows by row work on the edits where the join with their rows has left them.
-    facts = cut_lineage(stock_ranges(facts_of(edits)).unionByName(fresh_ranges(facts_of(others))))
-    events = facts.filter("takes OR checks").select(
-        "seq", "product_id", "row", "own", "after", F.coalesce("quantity", none).alias("quantity"), "checks", "takes",
-        F.coalesce("base", none).alias("base"), "high", "low", "up", "down")
-    return _ruled(facts.drop("row", "own", "after", "takes", "base", "high", "low", "up", "down"),
-                  cut_lineage(settle(events, ledger)))
+    facts = facts_of(edits).unionByName(facts_of(others))
+    if reasons_only:
+        facts = facts.select("seq", "op", "transaction_id", "product_id", "quantity", "own", "after", "checks", "takes", "reason", "refusal")
+    facts = cut_lineage(facts)
+    events = facts.filter("takes OR checks").select("seq", "product_id", F.col("transaction_id").alias("row"), "own", "after",
+                                                    F.coalesce("quantity", none).alias("quantity"), "checks", "takes")
+    return _ruled(facts.drop("own", "after", "takes"), cut_lineage(settle(events, ledger)))
 
 
 def _ruled(facts: DataFrame, settled: DataFrame) -> DataFrame:
@@ -265,14 +307,7 @@ def apply_deletes(ledger: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFra
 
 def change_outcomes(ledger: DataFrame, changes: DataFrame, products: DataFrame) -> DataFrame:
     """(seq, op, transaction_id, reason) per change; a null reason means it took effect."""
-    # Of prices and texts the rules ask only whether they are there; no more of them has to travel.
-    there = F.lit("x")
-    asked = changes.withColumns({
-        "price_per_unit": F.when(F.col("price_per_unit").isNotNull(), F.lit(0).cast(MONEY)), "notes": F.lit(None).cast("string"),
-        "purchase_method": F.when(F.col("purchase_method") != "", there),
-        "purchase_location": F.when(~is_blank(F.col("purchase_location")), there)})
-    catalogue = products.withColumns({"name": F.lit(None).cast("string"), "earliest_date": F.lit(None).cast("date")})
-    return _judged(ledger, asked, catalogue).select("seq", "op", "transaction_id", "reason")
+    return _judged(ledger, changes, products, reasons_only=True).select("seq", "op", "transaction_id", "reason")
 
 
 def apply_changes(ledger: DataFrame, changes: DataFrame, products: DataFrame, entered_at: datetime,

@@ -40,12 +40,13 @@ def present(df: DataFrame) -> DataFrame:
     return df.select(*[shown(f) for f in df.schema.fields])
 
 
-def query(name: str, *views: str, sql: str | None = None, often: tuple[str, ...] = ()):
+def query(name: str, *views: str, sql: str | None = None, often: tuple[str, ...] = (),
+          columns: dict[str, tuple[str, ...]] | None = None):
     """Register ``build(views...)`` under ``name``; ``sql`` may use the same views. ``often`` names views that the
-    query reads several times over."""
+    query reads several times over, ``columns`` those it needs of them, if not all."""
     def register(build):
         BUILDERS[name] = (views, build)
-        QUERIES[name] = lambda spark, sf_dir: present(build(*fixture_views(spark, sf_dir, views, often)))
+        QUERIES[name] = lambda spark, sf_dir: present(build(*fixture_views(spark, sf_dir, views, often, columns)))
         if sql is not None:
             names = [v for v in views] + [v for v in _extra_views(sql) if v not in views]
             ORACLES[name] = _oracle(names, sql)
@@ -569,7 +570,9 @@ def _(batch, products, ledger):
             .select("seq", "product_id", "transaction_type", "quantity", "reason"))
 
 
-@query("change_outcomes", "changes", "products", "ledger", often=("earliest", "ledger"), sql="""
+@query("change_outcomes", "changes", "products", "ledger", often=("earliest", "ledger"), columns={"ledger": (
+    "transaction_id", "product_id", "transaction_type", "quantity", "price_per_unit", "input_date", "notes", "purchase_method",
+    "purchase_location")}, sql="""
 SELECT s.seq, s.op, s.id AS transaction_id, w.reason FROM steps s JOIN batch_walk w ON w.seq=s.seq
 UNION ALL SELECT seq, op, transaction_id, 'not_found' FROM changes WHERE seq NOT IN (SELECT seq FROM steps)""")
 def _(batch, products, ledger):

@@ -257,6 +257,40 @@ def test_a_product_with_a_third_of_all_changes_is_walked_in_blocks(spark, block,
     assert block != 50 or (len(rounds) < rounds[0] / block and sum(rounds) < 5 * rounds[0])
 
 
+def test_products_that_fit_a_task_are_walked_without_bounds(spark, monkeypatch):
+    monkeypatch.setattr(admission, "running_totals", None)
+    base = [(1, "a", "BUY", 5, 1, None, "2024-01-01"), (2, "a", "SELL", 2, 1, None, "2024-01-01")]
+    # The refused sale of seq 2 hides nothing; row 2 gives its 2 pieces back at seq 3; nothing is known of product c.
+    events = [(1, "a", None, 0, -1, 1, True, True), (2, "a", None, 0, -3, 3, True, True), (3, "a", 2, -2, 0, 0, False, True),
+              (4, "a", None, 0, -4, 4, True, False), (5, "a", 2, -2, -4, 4, True, True), (6, "a", 2, -2, -9, 9, True, True),
+              (7, "a", 1, 5, 4, 0, False, True), (8, "a", None, 0, -1, 1, True, True), (9, "c", None, 0, -1, 1, True, True),
+              (10, "c", None, 0, 1, 0, False, True), (11, "c", None, 0, -1, 1, True, True), (None, "c", None, 0, 1, 0, False, True)]
+    df = spark.createDataFrame(events, "seq bigint, product_id string, row bigint, own bigint, after bigint, quantity bigint, "
+                                       "checks boolean, takes boolean")
+    got = {r.seq: r.granted for r in admission.settle(df, tx(spark, base)).collect()}
+    assert got == {1: True, 2: False, 3: True, 4: True, 5: True, 6: False, 7: True, 8: False, 9: False, 10: True, 11: True}
+
+
+def test_outcomes_of_products_that_the_catalogue_has_not_once(spark, products):
+    base = [(1, "a", "BUY", 5, 1, None, "2024-01-01"), (2, "zz", "BUY", 5, 1, None, "2024-01-01"), (3, None, "BUY", 5, 1, None, "2024-01-01")]
+    edit = lambda seq, i: entry(seq, op="UPDATE", transaction_id=i, product_id=None, transaction_type=None)
+    rows = [edit(1, 1), edit(2, 2), edit(3, 3), entry(4), entry(5, product_id="zz"), entry(6, product_id=None), entry(7, product_id="b"),
+            dict(seq=8, op="DELETE", transaction_id=2), dict(seq=9, op="Move", transaction_id=1)]
+    twice = products.union(products.filter("product_id = 'a'"))
+    lacks, odd = "unknown_product", "unknown_operation"
+    for catalogue, copies in ((products, 1), (twice, 2)):
+        got = changes.change_outcomes(tx(spark, base), batch(spark, rows), catalogue).collect()
+        assert {(r.seq, r.op, r.transaction_id, r.reason) for r in got} == {
+            (1, "UPDATE", 1, None), (2, "UPDATE", 2, lacks), (3, "UPDATE", 3, lacks), (4, "INSERT", None, None), (5, "INSERT", None, lacks),
+            (6, "INSERT", None, lacks), (7, "INSERT", None, None), (8, "DELETE", 2, None), (9, "Move", 1, odd)}
+        # As in a join with the catalogue every copy of a product counts, and a repeated seq meets all of its answers.
+        # Only changes that move the stock have answers.
+        assert {s: sum(r.seq == s for r in got) for s in range(1, 10)} == {s: {1: copies ** 2, 4: copies ** 2, 9: copies}.get(s, 1)
+                                                                           for s in range(1, 10)}
+    nothing = changes.change_outcomes(tx(spark, base), batch(spark, rows), products.limit(0)).collect()
+    assert {r.seq: r.reason for r in nothing} == {1: None, 2: None, 3: None, 4: lacks, 5: lacks, 6: lacks, 7: lacks, 8: None, 9: odd}
+
+
 def test_clamp(spark, products):
     df = spark.createDataFrame([(1, "a", D("2024-01-01")), (2, "a", D("2024-02-01")), (3, "b", D("2020-01-01")),
                                 (4, "zz", D("2020-01-01"))], "n int, product_id string, input_date date")

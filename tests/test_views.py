@@ -1,11 +1,15 @@
 """The forms of the views that Spark runs, and how often the queries over them read and shuffle the tables."""
 
 import re
+import time
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerspark import fixtures, registry
+from ledgerspark.functions import state
+from ledgerspark.operators import admission, changes
 
 LINES = ("l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, "
          "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp")
@@ -71,3 +75,38 @@ def test_tables_are_read_and_shuffled_seldom(spark, tables, name, reads, shuffle
             spark.conf.set(k, v)
     assert len(re.findall(r"FileScan.*l_orderkey", plan)) <= reads
     assert len(re.findall(r"Exchange hashpartitioning", plan)) <= shuffles
+
+
+def test_change_outcomes_stores_and_moves_little(spark, tables, monkeypatch):
+    plans, stored = [], []
+
+    def cut(df):
+        plans.append(_plan(df))
+        stored.append(state.cut_lineage(df))
+        return stored[-1]
+    for module in (fixtures, admission, changes):
+        monkeypatch.setattr(module, "cut_lineage", cut)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        registry.QUERIES["change_outcomes"](spark, tables)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(plans) == len(stored) <= 8
+    # The stored ledger has what the changes read of it, what the judged changes have is free of windows and stock.
+    assert max(len(df.columns) for df in stored) <= 14 and "created_at" not in stored[1].columns
+    assert sum(len(re.findall("Exchange hashpartitioning", p)) for p in plans) <= 30
+
+
+def test_shuffle_files_go_when_their_rows_are_stored(spark):
+    def files():
+        every = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {f for f in every.split("\n") if "shuffle_" in f and f.endswith(".data")}
+    setting, before = spark.conf.get(state._FREE), files()
+    stored = state.cut_lineage(spark.range(1000).repartition(7).groupBy((F.col("id") % 10).alias("k")).count())
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before and stored.count() == 10 and spark.conf.get(state._FREE) == setting

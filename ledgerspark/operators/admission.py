@@ -110,7 +110,8 @@ def _walked(events: DataFrame, starts: DataFrame | None, decide: bool) -> DataFr
         # A start stands before its block, its shift in the place of a step.
         leads = starts.withColumnRenamed("shift", "step").withColumn("leads", F.lit(True))
         rows = rows.unionByName(leads, allowMissingColumns=True)
-    rows = rows.repartition(*key).sortWithinPartitions(*key, F.desc("leads"), "seq")
+    # By a hash of the key: Spark leaves a shuffle by the key out over a union of joins by it, whose partitions need not match.
+    rows = rows.repartition(F.xxhash64(*key)).sortWithinPartitions(*key, F.desc("leads"), "seq")
     if whole:  # What follows from other columns does not have to travel.
         rows = rows.withColumns({"block": F.lit(0).cast("bigint"), "named": named, "again": named, "contested": F.lit(True)})
     # No column has nulls: in a task they would turn whole numbers into floats.

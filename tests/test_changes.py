@@ -271,6 +271,28 @@ def test_products_that_fit_a_task_are_walked_without_bounds(spark, monkeypatch):
     assert got == {1: True, 2: False, 3: True, 4: True, 5: True, 6: False, 7: True, 8: False, 9: False, 10: True, 11: True}
 
 
+def test_stock_and_events_meet_where_many_products_are_frequent(spark):
+    base = [(i, f"p{i}", "BUY", 2, 1, None, "2024-01-01") for i in range(400)]
+    events = [(i * 10 + n, f"p{i}", None, 0, -1, 1, True, True) for i in range(400) for n in range(3 + i % 4)]
+    df = spark.createDataFrame(events, "seq bigint, product_id string, row bigint, own bigint, after bigint, quantity bigint, "
+                                       "checks boolean, takes boolean")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "3000", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        settled = admission.settle(df, tx(spark, base), block=4)
+        plan = settled._jdf.queryExecution().executedPlan().toString()
+        got = {r.seq: r.granted for r in settled.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {seq: seq % 10 < 2 for seq, *_ in events}
+    # The shuffle that brings them together is there though both come from joins by product.
+    assert "hashpartitioning(xxhash64(product_id" in plan
+
+
 def test_outcomes_of_products_that_the_catalogue_has_not_once(spark, products):
     base = [(1, "a", "BUY", 5, 1, None, "2024-01-01"), (2, "zz", "BUY", 5, 1, None, "2024-01-01"), (3, None, "BUY", 5, 1, None, "2024-01-01")]
     edit = lambda seq, i: entry(seq, op="UPDATE", transaction_id=i, product_id=None, transaction_type=None)
